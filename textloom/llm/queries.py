@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import quality_rules, sharding
+from textloom.llm import quality_rules, sharding, simhash
 from textloom.llm.common import documents
 
 
@@ -20,8 +20,12 @@ def op9_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_line_frequency, op9_best_fit_shards]
+    own = [op4_line_frequency, op9_best_fit_shards, op10_simhash]
     return {f.__name__: f for f in own}
 
 
