@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import quality_rules, sharding, simhash
+from textloom.llm import pii, quality_rules, sharding, simhash
 from textloom.llm.common import documents
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_lines", "lost_words"
@@ -25,7 +29,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op4_line_frequency, op9_best_fit_shards, op10_simhash]
+    own = [op1_weak_pii, op4_line_frequency, op9_best_fit_shards, op10_simhash]
     return {f.__name__: f for f in own}
 
 
