@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import pii, quality_rules, sharding, simhash
+from textloom.llm import jaccard_join, pii, quality_rules, sharding, simhash
 from textloom.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op2_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir), width=3, percent=90)
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_lines", "lost_words"
@@ -29,7 +33,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op4_line_frequency, op9_best_fit_shards, op10_simhash]
+    own = [op1_weak_pii, op2_partenum_jaccard, op4_line_frequency, op9_best_fit_shards, op10_simhash]
     return {f.__name__: f for f in own}
 
 
