@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import jaccard_join, pii, quality_rules, sharding, simhash
+from textloom.llm import bpe, jaccard_join, pii, quality_rules, sharding, simhash, token_files
 from textloom.llm.common import documents
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the files are not part of this repository."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
@@ -24,6 +31,14 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -33,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_partenum_jaccard, op4_line_frequency, op9_best_fit_shards, op10_simhash]
+    own = [op1_weak_pii, op2_partenum_jaccard, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op9_best_fit_shards, op10_simhash]
     return {f.__name__: f for f in own}
 
 
