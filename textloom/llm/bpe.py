@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     col = batch.column(column)
     if not batch.num_rows:
         return
-    size = pa.compute.fill_null(pa.compute.binary_length(col) if not pa.types.is_list(col.type) else pa.compute.multiply(pa.compute.list_value_length(col), 4), 0)
+    size = pc.fill_null(pc.binary_length(col) if not pa.types.is_list(col.type) else pc.multiply(pc.list_value_length(col), 4), 0)
     part = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
