@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard_join, pii, quality_rules, sharding, simhash, token_files
+from textloom.llm import bpe, jaccard_join, langid, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
 from textloom.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op2_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir), width=3, percent=90)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(documents(spark, sf_dir))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_lines", "lost_words"
@@ -39,6 +43,14 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.report(documents(spark, sf_dir))
+
+
 def op9_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
@@ -48,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_partenum_jaccard, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op9_best_fit_shards, op10_simhash]
+    own = [op1_weak_pii, op2_partenum_jaccard, op3_language, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op7_length_buckets, op8_weak_quality, op9_best_fit_shards, op10_simhash]
     return {f.__name__: f for f in own}
 
 
