@@ -1,4 +1,7 @@
-"""A corpus from raw documents to packed batches: STAGES in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""A corpus from raw documents to packed batches: STAGES in order, each a function (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last return the columns of documents. The models are trained on each stage's own input.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import quality_rules
+from textloom.llm import jaccard_join, langid, packing, pii, quality_rules
 from textloom.llm.common import documents, shared_dir
+from textloom.llm.queries import tokenizer_path
 
 
-def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove boilerplate lines; drop documents that fail the base rules or are depleted."""
     return quality_rules.clean(docs)
 
 
-STAGES = [("quality rules", rule_stage)]
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are in no learned language."""
+    return langid.keep_known(docs)
+
+
+def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of each group of near copies, at the join's contract: three words, similarity 0.9."""
+    return jaccard_join.first_of_each(docs, width=3, percent=90)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in length buckets and token-budget batches."""
+    return packing.report(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", rules_stage),
+    ("language ID", language_stage),
+    ("n-gram Jaccard join", duplicate_stage),
+    ("PII", pii_stage),
+    ("packing", packing_stage),
+]
 
-#: Models that are trained on the corpus have no SQL form; tests hold the pipeline against a brute-force version.
+#: Models that are trained on the corpus have no SQL form; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,7 @@ results; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE
+from textloom.llm.common import SPACE, words
 from textloom.llm.grams import SIZE, grams
 from textloom.llm.langid import sample_rows
 
@@ -29,10 +30,22 @@ from textloom.llm.langid import sample_rows
 SAMPLE = 4000
 EPOCHS = 3
 RATE = 0.5
-KEEP = 0.5
+#: A text is rejected only when the scorer is this sure that it is bad.
+KEEP = 0.01
 SCALE = 30.0
 EM_ROUNDS = 100
-LABELERS = ("length", "word_length", "symbols", "letters", "line_ends", "line_repeats", "capitals", "digits")
+#: Weight of a vote beside the text's n-grams, whose weights sum to 1.
+VOTE_SHARE = 0.02
+LABELERS = ("length", "word_length", "symbols", "letters", "line_ends", "line_repeats", "capitals", "digits", "word_repeats", "variety")
+
+
+def _with_votes(at: np.ndarray, count: np.ndarray, said: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram features and one hashed feature for each vote, each as strong as a hundredth of the text."""
+    return np.append(at, vote_buckets(said)), np.append(count / max(1.0, count.sum()), np.full(len(said), VOTE_SHARE))
+
+
+def vote_buckets(said: str) -> np.ndarray:
+    return np.array([zlib.crc32(f"{name}{v}".encode()) % SIZE for name, v in zip(LABELERS, said, strict=True)], np.int64)
 
 
 def votes(text: Column) -> Column:
@@ -43,6 +56,7 @@ def votes(text: Column) -> Column:
     letters, capitals = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{Lu}"))
     symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>{}[]\\^~=_", ""))
     digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
+    echoes = F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])([^{SPACE}]++)(?=[{SPACE}]++\1(?![^{SPACE}]))"))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     n_lines, different = F.size(lines), F.size(F.array_distinct(lines))
     ended = F.size(F.filter(lines, lambda x: x.rlike(f"[.!?:;\"”»)][{SPACE}]*$")))
@@ -58,7 +72,9 @@ def votes(text: Column) -> Column:
         "line_ends": vote(10 * ended >= 8 * n_lines, 10 * ended < 3 * n_lines),
         "line_repeats": vote((n_lines >= 4) & (different == n_lines), 10 * different < 7 * n_lines),
         "capitals": vote((20 * capitals <= 3 * letters) & (capitals > 0), 10 * capitals > 4 * letters),
-        "digits": vote(100 * digits <= chars, 10 * digits > chars),
+        "digits": vote(20 * digits <= chars, 5 * digits > chars),
+        "word_repeats": vote(100 * echoes <= n_words, 10 * echoes > n_words),
+        "variety": vote(10 * F.size(F.array_distinct(words(t))) >= 3 * n_words, 20 * F.size(F.array_distinct(words(t))) < 3 * n_words),
     }
     return F.concat(*[each[name] for name in LABELERS])
 
@@ -89,14 +105,15 @@ def estimate(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], dict[st
     return {v: p for p, (v, _) in zip(soft, patterns, strict=True)}, right
 
 
-def fit(samples: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: (posterior, buckets, counts)."""
+def fit(samples: list[tuple[tuple[float, str], np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: ((posterior, votes), buckets, counts)."""
     w, n = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-6)
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(samples)):
-            y, at, count = samples[i]
-            at, x = np.append(at, SIZE), np.append(SCALE * count / max(1.0, count.sum()), 1.0)
+            (y, said), at, count = samples[i]
+            at, share = _with_votes(at, count, said)
+            at, x = np.append(at, SIZE), np.append(SCALE * share, 1.0)
             g = x * (1 / (1 + np.exp(-np.clip(x @ w[at], -30, 30))) - y) + 1e-6 * w[at]
             n[at] += g * g
             w[at] -= RATE * g / np.sqrt(n[at])
@@ -107,24 +124,27 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """Per document: weak_label (posterior of its votes), score (of the scorer) and kept."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = rows.withColumn("votes", votes(F.col("text")))
-    counts = sorted((r["votes"], r["n"]) for r in marked.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3**8 rows
+    counts = sorted((r["votes"], r["n"]) for r in marked.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3**10 rows
     posterior, _ = estimate(counts)
     if not posterior:
         return marked.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     table = F.create_map(*[F.lit(x) for kv in posterior.items() for x in kv])
-    weak = marked.withColumn("weak_label", F.try_element_at(table, F.col("votes"))).drop("votes")
+    weak = marked.withColumn("weak_label", F.try_element_at(table, F.col("votes")))
     total = sum(n for _, n in counts)
     point = F.lit(min(1.0, SAMPLE / total))
-    samples = [s for s in sample_rows(weak.filter(F.length("text") > 0), point, F.col("weak_label")) if len(s[1])]
+    drawn = sample_rows(weak.filter(F.length("text") > 0), point, F.col("votes"))
+    samples = [((posterior[v], v), at, c) for v, at, c in drawn if len(at)]
     weights, bias = fit(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = []
-            for t in batch.column("text"):
-                s = t.as_py()
-                g = grams(s) if s else None
-                score.append(0.0 if g is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[g].sum(dtype=np.float64)) / len(g) + bias)))))
+            for t, said in zip(batch.column("text"), batch.column("votes"), strict=True):
+                z = None
+                if text_ := t.as_py():
+                    g = grams(text_)
+                    z = float(weights[g].sum(dtype=np.float64)) / len(g) + VOTE_SHARE * float(weights[vote_buckets(said.as_py())].sum()) + bias
+                score.append(0.0 if z is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weak_label"), pa.array(score, pa.float64())], ["doc_id", "weak_label", "score"])
 
     scored = weak.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, weak_label double, score double")
