@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions.columns import let
 
@@ -19,7 +20,7 @@ HANGUL, ARABIC, LATIN = r"[\x{AC00}-\x{D7A3}]", r"[\x{0600}-\x{06FF}]", "[a-zA-Z
 ARABIC_WIDE = r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility normal form; Spark has no built-in for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
