@@ -13,7 +13,7 @@ from textloom.registry import query, table
 
 def entity_sql(relation: str, key: str) -> str:
     """(chunk_id, entity) of acronyms; the offset rule of capitalised runs has no short SQL form."""
-    return f"SELECT DISTINCT {key} AS chunk_id, lower(e) AS entity FROM (SELECT {key}, unnest(regexp_extract_all(text, '\\b[A-Z]{{2,6}}\\b')) AS e FROM {relation})"
+    return f"SELECT DISTINCT {key} AS chunk_id, lower(e) AS entity FROM (SELECT {key}, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}'))) AS e FROM {relation})"
 
 
 #: Words of nine letters or more: denser than acronyms, so that the graph operators have work on the driver's tables.

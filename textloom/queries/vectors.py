@@ -33,7 +33,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
-@query(top_vectors_sql(10))
+@query(top_vectors_sql(10).replace(_DOT, "(1 - list_cosine_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]))"))
 def cosine_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cosine_topk(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
 
