@@ -68,8 +68,9 @@ class Tokenizer:
         return len(self.split(text))
 
     def tail(self, text: str, n: int) -> str:
+        """The last ``n`` tokens and what white space follows them."""
         pieces = self.split(text)
-        return text if len(pieces) <= n else "".join(pieces[-n:]) if n > 0 else ""
+        return "" if n <= 0 else text if len(pieces) <= n else text[sum(map(len, pieces[:-n])) :]
 
 
 def split_pieces(text: str, size: int, tok: Tokenizer, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
