@@ -11,11 +11,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.functions.columns import let
+from textloom.functions.columns import dot, let, norm
 
 SIZE, OVERLAP, MIN_TOKENS = 512, 50, 128
 #: Separators from the largest to the smallest (fixed values).
@@ -237,3 +237,26 @@ def verify_chunks(docs: DataFrame, chunks: DataFrame, id_col: str = "doc_id", te
     ratio = F.round(F.col("chunk_chars") / F.greatest(F.length(text), F.lit(1)), 4)
     status = F.when(F.col("largest") > 1.1 * size, "oversize").when(F.col("coverage") < 0.95, "low_coverage").when(F.col("coverage") > 3.0, "high_coverage").otherwise("ok")
     return docs.join(made, id_col).withColumn("coverage", ratio).select(id_col, "coverage", "largest", status.alias("status"))
+
+
+def strip_leading(text: Column, n: Column) -> Column:
+    """The text without its first ``n`` tokens; all of it for none."""
+    rest = let(token_column(text), lambda t: F.array_join(F.slice(t, n + 1, F.greatest(F.size(t) - n, F.lit(0))), ""))
+    return F.when(n > 0, rest).otherwise(text)
+
+
+def coherence(chunks: DataFrame, embed: Callable[[Column], Column], id_col: str = "doc_id") -> DataFrame:
+    """Per document: mean cosine of neighbouring sentences inside chunks, and across chunk ends.
+
+    Across an end the last sentence of a chunk meets the first of the next one without its overlap prefix.
+    """
+    cos = lambda a, b: dot(a, b) / (norm(a) * norm(b) + 1e-10)
+    pieces = chunks.select(id_col, "chunk_index", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).withColumn("v", embed(F.col("s")))
+    inside = Window.partitionBy(id_col, "chunk_index").orderBy("pos")
+    intra = pieces.withColumn("p", F.lag("v").over(inside)).filter("p IS NOT NULL").groupBy(id_col).agg(F.avg(cos("v", "p")).alias("avg_intra_similarity"))
+    last = pieces.groupBy(id_col, "chunk_index").agg(F.max_by("v", "pos").alias("last"))
+    core = chunks.select(id_col, "chunk_index", F.get(T.sentences(strip_leading(F.col("text"), F.coalesce("overlap_prefix_tokens", F.lit(0)))), 0).alias("s"))
+    ends = last.join(core, [id_col, "chunk_index"], "left").withColumn("before", F.lag("last").over(Window.partitionBy(id_col).orderBy("chunk_index")))
+    ends = ends.filter("before IS NOT NULL AND s IS NOT NULL").withColumn("first", embed(F.col("s")))
+    across = ends.groupBy(id_col).agg(F.avg(cos("before", "first")).alias("avg_boundary_similarity"))
+    return chunks.select(id_col).distinct().join(intra, id_col, "left").join(across, id_col, "left")

@@ -72,3 +72,11 @@ def remap(queries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     first = hit.groupBy("query_id").agg(F.min_by("found", F.struct("nth", "chunk_index")).alias("found"))
     status = F.when(F.col("old_text").isNull(), "semantic_chunk_missing").when(F.col("known").isNull(), "doc_missing").when(F.col("found").isNull(), "no_match").otherwise("ok")
     return asked.join(first, "query_id", "left").select("query_id", F.col("found").alias("chunk_id"), status.alias("status"))
+
+
+def eval_context(questions: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
+    """Questions (query_id, ..., answer_chunk_id) with their best ``k`` hits as context and whether the answer is among them."""
+    row = F.struct("rank", F.col("id").alias("chunk_id"), "text", "source_doc")
+    packed = hits.filter(F.col("rank") <= k).groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("context_chunks"))
+    ids = F.transform("context_chunks", lambda c: c["chunk_id"])
+    return questions.join(packed, "query_id", "left").withColumn("ground_truth_retrieved", F.coalesce(F.array_contains(ids, F.col("answer_chunk_id")), F.lit(False)))

@@ -125,3 +125,19 @@ def best_cell(df: DataFrame, what: str, value: str, largest: bool = True) -> Dat
 
 def with_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def run_stats(answers: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
+    """Per key over queries that every key has: share with marks, share on topic, mean marks (repeats count), mean latency."""
+    marks = F.regexp_count(answer, F.lit(r"\[\d+\]"))
+    runs = answers.select(*keys).distinct().agg(F.count(F.lit(1)).alias("runs"))
+    common = answers.groupBy("query").agg(F.count(F.lit(1)).alias("have")).crossJoin(F.broadcast(runs)).filter("have = runs").select("query")
+    return answers.join(common, "query", "left_semi").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((marks > 0).cast("double")), 6).alias("citation_rate"), F.round(F.avg(F.coalesce(F.col("addresses_query"), F.lit(False)).cast("double")), 6).alias("addresses_rate"),
+        F.round(F.avg(marks), 6).alias("mean_citations"), F.round(F.avg("latency_seconds"), 6).alias("mean_latency"),
+    )
+
+
+def expectation_accuracy(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Share of rows whose actual value equals the expected one, per name; rows without an expectation do not count."""
+    return df.agg(*[F.round(F.avg(F.when(F.col(want).isNotNull(), F.col(want).eqNullSafe(F.col(got)).cast("double"))), 4).alias(name) for name, (want, got) in pairs.items()])

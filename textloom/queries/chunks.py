@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import providers
 from textloom.operators import chunking as C
 from textloom.registry import query, table
 
@@ -81,3 +82,11 @@ def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = C.chunk_fixed(table(spark, sf_dir, "documents"))
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("num_chunks"), F.round(F.avg("token_count"), 1).alias("avg_token_count"))
+
+
+@query()
+def chunk_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coherence of semantic chunks with the stand-in embedder."""
+    chunks = C.chunk_with(table(spark, sf_dir, "documents"), "semantic")
+    out = C.coherence(chunks, providers.embedder())
+    return out.select("doc_id", F.round("avg_intra_similarity", 6).alias("intra"), F.round("avg_boundary_similarity", 6).alias("boundary"))

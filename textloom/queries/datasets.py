@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.operators import chunking as C
 from textloom.operators import datasets as D
+from textloom.operators import lexical as L
 from textloom.queries.chunks import fixed_sql
+from textloom.queries.lexical import bm25_sql, questions, tokens, top_sql
 from textloom.registry import query, table
 
 
@@ -82,3 +84,17 @@ def eval_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang AS language, count(*)::BIGINT AS queries, count(DISTINCT source)::BIGINT AS sources FROM documents GROUP BY lang")
 def eval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("queries"), F.count_distinct("source").alias("sources"))
+
+
+@query(
+    f"""WITH {bm25_sql('documents')}, h AS ({top_sql(5)}), d AS (SELECT doc_id, text FROM documents)
+    SELECT b.item_id AS query_id, count(h.id)::BIGINT AS n_context, coalesce(bool_or(contains(d.text, b.text)), false) AS ground_truth_retrieved FROM benchmark b LEFT JOIN h ON h.query_id = b.item_id LEFT JOIN d ON d.doc_id = h.id GROUP BY b.item_id"""
+)
+def eval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top five documents of each benchmark text, and whether one of them holds the text."""
+    docs = table(spark, sf_dir, "documents")
+    hits = L.search(L.build(docs, tokens()), questions(spark, sf_dir), tokens(), 5).join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_doc")), "id")
+    asked = questions(spark, sf_dir).withColumnRenamed("text", "asked")
+    holding = hits.join(asked, "query_id").filter(F.contains("text", "asked")).groupBy("query_id").agg(F.min("id").alias("answer_chunk_id"))
+    out = D.eval_context(asked.join(holding, "query_id", "left"), hits)
+    return out.select("query_id", F.size("context_chunks").cast("long").alias("n_context"), "ground_truth_retrieved")

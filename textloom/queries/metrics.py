@@ -140,3 +140,24 @@ def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     return rows.groupBy("lang").pivot("source", ["src1", "src2", "src3"]).agg(F.round(F.avg((F.col("quality") == 1).cast("double")), 4))
+
+
+_MARKS = "len(regexp_extract_all(answer, '\\[[0-9]+\\]'))"
+
+
+@query(
+    f"""SELECT model, count(*)::BIGINT AS n, round(avg(({_MARKS} > 0)::INT), 6) AS citation_rate, round(avg(addresses_query::INT), 6) AS addresses_rate, round(avg({_MARKS}), 6) AS mean_citations, round(avg(latency_seconds)::DOUBLE, 6) AS mean_latency
+    FROM {values_sql(ANSWERS, _A_COLUMNS)} GROUP BY model"""
+)
+def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_stats(_answers(spark), ["model"])
+
+
+CASES = [("a", True, True, "answered", "answered"), ("b", False, True, "hedged", "answered"), ("c", None, True, "blocked_input", "blocked_input"), ("d", True, True, None, "hedged")]
+_C_COLUMNS = ["id", "expect_expand", "expanded", "expect_route", "route"]
+
+
+@query(f"SELECT round(avg((expect_expand = expanded)::INT), 4) AS expand_accuracy, round(avg((expect_route = route)::INT), 4) AS route_accuracy FROM {values_sql(CASES, _C_COLUMNS)}")
+def routing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.createDataFrame(CASES, "id string, expect_expand boolean, expanded boolean, expect_route string, route string")
+    return M.expectation_accuracy(df, {"expand_accuracy": ("expect_expand", "expanded"), "route_accuracy": ("expect_route", "route")})

@@ -60,3 +60,29 @@ def sample_by_group(df: DataFrame, group: str, n: int, key: str, seed: int = 42)
     """``n`` rows of each group in a repeatable random order."""
     w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A report as CSV with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def upload_summary(results: DataFrame) -> DataFrame:
+    """One row: total, succeeded and failed of per-file results (filename, error)."""
+    return results.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def assert_same_size(left: DataFrame, right: DataFrame, what: str) -> None:
+    """Raise when two tables that must match row for row differ in size."""
+    a, b = left.count(), right.count()
+    if a != b:
+        raise ValueError(f"{what}: {a} and {b} rows")
+
+
+def stage_log(rows: DataFrame, stages: list[str]) -> DataFrame:
+    """(query_id, stage, nth) events of a workflow's rows whose column ``route`` says where they ended."""
+    ended = {"blocked_input": 1}
+    n = F.lit(len(stages))
+    for route, k in ended.items():
+        n = F.when(F.col("route") == route, k).otherwise(n)
+    return rows.select("query_id", F.posexplode(F.slice(F.array(*map(F.lit, stages)), F.lit(1), n)).alias("nth", "stage"))
