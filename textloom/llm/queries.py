@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard_join, langid, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
+from textloom.llm import bpe, jaccard_join, langid, oracles, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
 from textloom.llm.common import documents
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_partenum_jaccard": oracles.jaccard(3, 90), "op4_line_frequency": oracles.line_frequency()}
