@@ -36,6 +36,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider candidates.
 WIDE_EMAIL = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+(?:@|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]{{1,63}}+(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{{1,63}}+){{1,8}}+"
 WIDE_PHONE = r"(?<![0-9A-Za-z+.-])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"
+#: A full international number, where the base pattern runs on into digits that follow.
+WIDE_DIAL = r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{4}(?![0-9])"
+#: Single numbers of card length, which base chains swallow when numbers follow one another.
+WIDE_CARD = r"(?<![0-9])(?:[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5}|[0-9]{13,19})(?![0-9])"
 #: Gazetteers and cue words.
 TLD = r"(?i).*(?:\.|dot[\])]?\x20)(?:com|org|net|edu|gov|info|biz|io|example|test|eu|uk|us|de|fr|es|it|nl|pl|ch|at|be|ca|mx|ar|br|in|jp|cn)$"
 ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|3[068]|6011|64|65|62).*"
@@ -50,7 +54,8 @@ CUES = {
 AGAINST = r"(?i)(?:version|isbn|issn|order|invoice|build|release|section|chapter|page|serial|sku|\bv)\W{0,3}$"
 CONTEXT = 40
 VOTERS = ("strict", "plausible", "layout", "gazetteer", "context")
-THRESHOLD = 0.5
+#: Added spans must be this sure; numbers that only look like a card are left alone.
+THRESHOLD = 0.9
 EM_ROUNDS = 50
 
 
@@ -184,10 +189,14 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
     low = F.lower(t)
     wide_email = F.when(F.contains(t, F.lit("@")) | low.rlike(r"\bat\b.{1,70}\bdot\b"), matches(t, WIDE_EMAIL)).otherwise(empty)
     wide_phone = F.when(t.rlike(r"[0-9][\x20./)-]{1,3}[0-9]{3}"), matches(t, WIDE_PHONE)).otherwise(empty)
+    wide_card = F.when(t.rlike(r"[0-9]{4}[\x20-]?[0-9]{4}"), matches(t, WIDE_CARD)).otherwise(empty)
+    wide_dial = F.when(F.contains(t, F.lit("+")), matches(t, WIDE_DIAL)).otherwise(empty)
     cand = F.concat(
         *[_described(t, k, F.col(f"_raw.{k}"), True) for k in KINDS],
         _described(t, "email", wide_email, False),
+        _described(t, "card", wide_card, False),
         _described(t, "phone", wide_phone, False),
+        _described(t, "phone", wide_dial, False),
     )
     return df.withColumns({"_base": F.sort_array(base), "_cand": cand}).drop("_raw")
 
