@@ -28,13 +28,13 @@ from textloom.llm.fragments import FragmentCodes, codes
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with about SLICE_BYTES in ``column`` each."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch with about ``most`` bytes in ``column`` each."""
     col = batch.column(column)
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(col) if not pa.types.is_list(col.type) else pc.multiply(pc.list_value_length(col), 4), 0)
-    part = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    part = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) // most
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
         yield batch.slice(lo, hi - lo)

@@ -9,9 +9,10 @@ the subsets of parts gives a signature that both share. A signature is the sum o
 the chosen parts. Equal sets are one class before all this.
 
 Links are found without all pairs of a group. Each signature bucket is a run of sorted rows: every member is compared
-with the bucket's smallest id, and the exact Jaccard test decides. What the star of a bucket leaves in different
-components is compared pair by pair in the following round, so no link between different texts is lost. Components
-come from distributed label propagation over star-shaped links; neither links nor labels reach the driver.
+with the bucket's smallest id, and the exact Jaccard test decides. Buckets that this leaves in different components are
+compared with their member of most links, round by round. The pairs that still are apart then are tested one by one,
+but only if a parity sketch, which never exceeds the true difference, lets them be similar: no link between different
+texts is lost. Components come from distributed label propagation; neither links nor labels reach the driver.
 
 Defined results: null, empty and blank texts have 0 shingles and are a component of their own; a text shorter than
 the shingle is one shingle; documents with equal ids share a row's fate by their text; texts are read whole; extra
@@ -25,27 +26,133 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import let, lower_ascii, materialise, words
+from textloom.llm.bpe import slices
+from textloom.llm.common import materialise
 
 #: Second-level parts of a group, how many of them may differ, and spare groups (see ``signatures``).
 PARTS, MAY_DIFFER, SPARE = 2, 1, 1
-#: Shingles that a Python worker expands at once.
-SLICE = 500_000
+#: Bytes of text that a Python worker expands at once.
+SLICE_BYTES = 2 << 20
+#: Pairs of longs that are sent to every executor at most (about 50 MB).
+BROADCAST_IDS = 1_000_000
 MAX_ROUNDS = 60
+#: Rounds in which a torn bucket is compared with its best-linked member before its remaining pairs are.
+HUB_ROUNDS = 3
+#: Longs in a set's parity sketch.
+SKETCH_WORDS = 32
 
 
-def shingles(text: Column, width: int) -> Column:
-    """Distinct hashes of the word shingles; the whole sequence when it is shorter."""
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random number for each byte; those of A-Z equal those of a-z.
+_BYTE = np.random.default_rng(20_000).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
+_powers: list[np.ndarray] = []
 
-    def of(w: Column) -> Column:
-        many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)])))
-        none = F.lit([]).cast("array<bigint>")
-        return F.when(F.size(w) == 0, none).when(F.size(w) < width, F.array(F.xxhash64(F.size(w), F.concat_ws(" ", w)))).otherwise(many)
 
-    return let(words(lower_ascii(text)), of)
+def _power_table(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, kept in the worker for slices of the usual size."""
+    if not _powers or len(_powers[0]) < n:
+        tables = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, SLICE_BYTES + 1), x, np.uint64)))) for x in (_MULTIPLIER, _INVERSE)]
+        if n > SLICE_BYTES + 1:
+            return tables
+        _powers[:] = tables
+    return _powers
+
+
+def text_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the distinct word shingles of each text as one flat array, by text then hash.
+
+    Words are runs without ASCII white space; a word's hash is the sum of its bytes' numbers times powers of a multiplier,
+    taken from one running sum over the bytes of all texts, so no word becomes a Python object.
+    """
+    texts = pc.fill_null(texts, "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    if ends[-1] == ends[0]:
+        return none
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_IS_SPACE[raw]
+    edge = np.concatenate(([True], np.zeros(len(raw), bool)))
+    edge[ends] = True  # a word ends with its text
+    first = np.flatnonzero(inside & (edge[:-1] | np.concatenate(([True], ~inside[:-1]))))
+    last = np.flatnonzero(inside & (edge[1:] | np.concatenate((~inside[1:], [True]))))
+    if not len(first):
+        return none
+    power, inverse = _power_table(len(raw) + 1)
+    running = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[raw] * power[: len(raw)])))
+    word = _mix((running[last + 1] - running[first]) * inverse[first] + (last - first).astype(np.uint64))
+    at = np.searchsorted(first, ends)
+    counts = np.diff(at)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    room = at[1:][owner] - np.arange(len(word))  # words from here to the text's end
+    full = np.flatnonzero(room >= width)
+    code = np.full(len(full), np.uint64(width))
+    for k in range(width):
+        code = _mix(code * np.uint64(0x2545F4914F6CDD1D) + word[full + k])
+    owners = owner[full]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        short = counts[few].astype(np.uint64) + np.uint64(1_000_003)
+        for k in range(width - 1):
+            short = np.where(counts[few] > k, _mix(short * np.uint64(0x2545F4914F6CDD1D) + word[np.minimum(at[few] + k, len(word) - 1)]), short)
+        code, owners = np.concatenate([code, short]), np.concatenate([owners, few])
+    order = np.argsort(code)
+    order = order[np.argsort(owners[order].astype(np.uint16 if len(texts) < 65536 else np.int64), kind="stable")]
+    code, owners = code[order], owners[order]
+    fresh = np.concatenate(([True], (code[1:] != code[:-1]) | (owners[1:] != owners[:-1])))
+    return code[fresh], np.bincount(owners[fresh], minlength=len(texts))
+
+
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set; equal sets have equal keys."""
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(_mix(flat + np.uint64(0x632BE59BD9B4E019)))))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return _mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64)).view(np.int64)
+
+
+def parity_sketch(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS longs a set: bit j is the parity of the shingles that hash to j.
+
+    Each shingle in which two sets differ flips one bit, so the bits that differ never outnumber the shingles that do.
+    """
+    bits = SKETCH_WORDS * 64
+    cell = np.repeat(np.arange(len(sizes)), sizes) * bits + (_mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(sizes) * bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, "text", SLICE_BYTES)
+
+
+def _member_rows(width: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            flat, sizes = text_sets(part.column("text"), width)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(flat, sizes))], ["doc_id", "n_shingles", "id"])
+
+    return emit
+
+
+def _set_rows(width: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            flat, sizes = text_sets(part.column("text"), width)
+            same = set_keys(flat, sizes) == part.column("id").to_numpy()  # ids can repeat with other texts
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64)))
+            marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SKETCH_WORDS), pa.array(parity_sketch(flat, sizes)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), sets, pa.array(sizes), marks], ["id", "hs", "n", "sketch"]).filter(pa.array(same))
+
+    return emit
 
 
 class Bands:
@@ -97,7 +204,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
         groups = bands.difference(starts[band] * 100 // percent) // (MAY_DIFFER + 1) + 1 + SPARE
         first = np.zeros(n + 1, np.int64)
         np.cumsum(groups * PARTS, out=first[1:])
-        cell = first[owner] + (place % (groups * PARTS)[owner].astype(np.uint64)).astype(np.int64)
+        cell = first[owner] + (((place >> np.uint64(32)) * (groups * PARTS).astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(first[-1], np.uint64)
         np.add.at(sums, cell, value)
         filled = np.bincount(cell, minlength=first[-1]) > 0
@@ -117,27 +224,22 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(rows_out), np.concatenate(sigs_out)
 
 
-def _signature_rows(percent: int):
+def _signature_rows(width: int, percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, ids_all = batch.column("hs"), batch.column("id").to_numpy()
-            offsets = sets.offsets.to_numpy()
-            values = sets.values.to_numpy()
-            cuts = np.flatnonzero(np.diff((offsets[1:] - offsets[0]) // SLICE, prepend=-1))
-            for lo, hi in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-                sizes = np.diff(offsets[lo : hi + 1])
-                flat = values[offsets[lo] : offsets[hi]]
-                if not len(flat):
-                    continue
-                rows, sigs = signatures(flat, sizes[sizes > 0].astype(np.int64), percent)
-                ids = ids_all[lo:hi][sizes > 0][rows]
-                order = np.lexsort((ids, sigs))
-                sigs, ids = sigs[order].view(np.int64), ids[order]
-                fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])))
-                sigs, ids = sigs[fresh], ids[fresh]  # copies of a set in this slice are one row
-                new = np.concatenate(([True], sigs[1:] != sigs[:-1]))
-                head = ids[np.maximum.accumulate(np.where(new, np.arange(len(sigs)), 0))]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(ids), pa.array(head, mask=new)], ["sig", "id", "head"])
+        for part in _parts(batches):
+            flat, sizes = text_sets(part.column("text"), width)
+            if not len(flat):
+                continue
+            keys = set_keys(flat, sizes)
+            rows, sigs = signatures(flat, sizes[sizes > 0], percent)
+            ids = keys[sizes > 0][rows]
+            order = np.lexsort((ids, sigs))
+            sigs, ids = sigs[order].view(np.int64), ids[order]
+            fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])))
+            sigs, ids = sigs[fresh], ids[fresh]  # copies of a set in this slice are one row
+            new = np.concatenate(([True], sigs[1:] != sigs[:-1]))
+            head = ids[np.maximum.accumulate(np.where(new, np.arange(len(sigs)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(ids), pa.array(head, mask=new)], ["sig", "id", "head"])
 
     return emit
 
@@ -174,12 +276,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def linked_classes(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, comp) for the sets that are linked to another.
 
-    ``sets`` has (id, hs) rows, equal sets have equal ids; ``fetch(ids)`` returns (id, hs, n), one row for each id.
+    ``rows`` has (sig, id, head) of each set's signatures; ``fetch(ids)`` returns (id, hs, n), one row for each id.
     """
-    rows = sets.mapInArrow(_signature_rows(percent), "sig long, id long, head long")
     # a member that met another of its bucket before the shuffle keeps that one as its centre, the others get the first
     centre = F.coalesce("head", F.first("id").over(Window.partitionBy("sig").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
     star = materialise(rows.select("sig", "id", centre.alias("centre")).filter("id <> centre"), "stars")
@@ -187,35 +288,55 @@ def linked_classes(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], per
     known = materialise(fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     links = materialise(_verified(pairs, known, percent), "links")
     labels = _labels(links)
-    members = star.select("sig", F.explode(F.array("id", "centre")).alias("id")).distinct()
-    marked = members.join(labels, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-    open_ = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sig")
-    rest = materialise(marked.join(open_, "sig"), "open")
-    other = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"))
-    cross = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp")).join(other, "sig").filter("a < b and a_comp <> b_comp")
+    members = materialise(star.select("sig", F.explode(F.array("id", "centre")).alias("id")).distinct(), "members-of")
+    for _ in range(HUB_ROUNDS):
+        members = _open(members, labels)
+        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = members.join(degree, "id", "left").select("sig", F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("id")).alias("order"), "id", "comp").alias("hub"))
+        hubs = ranked.groupBy("sig").agg(F.max("hub").alias("hub"))
+        apart = members.join(hubs, "sig").filter("comp <> hub.comp").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        apart = materialise(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(_verified(apart, known, percent), "links")
+        pairs = pairs.union(apart)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = _labels(links)
+    rest = _open(members, labels).join(known.select("id", "n", "sketch"), "id")
+    left = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    right = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+    cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near)
     untried = cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = materialise(_verified(untried, known, percent), "links")
     return labels if more.isEmpty() else _labels(links.union(more))
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, id, comp) of the buckets whose members lie in different components."""
+    marked = members.select("sig", "id").join(labels, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
+    torn = marked.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("sig")
+    return materialise(marked.join(torn, "sig"), "open")
+
+
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per document: n_shingles and component_id, the smallest doc_id reachable over links.
 
     A set is known by a 64-bit hash of its sorted hashes.
     """
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = docs.select("doc_id", shingles(F.col("text"), width).alias("hs"))
-    key = F.xxhash64(F.sort_array("hs"))
-    members = materialise(sets.select("doc_id", F.size("hs").cast("long").alias("n_shingles"), key.alias("id")), "members")
+    kind = docs.dtypes[0][1]
+    members = materialise(docs.mapInArrow(_member_rows(width), f"doc_id {kind}, n_shingles long, id long"), "members")
     least = materialise(members.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")), "least")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = least.join(ids, "id").select(F.col("least").alias("doc_id"), "id")
-        found = docs.join(wanted, "doc_id").select("id", shingles(F.col("text"), width).alias("hs"))
-        own = found.filter(F.xxhash64(F.sort_array("hs")) == F.col("id"))  # ids can repeat with other texts
-        return own.select("id", "hs", F.size("hs").alias("n"))
+        wanted = materialise(least.join(ids, "id").select(F.col("least").alias("doc_id"), "id"), "wanted")
+        few = wanted.count() <= BROADCAST_IDS  # then no text moves; beyond, texts are dealt by id
+        found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+        return found.select("id", "text").mapInArrow(_set_rows(width), "id long, hs array<long>, n long, sketch array<long>")
 
-    labels = linked_classes(sets.filter(F.size("hs") > 0).select(key.alias("id"), "hs"), fetch, percent)
+    labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent), "sig long, id long, head long"), fetch, percent)
     tops = least.join(labels, "id").groupBy("comp").agg(F.min("least").alias("component"))
     named = labels.join(tops, "comp").select("id", "component")
     named = least.join(named, "id", "left").select("id", F.coalesce("component", "least").alias("component"))
