@@ -39,6 +39,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(df: DataFrame, **named: str) -> DataFrame:
+    """``df``'s rows as one struct ``_row`` beside the columns an operator works on, so that no extra column can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{source}`").alias(name) for name, source in named.items()])
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], **changed: Column) -> DataFrame:
+    """The columns of ``packed`` rows again, some of them replaced."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"_row.`{c}`").alias(c) for c in columns])
+
+
 def words(text: Column) -> Column:
     """Words of a text: runs of characters other than ASCII white space; null and blank give an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

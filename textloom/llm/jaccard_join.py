@@ -14,7 +14,8 @@ compared with their member of most links, round by round. The pairs that still a
 but only if a parity sketch, which never exceeds the true difference, lets them be similar: no link between different
 texts is lost. Components come from distributed label propagation; neither links nor labels reach the driver.
 
-Defined results: null, empty and blank texts have 0 shingles and are a component of their own; a text shorter than
+Defined results: null, empty and blank texts have 0 shingles and are a component of their own; a text that only null ids
+have is linked with nothing, and rows without an id are kept; a text shorter than
 the shingle is one shingle; documents with equal ids share a row's fate by their text; texts are read whole; extra
 columns are ignored by ``components`` and kept by ``first_of_each``; an empty table gives an empty result.
 """
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import slices
-from textloom.llm.common import materialise
+from textloom.llm.common import materialise, packed, unpacked
 
 #: Second-level parts of a group, how many of them may differ, and spare groups (see ``signatures``).
 PARTS, MAY_DIFFER, SPARE = 2, 1, 1
@@ -345,6 +346,8 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
 
 
 def first_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest id of its component; all columns stay."""
-    heads = components(df, doc_id, text, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    return df.join(heads, F.col(doc_id) == F.col("_head"), "left_semi")
+    """The rows of ``df`` whose document is the smallest id of its component, and rows without an id; all columns stay."""
+    heads = components(df, doc_id, text, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    rows = packed(df, doc_id=doc_id)
+    kept = rows.join(heads, rows["doc_id"] == heads["head"], "left_semi")
+    return unpacked(kept.union(rows.filter(F.col("doc_id").isNull())), df.columns)

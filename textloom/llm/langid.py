@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import packed, unpacked
 from textloom.llm.grams import SIZE, counted, grams
 
 #: Bound of the fitting sample: documents a language, in expectation.
@@ -157,7 +158,8 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score."""
+    """``df`` with lang_pred and score, in place of columns of these names."""
+    df = df.drop("lang_pred", "score", "_letter")
     marked = df.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     names = [f.name for f in df.schema.fields]
 
@@ -180,5 +182,5 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def keep_known(df: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` whose text is in a learned language with at least the score ``least``; all columns stay."""
-    found = predict(df.withColumnRenamed("score", "_score") if "score" in df.columns else df, train(df, doc_id, text, lang), text)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("_score").alias("score") if c == "score" else F.col(c) for c in df.columns])
+    found = predict(packed(df, text=text), train(df, doc_id, text, lang))
+    return unpacked(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)), df.columns)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import let
+from textloom.llm.common import let, packed, unpacked
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -322,9 +322,9 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of the text replaced by its kind in brackets; all columns stay, n_chars is renewed."""
-    found = detect(df, text)
+    found = detect(packed(df, text=text))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col(text)
+    t = F.col("text")
     # (upto, pieces): what stands between spans is copied; of overlapping spans the first names the whole
     folded = F.aggregate(
         "spans",
@@ -337,4 +337,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     )
     masked = F.when(F.size("spans") > 0, folded).otherwise(t)
     found = found.withColumn("_masked", masked)
-    return found.select(*[F.col("_masked").alias(c) if c == text else F.coalesce(F.length("_masked"), F.lit(0)).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
+    changed = {text: F.col("_masked")}
+    if "n_chars" in df.columns and text != "n_chars":
+        changed["n_chars"] = F.length("_masked").cast(df.schema["n_chars"].dataType)
+    return unpacked(found, df.columns, **changed)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, let, words
+from textloom.llm.common import SPACE, let, packed, unpacked, words
 
 #: A line is boilerplate in a host when more distinct documents than the larger of these hold it.
 MIN_DOCS = 20
@@ -139,16 +139,16 @@ def clean(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
     The base rules and the share of words left are taken in one pass over the text once the boilerplate lines
     that a document holds are known; only documents that hold some get an array of their hashes.
     """
-    lines, common = _lost(df, doc_id, text, host, min_docs, host_share)
+    rows = packed(df, doc_id=doc_id, text=text, host=host)
+    lines, common = _lost(rows, "doc_id", "text", "host", min_docs, host_share)
     hit = lines.join(common.withColumnRenamed("host", "c_host").withColumnRenamed("line", "c_line"), (F.col("line") == F.col("c_line")) & F.col("host").eqNullSafe(F.col("c_host")), "left_semi")
-    drop = hit.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_drop"))
-    metrics = base_metrics(df.withColumn("_t", F.col(text)), "_t").filter(~F.col("base_failed")).select(*df.columns, F.col("n_words").alias("_n_words"))
-    out = metrics.join(drop, F.col(doc_id) == F.col("_id"), "left")
-    left = F.array_join(
-        F.filter(F.split(F.col(text), "\n"), lambda ln: ~F.array_contains(F.col("_drop"), F.xxhash64(normal_line(ln)))),
-        "\n",
-    )
-    out = out.withColumn("_left", F.when(F.col("_drop").isNull(), F.col(text)).otherwise(left))
-    out = out.filter(F.col("_drop").isNull() | (F.size(words(F.col("_left"))) > left_share * F.col("_n_words")))
-    renewed = [F.col("_left").alias(c) if c == text else F.length("_left").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns]
-    return out.select(*renewed)
+    drop = hit.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line").alias("drop"))
+    sound = base_metrics(rows).filter(~F.col("base_failed")).select("_row", "doc_id", "text", "n_words")
+    out = sound.join(drop, F.col("doc_id") == F.col("drop_id"), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda ln: ~F.array_contains(F.col("drop"), F.xxhash64(normal_line(ln)))), "\n")
+    out = out.withColumn("left", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left))
+    out = out.filter(F.col("drop").isNull() | (F.size(words(F.col("left"))) > left_share * F.col("n_words")))
+    changed = {text: F.col("left")}
+    if "n_chars" in df.columns and text != "n_chars":
+        changed["n_chars"] = F.length("left").cast(df.schema["n_chars"].dataType)
+    return unpacked(out, df.columns, **changed)
