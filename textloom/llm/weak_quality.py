@@ -4,8 +4,7 @@ Heuristic labelers vote good, bad or nothing on each text. Expectation-maximisat
 estimates how accurate each labeler is and how probable a good text is under each pattern; these posteriors train a
 linear scorer on hashed character n-grams, which scores every text.
 
-Scale: votes are column expressions; patterns are a finite table (3 to the number of labelers), the only thing that is
-shuffled; the scorer is fitted on a bounded sample of about ``SAMPLE`` documents chosen by a hash; scoring is a map.
+Scale: patterns are a finite table (3 to the number of labelers), counted per batch and the only thing that is shuffled; the scorer is fitted on a bounded sample of about ``SAMPLE`` documents chosen by a hash; scoring is a map.
 
 Defined results: a null or empty text gets the score 0 and is not kept; texts are read whole; repeated rows give equal
 results; extra columns are ignored; an empty table gives an empty result.
@@ -14,15 +13,20 @@ results; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE, words
+from textloom.llm.common import SPACE
 from textloom.llm.grams import SIZE, grams
 from textloom.llm.langid import sample_rows
 
@@ -44,39 +48,68 @@ def _with_votes(at: np.ndarray, count: np.ndarray, said: str) -> tuple[np.ndarra
     return np.append(at, vote_buckets(said)), np.append(count / max(1.0, count.sum()), np.full(len(said), VOTE_SHARE))
 
 
+@lru_cache(maxsize=4096)
 def vote_buckets(said: str) -> np.ndarray:
     return np.array([zlib.crc32(f"{name}{v}".encode()) % SIZE for name, v in zip(LABELERS, said, strict=True)], np.int64)
 
 
-def votes(text: Column) -> Column:
+_LETTER, _CAPITAL, _DIGIT, _SPACE, _SYMBOL = 1, 2, 3, 4, 5
+_ENDED = re.compile(rf"[.!?:;\"”»)][{SPACE}]*\Z").search
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of each character of the basic plane: letter, capital, digit, ASCII white space, symbol or 0."""
+    out = np.zeros(1 << 16, np.uint8)
+    for cp in range(1 << 16):
+        kind = unicodedata.category(chr(cp))
+        out[cp] = _CAPITAL if kind == "Lu" else _LETTER if kind[0] == "L" else 0
+    out[[0x20, *range(0x09, 0x0E)]] = _SPACE
+    out[0x30:0x3A] = _DIGIT
+    out[[ord(c) for c in "#*$%&|<>{}[]\\^~=_"]] = _SYMBOL
+    return out
+
+
+def votes(text: str) -> str:
     """One character a labeler: + good, - bad, 0 nothing."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(F.regexp_replace(t, f"[{SPACE}]+", ""))
-    n_words = F.regexp_count(t, F.lit(f"[^{SPACE}]+"))
-    letters, capitals = F.regexp_count(t, F.lit(r"\p{L}")), F.regexp_count(t, F.lit(r"\p{Lu}"))
-    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>{}[]\\^~=_", ""))
-    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
-    echoes = F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])([^{SPACE}]++)(?=[{SPACE}]++\1(?![^{SPACE}]))"))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    n_lines, different = F.size(lines), F.size(F.array_distinct(lines))
-    ended = F.size(F.filter(lines, lambda x: x.rlike(f"[.!?:;\"”»)][{SPACE}]*$")))
-
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit("-")).when(good, F.lit("+")).otherwise(F.lit("0"))
-
-    each = {
-        "length": vote(n_words >= 50, n_words < 10),
-        "word_length": vote((chars >= 3 * n_words) & (chars <= 9 * n_words), (chars < 2 * n_words) | (chars > 14 * n_words)),
-        "symbols": vote(200 * symbols <= n_words, 10 * symbols > n_words),
-        "letters": vote(10 * letters >= 9 * chars, 10 * letters < 7 * chars),
-        "line_ends": vote(10 * ended >= 8 * n_lines, 10 * ended < 3 * n_lines),
-        "line_repeats": vote((n_lines >= 4) & (different == n_lines), 10 * different < 7 * n_lines),
-        "capitals": vote((20 * capitals <= 3 * letters) & (capitals > 0), 10 * capitals > 4 * letters),
-        "digits": vote(20 * digits <= chars, 5 * digits > chars),
-        "word_repeats": vote(100 * echoes <= n_words, 10 * echoes > n_words),
-        "variety": vote(10 * F.size(F.array_distinct(words(t))) >= 3 * n_words, 20 * F.size(F.array_distinct(words(t))) < 3 * n_words),
-    }
-    return F.concat(*[each[name] for name in LABELERS])
+    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    kinds = np.bincount(_classes()[points], minlength=6)
+    chars, letters = len(text) - kinds[_SPACE], kinds[_LETTER] + kinds[_CAPITAL]
+    words = text.translate(_BLANKS).split(" ")
+    words = [w for w in words if w]
+    n = len(words)
+    echoes = sum(map(eq, words, words[1:]))
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+    different, ended = len(set(lines)), sum(1 for x in lines if _ENDED(x[-64:]))
+    variety = len(set(words))
+
+    def vote(good: bool, bad: bool) -> str:
+        return "-" if bad else "+" if good else "0"
+
+    return "".join(
+        (
+            vote(n >= 50, n < 10),
+            vote(3 * n <= chars <= 9 * n, chars < 2 * n or chars > 14 * n),
+            vote(200 * kinds[_SYMBOL] <= n, 10 * kinds[_SYMBOL] > n),
+            vote(10 * letters >= 9 * chars, 10 * letters < 7 * chars),
+            vote(10 * ended >= 8 * len(lines), 10 * ended < 3 * len(lines)),
+            vote(len(lines) >= 4 and different == len(lines), 10 * different < 7 * len(lines)),
+            vote(0 < 20 * kinds[_CAPITAL] <= 3 * letters, 10 * kinds[_CAPITAL] > 4 * letters),
+            vote(20 * kinds[_DIGIT] <= chars, 5 * kinds[_DIGIT] > chars),
+            vote(100 * echoes <= n, 10 * echoes > n),
+            vote(10 * variety >= 3 * n, 20 * variety < 3 * n),
+        )
+    )
+
+
+_BLANKS = {c: " " for c in (0x09, 0x0A, 0x0B, 0x0C, 0x0D)}
+
+
+def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vote patterns and their counts, added up for each batch."""
+    for batch in batches:
+        found = Counter(votes(t.as_py() or "") for t in batch.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
 
 
 def estimate(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
@@ -123,29 +156,36 @@ def fit(samples: list[tuple[tuple[float, str], np.ndarray, np.ndarray]]) -> tupl
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: weak_label (posterior of its votes), score (of the scorer) and kept."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = rows.withColumn("votes", votes(F.col("text")))
-    counts = sorted((r["votes"], r["n"]) for r in marked.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3**10 rows
+    kind = rows.dtypes[0][1]
+    patterns = rows.select("text").mapInArrow(_vote_rows, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    counts = sorted((r["votes"], r["n"]) for r in patterns.collect())  # at most 3**10 rows
     posterior, _ = estimate(counts)
     if not posterior:
-        return marked.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    table = F.create_map(*[F.lit(x) for kv in posterior.items() for x in kv])
-    weak = marked.withColumn("weak_label", F.try_element_at(table, F.col("votes")))
-    total = sum(n for _, n in counts)
-    point = F.lit(min(1.0, SAMPLE / total))
-    drawn = sample_rows(weak.filter(F.length("text") > 0), point, F.col("votes"))
-    samples = [((posterior[v], v), at, c) for v, at, c in drawn if len(at)]
+        return rows.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+    share = F.lit(min(1.0, SAMPLE / sum(n for _, n in counts)))
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "text", "votes"])
+
+    point = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
+    drawn = rows.filter((F.length("text") > 0) & (point < share)).mapInArrow(voted, f"doc_id {kind}, text string, votes string")
+    samples = [((posterior[v], v), at, c) for v, at, c in sample_rows(drawn, F.lit(1.0), F.col("votes")) if len(at)]
     weights, bias = fit(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = []
-            for t, said in zip(batch.column("text"), batch.column("votes"), strict=True):
+            labels, scores = [], []
+            for t in batch.column("text"):
+                text_ = t.as_py()
+                said = votes(text_ or "")
+                labels.append(posterior.get(said, 0.0))
                 z = None
-                if text_ := t.as_py():
+                if text_:
                     g = grams(text_)
-                    z = float(weights[g].sum(dtype=np.float64)) / len(g) + VOTE_SHARE * float(weights[vote_buckets(said.as_py())].sum()) + bias
-                score.append(0.0 if z is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weak_label"), pa.array(score, pa.float64())], ["doc_id", "weak_label", "score"])
+                    z = float(weights[g].sum(dtype=np.float64)) / len(g) + VOTE_SHARE * float(weights[vote_buckets(said)].sum()) + bias
+                scores.append(0.0 if z is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "weak_label", "score"])
 
-    scored = weak.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, weak_label double, score double")
+    scored = rows.mapInArrow(run, f"doc_id {kind}, weak_label double, score double")
     return scored.withColumn("kept", F.col("score") >= KEEP)
