@@ -39,12 +39,12 @@ KEEP = 0.01
 SCALE = 30.0
 EM_ROUNDS = 100
 #: Weight of a vote beside the text's n-grams, whose weights sum to 1.
-VOTE_SHARE = 0.02
+VOTE_SHARE = 0.1
 LABELERS = ("length", "word_length", "symbols", "letters", "line_ends", "line_repeats", "capitals", "digits", "word_repeats", "variety")
 
 
 def _with_votes(at: np.ndarray, count: np.ndarray, said: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram features and one hashed feature for each vote, each as strong as a hundredth of the text."""
+    """The n-gram features and one hashed feature for each vote, each as strong as a tenth of the text."""
     return np.append(at, vote_buckets(said)), np.append(count / max(1.0, count.sum()), np.full(len(said), VOTE_SHARE))
 
 
@@ -88,13 +88,13 @@ def votes(text: str) -> str:
 
     return "".join(
         (
-            vote(n >= 50, n < 10),
+            vote(n >= 50, n < 3),
             vote(3 * n <= chars <= 9 * n, chars < 2 * n or chars > 14 * n),
             vote(200 * kinds[_SYMBOL] <= n, 10 * kinds[_SYMBOL] > n),
             vote(10 * letters >= 9 * chars, 10 * letters < 7 * chars),
             vote(10 * ended >= 8 * len(lines), 10 * ended < 3 * len(lines)),
             vote(len(lines) >= 4 and different == len(lines), 10 * different < 7 * len(lines)),
-            vote(0 < 20 * kinds[_CAPITAL] <= 3 * letters, 10 * kinds[_CAPITAL] > 4 * letters),
+            vote(0 < 20 * kinds[_CAPITAL] <= 3 * letters, chars >= 30 and 10 * kinds[_CAPITAL] > 4 * letters),
             vote(20 * kinds[_DIGIT] <= chars, 5 * kinds[_DIGIT] > chars),
             vote(100 * echoes <= n, 10 * echoes > n),
             vote(10 * variety >= 3 * n, 20 * variety < 3 * n),
