@@ -13,7 +13,7 @@ from array import array
 from functools import lru_cache
 
 #: Cached fragments in a worker; at the limit the cache starts anew (about 200 bytes an entry).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 _ASCII_SPACE = r" \t\n\r\x0b\x0c"
 
 
