@@ -36,7 +36,11 @@ def _scored_blocks(matrix: np.ndarray, ids: np.ndarray, k: int):
 
 
 def flat_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id, score, rank) by inner product, ties by id. Rows without a vector match nothing."""
+    """(query_id, id, score, rank) by inner product, ties by id. Rows without a vector match nothing.
+
+    The queries are a stated set that fits the driver; they go to the corpus in blocks of BLOCK, and each task returns at
+    most k rows a query and Arrow batch.
+    """
     rows = corpus.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"))
     asked = queries.filter(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec")).toArrow()
     out = None
