@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import jaccard_join, langid, packing, pii, quality_rules
-from textloom.llm.common import documents, shared_dir
+from textloom.llm.common import documents, drop_stored, keep_stored, shared_dir, stored_so_far
 from textloom.llm.queries import tokenizer_path
 
 
@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; each stage is written as Parquet to shared storage and read again."""
-    docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared_dir(spark)}/textloom-stage{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """Apply STAGES to ``documents``; each stage is written as Parquet to shared storage and read again.
+
+    What a stage stored on its way, and the stage before the last one written, are deleted as soon as nothing reads them.
+    """
+    docs, before = documents(spark, sf_dir), stored_so_far()
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/textloom-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        drop_stored(spark, before)
+        keep_stored(path)
         docs = spark.read.parquet(path)
     return docs

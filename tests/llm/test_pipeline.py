@@ -36,5 +36,12 @@ def test_decisions_take_effect(spark, docs, corpus):
 
 
 def test_run(spark):
+    from pathlib import Path
+
+    from textloom.llm.common import shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(place.iterdir()) if place.exists() else set()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len([p for p in set(place.iterdir()) - before if p.name.startswith("textloom-")]) == 1  # the last stage alone
     assert out.count() > 100 and "batch" in out.columns

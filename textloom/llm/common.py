@@ -27,9 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this process stored, oldest first.
+_stored: list[str] = []
+
+
+def stored_so_far() -> int:
+    """A mark for ``drop_stored``."""
+    return len(_stored)
+
+
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables stored after a mark; call it once the results that read them are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _stored[since:]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    del _stored[since:]
+
+
+def keep_stored(path: str) -> None:
+    """Let the next ``drop_stored`` from an older mark delete this path too."""
+    _stored.append(path)
+
+
+def stored_path(spark: SparkSession, label: str) -> str:
+    """A new folder in shared storage, known to ``drop_stored``."""
+    path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/textloom-{label}-{uuid.uuid4().hex}"
+    path = stored_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

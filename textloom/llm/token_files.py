@@ -17,7 +17,6 @@ any length are whole (a segment grows with its longest document); extra columns
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_dir
+from textloom.llm.common import stored_path
 from textloom.llm.fragments import codes
 
 MAGIC = b"TLDAC1"
@@ -158,6 +157,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def report(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the files of ``df`` to shared storage and read them back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom-tokens-{uuid.uuid4().hex}"
+    path = stored_path(spark, "tokens")
     write(df, path, tokenizer, end_id, doc_id, text)
     return read(spark, path)
