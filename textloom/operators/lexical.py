@@ -21,7 +21,10 @@ class Index:
 
 
 def build(corpus: DataFrame, tokens: Column, id_col: str = "doc_id") -> Index:
-    """Documents without a token count in n and avgdl and match nothing."""
+    """Documents without a token count in n and avgdl and match nothing.
+
+    The tables are lazy: store them (``sources.tables.save_index``) or persist them when many batches of queries follow.
+    """
     rows = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
     lengths = rows.select("id", F.size("tokens").cast("long").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
