@@ -54,7 +54,8 @@ class FragmentCodes(dict):
         self.byte_of = {c: b for b, c in byte_alphabet().items()}
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"] or {})
         self.find = (self._word_pattern() if self.lowers else self._byte_pattern()).findall
-        self.plain = re.compile("[a-z]+" if self.lowers else " ?[A-Za-z]+").fullmatch
+        self.plain = re.compile("[a-zß-öø-ÿ]+" if self.lowers else " ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.printable = {b: c for c, b in self.byte_of.items() if chr(b) != c}
         self.not_latin = re.compile("[^\x00-\xff]").search
 
     def _word_pattern(self) -> re.Pattern:
@@ -94,7 +95,8 @@ class FragmentCodes(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         if self.plain(fragment):  # one pre-token without anything to normalise: the model alone decides
-            ids = [t.id for t in self.tokenizer.model.tokenize(fragment.replace(" ", "Ġ"))]
+            printed = fragment.encode().decode("latin-1").translate(self.printable)
+            ids = [t.id for t in self.tokenizer.model.tokenize(printed)]
         else:
             ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
         self[fragment] = code = array("I", ids).tobytes()
