@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near copies, at the join's contract: three words, similarity 0.9."""
-    return jaccard_join.first_of_each(docs, width=3, percent=90)
+    """Keep the smallest id of each group of near copies: shingles of five words, similarity 0.8."""
+    return jaccard_join.first_of_each(docs, width=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,14 @@ def test_decisions_take_effect(spark, docs, corpus):
     assert {r["doc_id"] for r in packed} == set(kept[3])
 
 
+def test_copies_with_a_fifth_of_text_added_or_removed_go(spark, docs):
+    words = [f"w{i}" for i in range(200)]
+    scattered = [f"x{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(words)]
+    texts = [words, words + [f"tail{i}" for i in range(40)], words[:165], scattered, [f"other{i}" for i in range(200)]]
+    kept = {r["doc_id"] for r in corpus_pipeline.duplicate_stage(spark, docs([" ".join(t) for t in texts]), "").collect()}
+    assert kept == {0, 4}
+
+
 def test_run(spark):
     from pathlib import Path
 
