@@ -79,6 +79,23 @@ def test_a_document_is_no_duplicate_of_itself(spark):
     assert rows == {1: (3, 1.0), 3: (1, 1.0), 2: (None, None)}
 
 
+def test_copies_of_incoming_and_existing_rows_find_their_near_duplicate(spark):
+    base = [f"word{i}" for i in range(60)]
+    near, far, twin = " ".join(base), " ".join(["else", *base[1:]]), " ".join(f"other{i}" for i in range(60))
+    new = spark.createDataFrame([(8, far), (12, far), (4, twin), (16, twin + " end"), (20, "alone")], "doc_id long, text string")
+    old = spark.createDataFrame([(5, near), (9, twin), (13, twin)], "doc_id long, text string")
+    rows = {r["id"]: r["duplicate_of"] for r in D.duplicate_of(new, old).collect()}
+    # 12 is a second copy; 16 is near the class of 9, whose smallest member arrives
+    assert rows == {8: 5, 12: 5, 4: 9, 16: 9, 20: None}
+
+
+def test_a_row_finds_the_other_copies_of_its_stored_version(spark):
+    stored, now = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}" for i in range(59))
+    old = spark.createDataFrame([(1, stored), (2, stored)], "doc_id long, text string")
+    new = spark.createDataFrame([(1, now), (3, now)], "doc_id long, text string")
+    assert {r["id"]: r["duplicate_of"] for r in D.duplicate_of(new, old).collect()} == {1: 2, 3: 1}
+
+
 def test_bm25_pads_with_first_documents(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["x y", "y z", "z z", "q", "r"])], "doc_id long, text string")
     ask = spark.createDataFrame([(1, "q"), (2, "none")], "query_id long, text string")
