@@ -82,3 +82,43 @@ def graph_onehop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mentions(spark, sf_dir)
     return G.graph_search(G.graph_scores(_asked(spark, sf_dir), m, G.neighbours(m)), 10).withColumn("score", F.round("score", 6))
+
+
+# The same five over documents with the operator's own extraction, which has no SQL form.
+
+
+def _document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.mentions(table(spark, sf_dir, "documents"), G.entities(F.col("text"), F.lit(None).cast("string")))
+
+
+def _asked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(G.entities(F.col("text"), F.lit(None).cast("string"))).alias("entity"))
+
+
+@query()
+def cooccurrence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbours(_document_mentions(spark, sf_dir))
+
+
+@query()
+def graph_stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _document_mentions(spark, sf_dir)
+    return G.stats(m, G.neighbours(m))
+
+
+@query()
+def graph_direct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _document_mentions(spark, sf_dir)
+    return G.graph_scores(_asked_entities(spark, sf_dir), m, G.neighbours(m), hops=0).withColumn("score", F.round("score", 6))
+
+
+@query()
+def graph_onehop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _document_mentions(spark, sf_dir)
+    return G.graph_scores(_asked_entities(spark, sf_dir), m, G.neighbours(m)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def graph_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _document_mentions(spark, sf_dir)
+    return G.graph_search(G.graph_scores(_asked_entities(spark, sf_dir), m, G.neighbours(m)), 10).withColumn("score", F.round("score", 6))
