@@ -65,3 +65,27 @@ def test_sparse_ids_many_buckets(spark, docs, monkeypatch):
 def test_single_and_empty(spark, docs):
     check(docs(["only one here"]), ["only one here"])
     assert S.report(docs([])).count() == 0
+
+
+def test_documents_within_the_radius_are_named(spark, docs):
+    texts = [f"text number {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(110)]
+    texts[5], texts[7] = texts[0], texts[100]
+    rows = {r["doc_id"]: r for r in S.report(docs(texts)).collect()}
+    fps = {i: int(r["fingerprint"], 16) for i, r in rows.items()}
+    want = {(i, j, (fps[i] ^ fps[j]).bit_count()) for i in (0, 100) for j in fps if i != j and (fps[i] ^ fps[j]).bit_count() <= S.RADIUS}
+    assert {(0, 5, 0), (100, 7, 0)} <= want
+    for i in rows:
+        listed = rows[i]["fingerprints_within_radius"]
+        assert (listed is not None) == (i % 100 == 0)
+        if listed:
+            assert listed == sorted(set(listed))
+            assert {j for j in rows if rows[j]["fingerprint"] in listed} - {i} == {b for a, b, _ in want if a == i}
+
+
+def test_neighbours_against_all_pairs(spark):
+    fps = [(0, 0), (1, 7), (2, 15), (3, -(2**63)), (4, 0), (5, 1 << 40 | 1 << 20 | 1), (6, -1), (7, 2**63 - 1)]
+    df = spark.createDataFrame(fps, "doc_id long, fp long")
+    distance = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = {(i, j, distance(a, b)) for i, a in fps for j, b in fps if i != j and distance(a, b) <= S.RADIUS}
+    found = S.neighbours(df, df).collect()
+    assert {(r["doc_id"], r["neighbour"], r["distance"]) for r in found} == want and len(found) == len(want)

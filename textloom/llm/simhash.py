@@ -10,7 +10,7 @@ first row of each bucket travels to the bucket before it; the order of buckets i
 
 The radius search cuts a fingerprint into six blocks and keeps one table for each choice of three blocks: two
 fingerprints within three bits agree on at least three blocks, so they meet in a table. Equal fingerprints are one
-row with a count, and a pair is reported by the first table it meets in.
+row with a count, and a pair is reported by the first table it meets in. The report lists the fingerprints found.
 
 Defined results: null and empty texts have the fingerprint 0 and likeness 1 to each other; the last document's
 next is the first, a single document is its own next; documents with equal ids are ordered by a hash of the text;
@@ -127,22 +127,37 @@ def _first_table(diff: Column) -> Column:
 
 
 def within_radius(queries: DataFrame, fps: DataFrame) -> DataFrame:
-    """For each distinct ``fp`` of queries: how many rows of ``fps`` have a fingerprint within RADIUS bits."""
+    """(q, fp, distance, n): every distinct ``fp`` of ``fps`` within RADIUS bits of a distinct ``fp`` q of ``queries``,
+    itself too, and how many rows of ``fps`` have it. Rows with equal fingerprints are one pair; ``neighbours`` names them."""
     many = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).select("fp", "n", F.explode(_tables(F.col("fp"))).alias("_t"))
     many = many.select("fp", "n", "_t.table", "_t.key")
     few = queries.select(F.col("fp").alias("q")).distinct().select("q", F.explode(_tables(F.col("q"))).alias("_t"))
     few = few.select("q", F.col("_t.table").alias("q_table"), F.col("_t.key").alias("q_key"))
     diff = F.col("fp").bitwiseXOR(F.col("q"))
     met = (F.col("table") == F.col("q_table")) & (F.col("key") == F.col("q_key")) & (F.bit_count(diff) <= RADIUS) & (_first_table(diff) == F.col("q_table"))
-    return many.join(few, met).groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_within"))
+    return many.join(few, met).select("q", "fp", F.bit_count(diff).alias("distance"), "n")
+
+
+def neighbours(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, neighbour, distance) of every document of ``queries`` and every other one of ``rows`` within RADIUS bits.
+
+    Both have (doc_id, fp). The pairs of a large group of copies are as many as its queries times its size.
+    """
+    asked, held = queries.select("doc_id", F.col("fp").alias("q")).distinct(), rows.select(F.col("doc_id").alias("neighbour"), "fp").distinct()
+    pairs = within_radius(queries, rows).drop("n").join(asked, "q").join(held, "fp")
+    return pairs.filter("doc_id <> neighbour").select("doc_id", "neighbour", "distance")
 
 
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", query_every: int = 100) -> DataFrame:
     """The comparison of every document, and for ids divisible by ``query_every`` the number of other documents
-    whose fingerprint is within RADIUS bits (null for the rest)."""
+    whose fingerprint is within RADIUS bits and the sorted fingerprints within it, its own included (null for the rest).
+
+    The documents of a listed fingerprint are the rows with this ``fingerprint``, so copies are not listed one by one.
+    """
     rows = materialise(compare(df, doc_id, text), "simhash")
     is_query = F.pmod(F.col("doc_id"), F.lit(query_every)) == 0
-    near = within_radius(rows.filter(is_query), rows).withColumnRenamed("fp", "_q")
+    pairs = within_radius(rows.filter(is_query), rows)
+    near = pairs.groupBy(F.col("q").alias("_q")).agg(F.sum("n").alias("n_within"), F.array_sort(F.collect_list(fingerprint_text(F.col("fp")))).alias("near_fps"))
     return rows.join(near, is_query & (F.col("fp") == F.col("_q")), "left").select(
         "doc_id",
         "n_chars",
@@ -152,4 +167,5 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", query_ever
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         (F.col("n_within") - 1).alias("n_within_radius"),
+        F.col("near_fps").alias("fingerprints_within_radius"),
     )
