@@ -74,6 +74,16 @@ def eval_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.remap(asked, old.select("chunk_id", "text"), new)
 
 
+@query()
+def eval_remap_all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every 512-token chunk; the SQL above asks for first chunks, so this has none."""
+    docs = table(spark, sf_dir, "documents")
+    name = lambda df: df.withColumn("chunk_id", F.concat_ws("__", "doc_id", "chunk_index")).withColumnRenamed("doc_id", "doc")
+    old, new = name(C.chunk_fixed(docs)), name(C.chunk_fixed(docs, size=128, overlap=16))
+    asked = old.select(F.col("chunk_id").alias("query_id"), "chunk_id", "doc")
+    return D.remap(asked, old.select("chunk_id", "text"), new)
+
+
 @query("SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS known FROM documents d")
 def eval_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which ids of one table exist in another."""

@@ -135,6 +135,13 @@ def tokens_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", T.script_presence(F.col("text")).alias("lang"), F.array_join(T.tokens(F.col("text"), F.lit(None).cast("string")), "|").alias("tokens"))
 
 
+@query()
+def tokens_by_script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents and the fixture; the SQL above covers the fixture, so this has none."""
+    df = _with_scripts(spark, sf_dir)
+    return df.select("doc_id", T.script_presence(F.col("text")).alias("lang"), F.array_join(T.tokens(F.col("text"), F.lit(None).cast("string")), "|").alias("tokens"))
+
+
 GUARDED = [
     (1, "raw one", "better one"),
     (2, "raw two", "I CANNOT do this"),
