@@ -56,3 +56,29 @@ def test_null_host_and_empty(spark, docs):
     assert Q.judge(docs([])).count() == 0
     assert Q.judge(docs(["a b c d e f g h i j k", None], sources=[None, None])).filter("kept").count() == 1
     assert Q.clean(docs([])).columns == docs([]).columns
+
+
+def test_repeated_rows_and_null_ids(spark, docs):
+    footer = " ".join(f"foot{i}" for i in range(11))
+    texts = [" ".join(f"d{i}w{k}" for k in range(24)) + "\n" + footer for i in range(40)]
+    df = docs(texts)
+    rows = [tuple(r) for r in df.collect()]
+    once = {r["doc_id"]: (r["lost_lines"], r["lost_words"], r["kept"]) for r in Q.judge(df).collect()}
+    assert once[3] == (1, 11, True)
+    more = spark.createDataFrame([*rows, rows[3], rows[3], (3, "other text\n" + footer, *rows[3][2:]), (None, *rows[5][1:]), (3, rows[3][1], "en", "elsewhere", 1)], df.schema)
+    judged = Q.judge(more).collect()
+    assert len(judged) == 45
+    found = sorted((r["lost_lines"], r["lost_words"], r["kept"]) for r in judged if r["doc_id"] == 3)
+    assert found == sorted([(1, 11, True)] * 3 + [(1, 11, False)] + [(0, 0, True)])
+    assert [(r["lost_lines"], r["kept"]) for r in judged if r["doc_id"] is None] == [(1, True)]
+    kept = Q.clean(more).collect()
+    assert len(kept) == sum(r["kept"] for r in judged) and sum(footer in r["text"] for r in kept) == 1  # in the other host
+
+
+def test_a_hot_host_has_a_bound(spark, docs):
+    from pyspark.sql import functions as F
+
+    texts = docs([f"text {i}" for i in range(3_000)] ).select(F.col("source").alias("host"), F.xxhash64("text").alias("content"))
+    lines = texts.limit(150).withColumn("line", F.lit(1).cast("long"))
+    assert Q.boilerplate(lines, texts, max_docs=100).count() == 1
+    assert Q.boilerplate(lines, texts, max_docs=200, host_share=0.1).count() == 0

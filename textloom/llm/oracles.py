@@ -19,19 +19,19 @@ def jaccard(width: int, percent: int) -> str:
 
 
 def line_frequency() -> str:
-    """Base counts by word windows; boilerplate lines by distinct texts per host."""
+    """Base counts by word windows; boilerplate lines by distinct texts per host; all by row, as ids can repeat."""
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(Q.WINDOW))
-    return f"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
-    i AS (SELECT doc_id, w, unnest(range(1, len(w) - {Q.WINDOW - 2})) AS i FROM w WHERE len(w) >= {Q.WINDOW}),
-    g AS (SELECT doc_id, i FROM (SELECT doc_id, i, {gram} AS g FROM i) QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
-    c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range({Q.WINDOW}) t(k) GROUP BY doc_id),
-    y AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM w),
-    b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
-    z AS (SELECT doc_id, source, text, unnest(l) AS line FROM y),
-    n AS (SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '{_WORD}')) AS k FROM z),
+    return f"""WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    i AS (SELECT r, w, unnest(range(1, len(w) - {Q.WINDOW - 2})) AS i FROM w WHERE len(w) >= {Q.WINDOW}),
+    g AS (SELECT r, i FROM (SELECT r, i, {gram} AS g FROM i) QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    c AS (SELECT r, count(DISTINCT i + k) AS n FROM g, range({Q.WINDOW}) t(k) GROUP BY r),
+    y AS (SELECT r, source, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM w),
+    b AS (SELECT r, doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+    z AS (SELECT r, source, text, unnest(l) AS line FROM y),
+    n AS (SELECT r, source, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, '{_WORD}')) AS k FROM z),
     h AS (SELECT source, count(DISTINCT text) AS docs FROM w GROUP BY source),
-    f AS (SELECT n.source, line FROM n JOIN h ON h.source IS NOT DISTINCT FROM n.source GROUP BY n.source, line, docs HAVING count(DISTINCT text) > greatest({Q.MIN_DOCS}, {Q.HOST_SHARE} * docs)),
-    o AS (SELECT doc_id, count(*) AS lost_lines, sum(k) AS lost_words FROM n JOIN f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY doc_id),
+    f AS (SELECT n.source, line FROM n JOIN h ON h.source IS NOT DISTINCT FROM n.source GROUP BY n.source, line, docs HAVING count(DISTINCT text) > greatest({Q.MIN_DOCS}, least({Q.MAX_DOCS}, {Q.HOST_SHARE} * docs))),
+    o AS (SELECT r, count(*) AS lost_lines, sum(k) AS lost_words FROM n JOIN f ON f.line = n.line AND f.source IS NOT DISTINCT FROM n.source GROUP BY r),
     a AS (SELECT b.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-      coalesce(lost_lines, 0)::BIGINT AS lost_lines, coalesce(lost_words, 0)::BIGINT AS lost_words FROM b JOIN y USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id))
+      coalesce(lost_lines, 0)::BIGINT AS lost_lines, coalesce(lost_words, 0)::BIGINT AS lost_words FROM b JOIN y USING (r) LEFT JOIN c USING (r) LEFT JOIN o USING (r))
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (lost_words > 0 AND n_words - lost_words <= {Q.LEFT_SHARE} * n_words) AS kept FROM a"""

@@ -9,8 +9,9 @@ Scale: text never leaves its scan. Only (host, line hash, text hash) triples, th
 and per-document sums are shuffled; every count is pre-aggregated, and no line, host or document is gathered.
 
 Defined results: a null text counts as empty and fails the base rules; a null host is a host of its own; a
-document of any length is processed whole; repeated rows are judged alike; an empty table gives an empty
-result; extra columns are ignored by ``judge`` and kept by ``clean``.
+document of any length is processed whole; repeated rows, and rows with equal ids and other texts or hosts, are judged
+each by its own lines, without an id too; an empty table gives an empty result; extra columns are ignored by ``judge``
+and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import SPACE, let, packed, unpacked, words
 
-#: A line is boilerplate in a host when more distinct documents than the larger of these hold it.
-MIN_DOCS = 20
+#: A line is boilerplate in a host when more than this share of its distinct documents hold it,
 HOST_SHARE = 0.01
+#: but not with so few documents, and always above so many, however large the host is.
+MIN_DOCS = 20
+MAX_DOCS = 200
 #: A document is depleted when at most this share of its words is left.
 LEFT_SHARE = 0.5
 WINDOW = 5
@@ -94,16 +97,16 @@ def base_metrics(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def line_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row per document and distinct normalised line: hash, words in all its occurrences."""
+    """One row per line with a word: its document (id, host, hash of the text, number of the row), its hash and words."""
     line = F.transform(
         _lines(F.col(text)),
         lambda ln: F.struct(F.xxhash64(normal_line(ln)).alias("h"), F.size(words(ln)).alias("w")),
     )
-    flat = df.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(text).alias("content"), F.explode(line).alias("_l"))
-    return flat.select("doc_id", "host", "content", F.col("_l.h").alias("line"), F.col("_l.w").alias("w"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.xxhash64(text).alias("content"), F.monotonically_increasing_id().alias("row"), line.alias("_l"))
+    return rows.select("doc_id", "host", "content", "row", F.explode("_l").alias("_l")).select("doc_id", "host", "content", "row", F.col("_l.h").alias("line"), F.col("_l.w").alias("w"))
 
 
-def boilerplate(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
+def boilerplate(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, line) of lines held by more distinct documents of the host than its limit allows.
 
     Copies of a text are one document: they are removed by a distinct over (host, line, content) first, which
@@ -111,40 +114,52 @@ def boilerplate(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS, ho
     """
     held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
     hosts = texts.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    limit = F.greatest(F.lit(float(min_docs)), F.col("host_docs") * host_share)
+    limit = F.greatest(F.lit(float(min_docs)), F.least(F.lit(float(max_docs)), F.col("host_docs") * host_share))
     return held.join(hosts, held["host"].eqNullSafe(hosts["host"])).filter(F.col("docs") > limit).select(held["host"], "line")
 
 
-def _lost(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float) -> tuple[DataFrame, DataFrame]:
+def _hits(df: DataFrame, doc_id: str, text: str, host: str, min_docs: int, host_share: float, max_docs: int) -> DataFrame:
+    """The rows of ``line_table`` that are boilerplate."""
     lines = line_table(df, doc_id, text, host)
-    texts = df.select(F.col(host).alias("host"), F.xxhash64(text).alias("content"))
-    return lines, boilerplate(lines, texts, min_docs, host_share)
+    common = boilerplate(lines, df.select(F.col(host).alias("host"), F.xxhash64(text).alias("content")), min_docs, host_share, max_docs)
+    named = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
+    return lines.join(named, (F.col("line") == F.col("c_line")) & F.col("host").eqNullSafe(F.col("c_host")), "left_semi")
+
+
+#: What tells a document's rows apart; rows that agree in all three have the same lines.
+_KEY = ("doc_id", "host", "content")
+
+
+def _beside(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``found`` for the same document, null ids and hosts included."""
+    found = found.withColumnsRenamed({c: f"_{c}" for c in _KEY})
+    same = (F.col("content") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("host").eqNullSafe(F.col("_host"))
+    return df.join(found, same, "left").drop(*(f"_{c}" for c in _KEY))
 
 
-def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, left_share: float = LEFT_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per document: base counts, words and lines lost to line frequency, ``depleted`` and ``kept``."""
-    base = base_metrics(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text")
-    lines, common = _lost(df, doc_id, text, host, min_docs, host_share)
-    hit = lines.join(common.withColumnRenamed("host", "c_host").withColumnRenamed("line", "c_line"), (F.col("line") == F.col("c_line")) & F.col("host").eqNullSafe(F.col("c_host")), "left_semi")
-    lost = hit.groupBy(F.col("doc_id").alias("l_id"), F.col("content").alias("l_content")).agg(F.sum("w").alias("lost"), F.count(F.lit(1)).alias("n"))
-    lost = lost.groupBy("l_id").agg(F.max("lost").cast("long").alias("lost_words"), F.max("n").cast("long").alias("lost_lines"))
-    out = base.join(lost, base["doc_id"] == lost["l_id"], "left").drop("l_id").fillna(0, ["lost_words", "lost_lines"])
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"), F.xxhash64(text).alias("content"))
+    base = base_metrics(rows, "text").drop("text")
+    hit = _hits(df, doc_id, text, host, min_docs, host_share, max_docs)
+    # first by row, so that a repeated row's lines are not added up
+    lost = hit.groupBy(*_KEY, "row").agg(F.sum("w").cast("long").alias("words"), F.count(F.lit(1)).alias("lines"))
+    lost = lost.groupBy(*_KEY).agg(F.max("words").alias("lost_words"), F.max("lines").alias("lost_lines"))
+    out = _beside(base, lost).drop("host", "content").fillna(0, ["lost_words", "lost_lines"])
     out = out.withColumn("depleted", (F.col("lost_words") > 0) & (F.col("n_words") - F.col("lost_words") <= left_share * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
-def clean(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def clean(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, left_share: float = LEFT_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """The rows of ``df`` that pass, without the boilerplate lines; all columns stay, ``n_chars`` is renewed.
 
     The base rules and the share of words left are taken in one pass over the text once the boilerplate lines
     that a document holds are known; only documents that hold some get an array of their hashes.
     """
     rows = packed(df, doc_id=doc_id, text=text, host=host)
-    lines, common = _lost(rows, "doc_id", "text", "host", min_docs, host_share)
-    hit = lines.join(common.withColumnRenamed("host", "c_host").withColumnRenamed("line", "c_line"), (F.col("line") == F.col("c_line")) & F.col("host").eqNullSafe(F.col("c_host")), "left_semi")
-    drop = hit.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line").alias("drop"))
-    sound = base_metrics(rows).filter(~F.col("base_failed")).select("_row", "doc_id", "text", "n_words")
-    out = sound.join(drop, F.col("doc_id") == F.col("drop_id"), "left")
+    drop = _hits(rows, "doc_id", "text", "host", min_docs, host_share, max_docs).groupBy(*_KEY).agg(F.collect_set("line").alias("drop"))
+    sound = base_metrics(rows).filter(~F.col("base_failed")).select("_row", "doc_id", "host", "text", F.xxhash64("text").alias("content"), "n_words")
+    out = _beside(sound, drop)
     left = F.array_join(F.filter(F.split("text", "\n"), lambda ln: ~F.array_contains(F.col("drop"), F.xxhash64(normal_line(ln)))), "\n")
     out = out.withColumn("left", F.when(F.col("drop").isNull(), F.col("text")).otherwise(left))
     out = out.filter(F.col("drop").isNull() | (F.size(words(F.col("left"))) > left_share * F.col("n_words")))
