@@ -74,6 +74,15 @@ def test_against_all_pairs(spark, docs, corpus, width, percent):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def left(found, row, order):
+    """Signatures of a set without the ones that come first in ``order``, as many as it may leave out on each side."""
+    out = set()
+    for side in (0, 1):
+        at = (found[0] == row) & (found[2] == side)
+        out |= set(sorted(found[1][at].tolist(), key=order.get)[int(found[3][at].max(initial=0)) :])
+    return out
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
@@ -87,8 +96,9 @@ def test_signatures_meet_for_every_similar_pair():
             inter, union = n - drop, n + add
             if not len(b) or 100 * inter < percent * union:
                 continue
-            rows, sigs = J.signatures(np.concatenate([a, b]).astype(np.int64), np.array([len(a), len(b)]), percent)
-            assert set(sigs[rows == 0]) & set(sigs[rows == 1])
+            found = J.signatures(np.concatenate([a, b]).astype(np.int64), np.array([len(a), len(b)]), percent)
+            order = {s: x for s, x in zip(np.unique(found[1]).tolist(), rng.permutation(len(found[1])).tolist(), strict=False)}
+            assert left(found, 0, order) & left(found, 1, order)  # whichever signatures are the most frequent
 
 
 def test_one_of_each_stays(spark, docs):
@@ -97,6 +107,35 @@ def test_one_of_each_stays(spark, docs):
     assert kept == {0, 6, 7, 8, 9}
 
 
+def test_repeated_heads_and_null_ids(spark, docs):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = docs([text, "other words stand here now", text + " more"]).collect()
+    rows = [tuple(r) for r in rows]
+    none = [(None, *r[1:]) for r in rows]
+    other = (5, text, "en", "s", 1)  # id 5 twice, once with a copy of text 0
+    alone = (5, "one two three four five six", "en", "s", 1)
+    only = (None, "seven eight nine ten eleven twelve", "en", "s", 1)
+    df = spark.createDataFrame([*rows, *rows, *none, other, alone, only, only], docs([]).schema)
+    kept = sorted(((r["doc_id"], r["text"][:5]) for r in J.first_of_each(df).collect()), key=str)
+    assert kept == [(0, text[:5]), (1, "other"), (5, "one t"), (None, "seven")]
+
+
+def test_a_family_below_the_threshold(spark, docs):
+    """Two thousand texts that share a passage of over half their words: no link, and few candidates."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(2000)]
+    got = J.components(docs([*texts, texts[7] + " tail"])).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(2000)}, 2000: 7}
+
+
+def test_long_texts(spark, docs):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(500_000)]
+    texts = [" ".join(words), " ".join(words[:450_000]), " ".join(words[:200_000])]
+    assert [r["component_id"] for r in sorted(J.components(docs(texts)).collect(), key=lambda r: r["doc_id"])] == [0, 0, 2]
+
+
 def test_repeated_ids_and_empty(spark, docs):
     df = docs(["a b c d", "a b c d", "x"])
     assert J.components(df.union(df)).count() == 6

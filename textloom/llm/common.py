@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,41 +22,61 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (local tests)."""
+    """The folder that all executors share; a temporary one only where the session names none and is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints", "textloom")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Paths that this process stored, oldest first.
-_stored: list[str] = []
+class Store:
+    """The tables that one run keeps in shared storage; ``clear`` deletes them once the results that read them are written."""
 
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
-def stored_so_far() -> int:
-    """A mark for ``drop_stored``."""
-    return len(_stored)
+    def clear(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            remove(spark, path)
+        self.paths.clear()
 
 
-def drop_stored(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables stored after a mark; call it once the results that read them are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _stored[since:]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    del _stored[since:]
+#: The store of the run in progress; each thread and task of the driver has its own.
+_run: ContextVar[Store | None] = ContextVar("run", default=None)
 
 
-def keep_stored(path: str) -> None:
-    """Let the next ``drop_stored`` from an older mark delete this path too."""
-    _stored.append(path)
+@contextmanager
+def store() -> Iterator[Store]:
+    """Within the block, what operators store belongs to the store returned."""
+    found = Store()
+    token = _run.set(found)
+    try:
+        yield found
+    finally:
+        _run.reset(token)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark knows."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no later step reads."""
+    for df in stored:
+        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
 
 
 def stored_path(spark: SparkSession, label: str) -> str:
-    """A new folder in shared storage, known to ``drop_stored``."""
+    """A new folder in shared storage, part of the run's store if there is one."""
     path = f"{shared_dir(spark)}/textloom-{label}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    if (run := _run.get()) is not None:
+        run.paths.append(path)
     return path
 
 
@@ -64,11 +87,50 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few longs that are sent to every executor at most (about 50 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows with a hint to broadcast it, if its rows are counted to be few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body`` (also inside lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def count_below(ascending: Column, value: Column) -> Column:
+    """How many entries of an ascending array are less than ``value``, by halving."""
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        less = (a["lo"] < a["hi"]) & (F.get(ascending, mid) < value)
+        return F.struct(F.when(less, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(less | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(ascending).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(ascending)))), start, halve, lambda a: a["lo"])
+
+
+def running_max(values: Column, block: int = 256) -> Column:
+    """The greatest of the entries up to each place of an array of ints, in blocks instead of from the start each time."""
+
+    def top(xs: Column) -> Column:
+        return F.coalesce(F.array_max(xs), F.lit(-(2**31)))
+
+    def of(vs: Column) -> Column:
+        tops = F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / block).cast("int")), lambda b: top(F.slice(vs, b * block + 1, F.lit(block))))
+
+        def whole(ts: Column) -> Column:
+            before = F.transform(ts, lambda _t, b: top(F.slice(ts, F.lit(1), b)))
+            return let(before, lambda bs: F.transform(vs, lambda _v, i: F.greatest(F.get(bs, F.floor(i / block).cast("int")), top(F.slice(vs, F.floor(i / block).cast("int") * block + 1, i % block + 1)))))
+
+        return let(tops, whole)
+
+    return let(values, lambda vs: F.when(F.size(vs) == 0, F.lit([]).cast("array<int>")).otherwise(of(vs)))
+
+
 def packed(df: DataFrame, **named: str) -> DataFrame:
     """``df``'s rows as one struct ``_row`` beside the columns an operator works on, so that no extra column can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[F.col(f"`{source}`").alias(name) for name, source in named.items()])

@@ -6,14 +6,21 @@ Words repeat, so most fragments are looked up, the rest go through the tokenizer
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
 from functools import lru_cache
 
-#: Cached fragments in a worker; at the limit the cache starts anew (about 200 bytes an entry).
-CACHE_ENTRIES = 1_200_000
+import pyarrow as pa
+
+#: Bytes that a worker's cache of fragments takes at most, in two generations of half as much; ``release`` frees them.
+CACHE_BYTES = 160 << 20
+#: Longer fragments are not cached.
+CACHE_LENGTH = 64
+#: A dictionary slot and the headers of its string and bytes objects.
+ENTRY_BYTES = 170
 _ASCII_SPACE = r" \t\n\r\x0b\x0c"
 
 
@@ -37,10 +44,16 @@ def _ranges(chars: list[int]) -> str:
 
 
 class FragmentCodes(dict):
-    """fragment -> its ids as native unsigned 32-bit integers in a bytes object."""
+    """fragment -> its ids as native unsigned 32-bit integers in a bytes object.
+
+    The dictionary is the young generation of the cache. When it is full it becomes the old one, and what is found there
+    later is young again, so frequent fragments stay and the rest goes.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.held = 0
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -92,14 +105,20 @@ class FragmentCodes(dict):
         return re.compile(rf"\s*+[^\s.,]++(?<=[{letter_class}])(?=[.,])|\s*+{held}|\s*+\S++|\s++")
 
     def __missing__(self, fragment: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if self.plain(fragment):  # one pre-token without anything to normalise: the model alone decides
-            printed = fragment.encode().decode("latin-1").translate(self.printable)
-            ids = [t.id for t in self.tokenizer.model.tokenize(printed)]
-        else:
-            ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
-        self[fragment] = code = array("I", ids).tobytes()
+        code = self.old.get(fragment)
+        if code is None:
+            if self.plain(fragment):  # one pre-token without anything to normalise: the model alone decides
+                printed = fragment.encode().decode("latin-1").translate(self.printable)
+                ids = [t.id for t in self.tokenizer.model.tokenize(printed)]
+            else:
+                ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
+            code = array("I", ids).tobytes()
+        if len(fragment) <= CACHE_LENGTH:
+            self.held += ENTRY_BYTES + len(fragment) + len(code)
+            if self.held > CACHE_BYTES // 2:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[fragment] = code
         return code
 
     def encode(self, text: str | None) -> bytes:
@@ -111,7 +130,15 @@ class FragmentCodes(dict):
         return b"".join(map(self.__getitem__, self.find(text)))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codes(path: str) -> FragmentCodes:
     """This worker's codes of a tokenizer file."""
     return FragmentCodes(path)
+
+
+def release() -> None:
+    """Free the codes that an earlier operator's tasks left in this worker; every other operator's tasks begin with it."""
+    if codes.cache_info().currsize:
+        codes.cache_clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()

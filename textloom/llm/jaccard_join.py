@@ -8,16 +8,25 @@ k // groups shingles, and among that group's second-level parts some subset of p
 the subsets of parts gives a signature that both share. A signature is the sum of mixed hashes of the shingles in
 the chosen parts. Equal sets are one class before all this.
 
+With spare groups similar sets share several signatures, ``t`` at least, so each set may leave out its t - 1 most
+frequent ones: the rarest shared signature is among those that both keep. This takes apart the large buckets of
+texts that have a common passage and little else in common, and it cannot lose a pair (see ``signatures``).
+
 Links are found without all pairs of a group. Each signature bucket is a run of sorted rows: every member is compared
 with the bucket's smallest id, and the exact Jaccard test decides. Buckets that this leaves in different components are
-compared with their member of most links, round by round. The pairs that still are apart then are tested one by one,
-but only if a parity sketch, which never exceeds the true difference, lets them be similar: no link between different
-texts is lost. Components come from distributed label propagation; neither links nor labels reach the driver.
+compared with their member of most links, round by round. The pairs that still are apart then are tested one by one.
+A pair's sets only meet if a parity sketch, which never exceeds the true difference, lets them be similar: no link
+between different texts is lost. Components come from distributed label propagation; neither links nor labels reach
+the driver.
+
+Scale: within a slice of rows only the first member of a bucket is dealt by signature, so a signature that a third of
+all rows share is dealt once a slice. A text of any length is one row of a Python worker, which needs about 60 times its
+size. Classes are known by 64 bits beside their size.
 
 Defined results: null, empty and blank texts have 0 shingles and are a component of their own; a text that only null ids
-have is linked with nothing, and rows without an id are kept; a text shorter than
-the shingle is one shingle; documents with equal ids share a row's fate by their text; texts are read whole; extra
-columns are ignored by ``components`` and kept by ``first_of_each``; an empty table gives an empty result.
+have is linked with nothing; a text shorter than the shingle is one shingle; documents with equal ids share a row's
+fate by their text; texts are read whole; extra columns are ignored by ``components`` and kept by ``first_of_each``,
+which keeps one of several rows with equal id and text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +41,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import slices
-from textloom.llm.common import materialise, packed, unpacked
+from textloom.llm.common import discard, materialise, packed, sized, unpacked
+from textloom.llm.fragments import release
 
-#: Second-level parts of a group, how many of them may differ, and spare groups (see ``signatures``).
-PARTS, MAY_DIFFER, SPARE = 2, 1, 1
+#: Second-level parts of a group and how many of them may differ; one of the two parts is a signature.
+PARTS, MAY_DIFFER = 2, 1
+#: One spare group, and one more for so many differing shingles (see ``signatures``).
+SPARE_EACH = 12
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 2 << 20
-#: Pairs of longs that are sent to every executor at most (about 50 MB).
-BROADCAST_IDS = 1_000_000
 MAX_ROUNDS = 60
 #: Rounds in which a torn bucket is compared with its best-linked member before its remaining pairs are.
 HUB_ROUNDS = 3
@@ -54,17 +64,13 @@ _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A random number for each byte; those of A-Z equal those of a-z.
 _BYTE = np.random.default_rng(20_000).integers(0, 2**63, 256, dtype=np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
-_powers: list[np.ndarray] = []
 
 
-def _power_table(n: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse, kept in the worker for slices of the usual size."""
-    if not _powers or len(_powers[0]) < n:
-        tables = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(max(n, SLICE_BYTES + 1), x, np.uint64)))) for x in (_MULTIPLIER, _INVERSE)]
-        if n > SLICE_BYTES + 1:
-            return tables
-        _powers[:] = tables
-    return _powers
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2^64, as products of two short tables."""
+    low = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2047, base, np.uint64))))
+    high = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n >> 11, low[-1:] * base, np.uint64))))
+    return np.multiply.outer(high, low).ravel()[:n]
 
 
 def text_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,9 +93,12 @@ def text_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     last = np.flatnonzero(inside & (edge[1:] | np.concatenate((~inside[1:], [True]))))
     if not len(first):
         return none
-    power, inverse = _power_table(len(raw) + 1)
-    running = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[raw] * power[: len(raw)])))
-    word = _mix((running[last + 1] - running[first]) * inverse[first] + (last - first).astype(np.uint64))
+    terms = _BYTE[raw]
+    terms *= _powers(_MULTIPLIER, len(raw))
+    running = np.concatenate(([np.uint64(0)], np.cumsum(terms)))
+    del terms
+    word = _mix((running[last + 1] - running[first]) * _powers(_INVERSE, len(raw) + 1)[first] + (last - first).astype(np.uint64))
+    del running
     at = np.searchsorted(first, ends)
     counts = np.diff(at)
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -124,13 +133,18 @@ def parity_sketch(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
     Each shingle in which two sets differ flips one bit, so the bits that differ never outnumber the shingles that do.
     """
-    bits = SKETCH_WORDS * 64
-    cell = np.repeat(np.arange(len(sizes)), sizes) * bits + (_mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(cell, minlength=len(sizes) * bits).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64)
+    bits, ends = SKETCH_WORDS * 64, np.concatenate(([0], np.cumsum(sizes)))
+    cell = (_mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(bits)).astype(np.int64)
+    out = np.zeros((len(sizes), SKETCH_WORDS), np.int64)
+    for lo in range(0, len(sizes), 512):  # rows whose cells are counted at once
+        n = sizes[lo : lo + 512]
+        odd = np.bincount(np.repeat(np.arange(len(n)) * bits, n) + cell[ends[lo] : ends[lo + len(n)]], minlength=len(n) * bits).astype(np.uint8) & 1
+        out[lo : lo + len(n)] = np.packbits(odd, bitorder="little").view(np.int64).reshape(len(n), SKETCH_WORDS)
+    return out.ravel()
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         yield from slices(batch, "text", SLICE_BYTES)
 
@@ -139,7 +153,7 @@ def _member_rows(width: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             flat, sizes = text_sets(part.column("text"), width)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(flat, sizes))], ["doc_id", "n_shingles", "id"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content"), pa.array(sizes), pa.array(set_keys(flat, sizes))], ["doc_id", "content", "n_shingles", "id"])
 
     return emit
 
@@ -186,65 +200,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row index, signature) of non-empty sets given as one flat array of hashes and the sizes of the sets.
+def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row index, signature, band's shift, how many may be left out) of non-empty sets given as one flat array of
+    hashes and the sizes of the sets.
 
-    With k // (MAY_DIFFER + 1) + 1 + SPARE groups, similar sets have more than SPARE groups that differ in MAY_DIFFER
-    shingles at most. A subset of parts that holds no shingle would be shared by unrelated sets; it only becomes a
-    signature of a set that has such subsets in more than SPARE groups, so no similar pair is lost.
+    A signature is one part of a group, so a shingle in which two sets differ spoils one signature at most: of ``n`` parts
+    similar sets share n - k. A part that holds no shingle would be shared by unrelated sets, so it is no signature
+    of a set that has a signature to share without it; such a set with e empty parts shares t = n - k - e signatures
+    with each similar set and may leave out t - 1. A set with n - k empty parts or more has all its parts as signatures.
     """
     bands = Bands(percent)
     starts = bands.bounds(int(sizes.max()))
     own = np.searchsorted(starts, sizes, "right") - 1
-    rows_out, sigs_out = [], []
+    out: list[tuple[np.ndarray, ...]] = []
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
     place, value = _mix(flat.view(np.uint64)), _mix(flat.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     for shift in (0, 1):
         band = own + shift
-        groups = bands.difference(starts[band] * 100 // percent) // (MAY_DIFFER + 1) + 1 + SPARE
+        most = bands.difference(starts[band] * 100 // percent)
+        parts = PARTS * (most // (MAY_DIFFER + 1) + 2 + most // SPARE_EACH)
         first = np.zeros(n + 1, np.int64)
-        np.cumsum(groups * PARTS, out=first[1:])
-        cell = first[owner] + (((place >> np.uint64(32)) * (groups * PARTS).astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
+        np.cumsum(parts, out=first[1:])
+        cell = first[owner] + (((place >> np.uint64(32)) * parts.astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(first[-1], np.uint64)
         np.add.at(sums, cell, value)
         filled = np.bincount(cell, minlength=first[-1]) > 0
-        of = np.repeat(np.arange(n), groups)
-        at = np.arange(len(of)) - (first[:-1] // PARTS)[of]
-        tag = _mix(band[of].astype(np.uint64) * np.uint64(0x100000000) + at.astype(np.uint64))
-        subsets = list(combinations(range(PARTS), PARTS - MAY_DIFFER))
-        bare = [~np.logical_or.reduce([filled[p::PARTS] for p in chosen]) for chosen in subsets]
-        poor = np.bincount(of, weights=np.logical_or.reduce(bare), minlength=n) > SPARE
-        for i, chosen in enumerate(subsets):
-            sig = _mix(tag + np.uint64(i + 1))
-            for p in chosen:
-                sig = _mix(sig * np.uint64(3) + sums[p::PARTS])
-            use = ~bare[i] | poor[of]
-            rows_out.append(of[use])
-            sigs_out.append(sig[use])
-    return np.concatenate(rows_out), np.concatenate(sigs_out)
+        of = np.repeat(np.arange(n), parts)
+        at = np.arange(len(of)) - first[:-1][of]
+        sig = _mix(_mix(band[of].astype(np.uint64) * np.uint64(0x100000000) + at.astype(np.uint64)) + sums)
+        spare = parts - most - np.bincount(of[~filled], minlength=n)
+        use = filled | (spare < 1)[of]
+        out.append((of[use], sig[use], np.full(int(use.sum()), shift, np.int64), np.maximum(spare - 1, 0)[of[use]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _signature_rows(width: int, percent: int):
+    """Rows (sig, id, place, head, n): of a slice's members of a bucket the first has their number as n, the others
+    have it as their head and n = 0; place is twice the number of signatures to leave out, plus the band's shift."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
             flat, sizes = text_sets(part.column("text"), width)
             if not len(flat):
                 continue
             keys = set_keys(flat, sizes)
-            rows, sigs = signatures(flat, sizes[sizes > 0], percent)
+            rows, sigs, side, spare = signatures(flat, sizes[sizes > 0], percent)
             ids = keys[sizes > 0][rows]
             order = np.lexsort((ids, sigs))
-            sigs, ids = sigs[order].view(np.int64), ids[order]
+            sigs, ids, side, spare = sigs[order].view(np.int64), ids[order], side[order], spare[order]
             fresh = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])))
-            sigs, ids = sigs[fresh], ids[fresh]  # copies of a set in this slice are one row
+            sigs, ids, side, spare = sigs[fresh], ids[fresh], side[fresh], spare[fresh]  # copies of a set in this slice are one row
             new = np.concatenate(([True], sigs[1:] != sigs[:-1]))
-            head = ids[np.maximum.accumulate(np.where(new, np.arange(len(sigs)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(ids), pa.array(head, mask=new)], ["sig", "id", "head"])
+            starts = np.flatnonzero(new)
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(sigs)), 0))
+            n = np.zeros(len(sigs), np.int32)
+            n[starts] = np.diff(np.append(starts, len(sigs)))
+            # spare and side in one number; rows of a set together, as what repeats is compressed
+            place, head, by = (spare * 2 + side).astype(np.int32), ids[lead], np.lexsort((side, ids))
+            columns = [pa.array(sigs[by]), pa.array(ids[by]), pa.array(place[by]), pa.array(head[by], mask=new[by]), pa.array(n[by])]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "id", "place", "head", "n"])
 
     return emit
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """(sig, id, centre) of the signatures that sets share and keep; centre is another member or the set itself."""
+    rows = materialise(rows, "signatures")
+    alone = Window.partitionBy("sig")
+    firsts = rows.filter("head IS NULL")
+    firsts = firsts.select("sig", "id", "place", F.sum("n").over(alone).alias("n"), F.min("id").over(alone).alias("centre")).filter("n > 1")
+    firsts = materialise(firsts, "firsts")
+    sizes = firsts.groupBy("sig").agg(F.max("n").alias("n"))
+    others = rows.filter("head IS NOT NULL").select("sig", "id", "place", "head").join(sizes, "sig").select("sig", "id", "place", "n", F.col("head").alias("centre"))
+    # one row for each set and signature; copies of a set in other slices can have another centre
+    shared = firsts.union(others).groupBy("id", "place", "sig").agg(F.max("n").alias("n"), F.min("centre").alias("centre"))
+    rank = F.row_number().over(Window.partitionBy("id", "place").orderBy(F.desc("n"), "sig"))
+    kept = shared.withColumn("rank", rank).filter(F.col("rank") > F.expr("place div 2"))
+    kept = materialise(kept.select("sig", "id", "centre"), "buckets")
+    discard(rows, firsts)
+    return kept
+
+
 def _labels(links: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over ``links`` (a, b), for the ids in ``links``.
 
@@ -269,27 +306,33 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; sets travel only to their pairs."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("ha"), F.col("n").alias("na")), "a")
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union; only pairs that sizes and sketches let be
+    similar are joined with their sets."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    sized_ = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = materialise(both.filter(sized_ & ((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b"), "near")
+    left = near.join(sets.select(F.col("id").alias("a"), F.col("hs").alias("ha"), F.col("n").alias("na")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hs").alias("hb"), F.col("n").alias("nb")), "b")
-    sized = both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     shared = F.size(F.array_intersect("ha", "hb"))
-    return sized.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def linked_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, comp) for the sets that are linked to another.
 
-    ``rows`` has (sig, id, head) of each set's signatures; ``fetch(ids)`` returns (id, hs, n), one row for each id.
+    ``rows`` has the signatures of each set as ``_signature_rows`` gives them; ``fetch(ids)`` returns (id, hs, n, sketch),
+    one row for each id.
     """
-    # a member that met another of its bucket before the shuffle keeps that one as its centre, the others get the first
-    centre = F.coalesce("head", F.first("id").over(Window.partitionBy("sig").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)))
-    star = materialise(rows.select("sig", "id", centre.alias("centre")).filter("id <> centre"), "stars")
-    pairs = materialise(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
-    known = materialise(fetch(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+    star = _buckets(rows)
+    pairs = star.filter("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    # a centre can have left the signature out itself, so it is a member of the bucket only by its own row
+    known = materialise(fetch(star.select("id").union(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct()), "sets")
     links = materialise(_verified(pairs, known, percent), "links")
     labels = _labels(links)
-    members = materialise(star.select("sig", F.explode(F.array("id", "centre")).alias("id")).distinct(), "members-of")
+    members = star.select("sig", "id")
     for _ in range(HUB_ROUNDS):
         members = _open(members, labels)
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
@@ -303,13 +346,12 @@ def linked_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per
             break
         links = links.union(found)
         labels = _labels(links)
-    rest = _open(members, labels).join(known.select("id", "n", "sketch"), "id")
-    left = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
-    right = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
-    differ = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+    rest = _open(members, labels).join(known.select("id", "n"), "id")
+    left = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
+    right = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
+    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near)
-    untried = cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    untried = materialise(cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(untried, known, percent), "links")
     return labels if more.isEmpty() else _labels(links.union(more))
 
@@ -321,33 +363,45 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(marked.join(torn, "sig"), "open")
 
 
-def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: n_shingles and component_id, the smallest doc_id reachable over links.
-
-    A set is known by a 64-bit hash of its sorted hashes.
-    """
+def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """(doc_id, content, n_shingles, component_id) of every row; content is a hash of its text."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.dtypes[0][1]
-    members = materialise(docs.mapInArrow(_member_rows(width), f"doc_id {kind}, n_shingles long, id long"), "members")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
+    members = materialise(hashed.mapInArrow(_member_rows(width), f"doc_id {kind}, content long, n_shingles long, id long"), "members")
     least = materialise(members.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")), "least")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = materialise(least.join(ids, "id").select(F.col("least").alias("doc_id"), "id"), "wanted")
-        few = wanted.count() <= BROADCAST_IDS  # then no text moves; beyond, texts are dealt by id
-        found = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
-        return found.select("id", "text").mapInArrow(_set_rows(width), "id long, hs array<long>, n long, sketch array<long>")
+        found = docs.join(sized(wanted), "doc_id")  # beyond the bound of ``sized`` texts are dealt by id
+        sets = found.select("id", "text").mapInArrow(_set_rows(width), "id long, hs array<long>, n long, sketch array<long>")
+        # an id can have several rows with the same text
+        return sets if least.count() == members.filter("n_shingles > 0").select("doc_id").distinct().count() else sets.dropDuplicates(["id"])
 
-    labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent), "sig long, id long, head long"), fetch, percent)
+    labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent), "sig long, id long, place int, head long, n int"), fetch, percent)
     tops = least.join(labels, "id").groupBy("comp").agg(F.min("least").alias("component"))
     named = labels.join(tops, "comp").select("id", "component")
     named = least.join(named, "id", "left").select("id", F.coalesce("component", "least").alias("component"))
     out = members.join(named, "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "content", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Per document: n_shingles and component_id, the smallest doc_id reachable over links."""
+    return _classed(df, doc_id, text, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` whose document is the smallest id of its component, and rows without an id; all columns stay."""
-    heads = components(df, doc_id, text, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    rows = packed(df, doc_id=doc_id)
-    kept = rows.join(heads, rows["doc_id"] == heads["head"], "left_semi")
-    return unpacked(kept.union(rows.filter(F.col("doc_id").isNull())), df.columns)
+    """The row of ``df`` with the smallest id of each component, one where several have its id and text; all columns stay.
+
+    Of texts that only rows without an id have, one row stays; a row without an id goes if its text has one elsewhere.
+    """
+    rows = packed(df, doc_id=doc_id, text=text).withColumn("content", F.xxhash64("text"))
+    judged = materialise(_classed(df, doc_id, text, width, percent).groupBy("doc_id", "content", "component_id").agg(F.count(F.lit(1)).alias("n")), "judged")
+    head = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    others = materialise(judged.filter(~head | (F.col("n") > 1)).select(F.col("doc_id").alias("o_id"), F.col("content").alias("o_content"), head.alias("again")), "others")
+    same = F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("content") == F.col("o_content"))
+    left = rows.join(sized(others), same, "left")
+    once = left.filter(F.col("o_content").isNull()).select("_row")
+    again = left.filter("again").dropDuplicates(["doc_id", "content"]).select("_row")
+    return unpacked(once.union(again), df.columns)
