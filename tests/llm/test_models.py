@@ -4,7 +4,9 @@ import itertools
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import langid, packing, weak_quality
 
@@ -104,3 +106,40 @@ def test_weak_quality_edges(spark, docs):
     rows = {r["doc_id"]: r for r in weak_quality.report(docs([None, "", "word", "a fine long text. " * 30])).collect()}
     assert rows[0]["score"] == rows[1]["score"] == 0.0 and not rows[0]["kept"]
     assert weak_quality.report(docs([])).count() == 0
+
+
+def test_packed_ids_are_the_encoders(spark, docs, corpus):
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(path)
+    texts = [r["text"] for r in corpus[:80]] + [None, "", "ab cd " * 30_000]
+    packed = packing.pack(packing.encoded(docs(texts), path), max_tokens=512, buckets=4, budget=2048)
+    rows = sorted(packing.padded(packed, pad_id=7).join(packed.select("doc_id", "piece", F.col("ids").alias("bare")), ["doc_id", "piece"]).collect(), key=lambda r: (r["doc_id"], r["piece"]))
+    got = {}
+    for r in rows:
+        ids = np.frombuffer(r["bare"], "<u2").tolist()
+        assert len(ids) == r["piece_tokens"]
+        assert np.frombuffer(r["ids"], "<u2").tolist() == ids + [7] * r["padding"]
+        got.setdefault(r["doc_id"], []).extend(ids)
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+
+
+def test_blocks_of_grams_are_the_whole(monkeypatch):
+    from textloom.llm import grams
+
+    text = "Grüße an ΑΣ, İ and all " * 40
+    whole = sorted(np.concatenate(list(grams.grams(text))).tolist())
+    for block in (1, 2, 3, 50, len(text.lower()) + 1):
+        monkeypatch.setattr(grams, "BLOCK", block)
+        assert sorted(np.concatenate(list(grams.grams(text))).tolist()) == whole
+    votes = weak_quality.votes(text * 3)
+    monkeypatch.setattr(weak_quality, "PIECE", 37)
+    assert weak_quality.votes(text * 3) == votes
+
+
+def test_long_texts(spark, docs):
+    long = "these are the words of a text that does not end " * 110_000  # five million characters
+    df = docs([long, *["some short text of the same kind here"] * 30], langs=["en"] * 15 + ["de"] * 16)
+    assert {r["doc_id"] for r in langid.report(df).collect()} == {*range(31)}
+    assert weak_quality.report(df).count() == 31

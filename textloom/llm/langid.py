@@ -9,7 +9,8 @@ Scale: document frequencies are summed per task (at most 2**16 rows each) before
 over Arrow batches with a model of 2**16 weights a language. Nothing else moves.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when nothing can be
-learned; ties go to the first language in order; texts are read whole at any length; repeated rows give equal results;
+learned; ties go to the first language in order; texts are read whole, n-grams in blocks, so a worker needs a few times
+the size of its longest text; repeated rows give equal results;
 extra columns are ignored by ``report`` and kept by ``keep_known``; an empty table gives an empty result.
 """
 
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import packed, unpacked
-from textloom.llm.grams import SIZE, counted, grams
+from textloom.llm.fragments import release
+from textloom.llm.grams import SIZE, counted, grams, mean_weight
 
 #: Bound of the fitting sample: documents a language, in expectation.
 PER_LANGUAGE = 800
@@ -53,8 +55,7 @@ class Model:
     temperature: float = 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        g = grams(text)
-        return self.weights[g].sum(0) / len(g) + self.bias
+        return mean_weight(self.weights, text) + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
         p = softmax(self.logits(text) / self.temperature)
@@ -108,11 +109,13 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, lang
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     total, docs = np.zeros(SIZE, np.int64), 0
     for batch in batches:
         for t in batch.column("text"):
             seen = np.zeros(SIZE, bool)
-            seen[grams(t.as_py() or "")] = True
+            for block in grams(t.as_py() or ""):
+                seen[block] = True
             total += seen
             docs += 1
     at = np.flatnonzero(total)
@@ -126,10 +129,13 @@ def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(columns, ["label", "at", "count"])
 
 
+def sampled(shares: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0 < shares
+
+
 def sample_rows(df: DataFrame, shares: Column, label: Column) -> list[tuple]:
     """(label, buckets, counts) of the rows whose id's hash falls below their share; bounded by the shares' design."""
-    point = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-    rows = df.filter(point < shares).select(label.alias("label"), "text").mapInArrow(_counted_rows, f"label {df.select(label).dtypes[0][1]}, at array<int>, count array<int>")
+    rows = df.filter(sampled(shares)).select(label.alias("label"), "text").mapInArrow(_counted_rows, f"label {df.select(label).dtypes[0][1]}, at array<int>, count array<int>")
     table = rows.toArrow()
     pairs = zip(table.column("label").to_pylist(), table.column("at"), table.column("count"), strict=True)
     out = [(y, a.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for y, a, c in pairs]
@@ -164,6 +170,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     names = [f.name for f in df.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             said = [model.predict(t.as_py()) if ok.as_py() and model else ("und", 0.0) for t, ok in zip(batch.column(text), batch.column("_letter"), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*names, "lang_pred", "score"])

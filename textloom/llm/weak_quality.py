@@ -2,12 +2,12 @@
 
 Heuristic labelers vote good, bad or nothing on each text. Expectation-maximisation over the counts of vote patterns
 estimates how accurate each labeler is and how probable a good text is under each pattern; these posteriors train a
-linear scorer on hashed character n-grams, which scores every text.
+linear scorer on hashed character n-grams and their spread, which scores every text. The scorer sees the text alone, not the votes.
 
 Scale: patterns are a finite table (3 to the number of labelers), counted per batch and the only thing that is shuffled; the scorer is fitted on a bounded sample of about ``SAMPLE`` documents chosen by a hash; scoring is a map.
 
-Defined results: a null or empty text gets the score 0 and is not kept; texts are read whole; repeated rows give equal
-results; extra columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text gets the score 0 and is not kept; texts are read whole, in pieces, so a worker
+needs a few times the size of its longest text; repeated rows give equal results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,33 +27,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import SPACE
-from textloom.llm.grams import SIZE, grams
-from textloom.llm.langid import sample_rows
+from textloom.llm.fragments import release
+from textloom.llm.grams import SIZE, counted
+from textloom.llm.langid import sample_rows, sampled
 
 #: Bound of the fitting sample, in expectation.
 SAMPLE = 4000
 EPOCHS = 3
 RATE = 0.5
-#: A text is rejected only when the scorer is this sure that it is bad.
-KEEP = 0.01
+#: A text is kept when the scorer finds it likelier good than bad.
+KEEP = 0.5
 SCALE = 30.0
 EM_ROUNDS = 100
-#: Weight of a vote beside the text's n-grams, whose weights sum to 1.
-VOTE_SHARE = 0.1
 LABELERS = ("length", "word_length", "symbols", "letters", "line_ends", "line_repeats", "capitals", "digits", "word_repeats", "variety")
 
 
-def _with_votes(at: np.ndarray, count: np.ndarray, said: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram features and one hashed feature for each vote, each as strong as a tenth of the text."""
-    return np.append(at, vote_buckets(said)), np.append(count / max(1.0, count.sum()), np.full(len(said), VOTE_SHARE))
-
-
-@lru_cache(maxsize=4096)
-def vote_buckets(said: str) -> np.ndarray:
-    return np.array([zlib.crc32(f"{name}{v}".encode()) % SIZE for name, v in zip(LABELERS, said, strict=True)], np.int64)
-
-
 _LETTER, _CAPITAL, _DIGIT, _SPACE, _SYMBOL = 1, 2, 3, 4, 5
+_BLANK = re.compile(f"[{SPACE}]").search
+#: Characters of a text that are taken apart at once.
+PIECE = 1 << 20
 _ENDED = re.compile(rf"[.!?:;\"”»)][{SPACE}]*\Z").search
 
 
@@ -70,18 +62,34 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about PIECE characters, cut at white space."""
+    at = 0
+    while len(text) - at > PIECE and (cut := _BLANK(text, at + PIECE)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 def votes(text: str) -> str:
     """One character a labeler: + good, - bad, 0 nothing."""
-    points = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
-    kinds = np.bincount(_classes()[points], minlength=6)
-    chars, letters = len(text) - kinds[_SPACE], kinds[_LETTER] + kinds[_CAPITAL]
-    words = text.translate(_BLANKS).split(" ")
-    words = [w for w in words if w]
-    n = len(words)
-    echoes = sum(map(eq, words, words[1:]))
+    kinds, n, echoes, last = np.zeros(6, np.int64), 0, 0, None
+    different_words: set | np.ndarray = set()
+    for at in range(0, len(text), PIECE):
+        points = np.minimum(np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+        kinds += np.bincount(_classes()[points], minlength=6)
+    for piece in _pieces(text):
+        words = [w for w in piece.translate(_BLANKS).split(" ") if w]
+        n += len(words)
+        echoes += sum(map(eq, words, words[1:])) + bool(words and last == words[0])
+        last = words[-1] if words else last
+        if len(text) <= PIECE:
+            different_words = set(words)
+        else:  # of a long text hashes stand for the words
+            different_words = np.union1d(np.array(list(different_words), np.int64), np.fromiter(map(hash, words), np.int64, len(words)))
+    chars, letters, variety = len(text) - int(kinds[_SPACE]), int(kinds[_LETTER] + kinds[_CAPITAL]), len(different_words)
     lines = [x for x in text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
     different, ended = len(set(lines)), sum(1 for x in lines if _ENDED(x[-64:]))
-    variety = len(set(words))
 
     def vote(good: bool, bad: bool) -> str:
         return "-" if bad else "+" if good else "0"
@@ -107,6 +115,7 @@ _BLANKS = {c: " " for c in (0x09, 0x0A, 0x0B, 0x0C, 0x0D)}
 
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vote patterns and their counts, added up for each batch."""
+    release()
     for batch in batches:
         found = Counter(votes(t.as_py() or "") for t in batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
@@ -138,14 +147,31 @@ def estimate(patterns: list[tuple[str, int]]) -> tuple[dict[str, float], dict[st
     return {v: p for p, (v, _) in zip(soft, patterns, strict=True)}, right
 
 
-def fit(samples: list[tuple[tuple[float, str], np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: ((posterior, votes), buckets, counts)."""
+def features(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, share) of a text with the n-grams ``at`` and their counts, and how its n-grams are spread.
+
+    An n-gram that makes up 2^-k of the text has level k; a level's share of the text is one more feature, hashed with the
+    order of magnitude of the text's length, so repetition tells beside what is repeated.
+    """
+    total = max(1, int(count.sum()))
+    level = np.minimum(np.log2(total / np.maximum(count, 1)).astype(np.int64), 15)
+    spread = np.bincount(level, weights=count / total, minlength=16)
+    return np.concatenate([at, _levels(min(int(total).bit_length(), 20))]), np.concatenate([count / total, spread])
+
+
+@lru_cache(maxsize=32)
+def _levels(magnitude: int) -> np.ndarray:
+    return np.array([zlib.crc32(f"level {k} of {magnitude}".encode()) % SIZE for k in range(16)], np.int64)
+
+
+def fit(samples: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: (posterior, buckets, counts)."""
     w, n = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-6)
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(samples)):
-            (y, said), at, count = samples[i]
-            at, share = _with_votes(at, count, said)
+            y, at, count = samples[i]
+            at, share = features(at, count)
             at, x = np.append(at, SIZE), np.append(SCALE * share, 1.0)
             g = x * (1 / (1 + np.exp(-np.clip(x @ w[at], -30, 30))) - y) + 1e-6 * w[at]
             n[at] += g * g
@@ -153,6 +179,11 @@ def fit(samples: list[tuple[tuple[float, str], np.ndarray, np.ndarray]]) -> tupl
     return (w[:SIZE] * SCALE).astype(np.float32), float(w[SIZE])
 
 
+def score(text: str, weights: np.ndarray, bias: float) -> float:
+    at, share = features(*counted(text))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(share @ weights[at]) + bias))))
+
+
 def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: weak_label (posterior of its votes), score (of the scorer) and kept."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -162,29 +193,24 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     posterior, _ = estimate(counts)
     if not posterior:
         return rows.select("doc_id", F.lit(0.0).alias("weak_label"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
-    share = F.lit(min(1.0, SAMPLE / sum(n for _, n in counts)))
 
-    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([votes(t.as_py()) for t in batch.column("text")], pa.string())], ["doc_id", "text", "votes"])
+            soft = [posterior[votes(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(soft, pa.float64())], ["doc_id", "text", "soft"])
 
-    point = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-    drawn = rows.filter((F.length("text") > 0) & (point < share)).mapInArrow(voted, f"doc_id {kind}, text string, votes string")
-    samples = [((posterior[v], v), at, c) for v, at, c in sample_rows(drawn, F.lit(1.0), F.col("votes")) if len(at)]
-    weights, bias = fit(samples)
+    drawn = rows.filter(F.length("text") > 0).filter(sampled(F.lit(min(1.0, SAMPLE / sum(n for _, n in counts)))))
+    drawn = drawn.mapInArrow(labelled, f"doc_id {kind}, text string, soft double")
+    weights, bias = fit([x for x in sample_rows(drawn, F.lit(1.0), F.col("soft")) if len(x[1])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             labels, scores = [], []
             for t in batch.column("text"):
-                text_ = t.as_py()
-                said = votes(text_ or "")
-                labels.append(posterior.get(said, 0.0))
-                z = None
-                if text_:
-                    g = grams(text_)
-                    z = float(weights[g].sum(dtype=np.float64)) / len(g) + VOTE_SHARE * float(weights[vote_buckets(said)].sum()) + bias
-                scores.append(0.0 if z is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                text_ = t.as_py() or ""
+                labels.append(posterior.get(votes(text_), 0.0))
+                scores.append(score(text_, weights, bias) if text_ else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(labels, pa.float64()), pa.array(scores, pa.float64())], ["doc_id", "weak_label", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {kind}, weak_label double, score double")
