@@ -20,6 +20,7 @@ def clashing(docs):
     for name in CLASHES:
         df = df.withColumn(name, F.lit(name if name != "n_chars" else 7))
     odd = df.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+    odd = odd.withColumn("text", F.lit("words that no other row has stand here in a row of their own without any id"))
     return df.union(df.limit(2)).union(odd)
 
 

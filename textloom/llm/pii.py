@@ -10,8 +10,9 @@ context, which decides every candidate that is no base span. Base spans always s
 Scale: one narrow pass counts (kind, votes, features) patterns - a table bounded by its finite alphabet, the only thing
 the driver sees - and a second pass scores candidates where they are found. No text is shuffled.
 
-Defined results: a null or empty text has no spans; texts are read whole at any length and each pattern is written so
-that it cannot backtrack over a long run; repeated rows give equal results; extra columns are ignored by ``report``
+Defined results: a null or empty text has no spans; texts are read whole at any length, each pattern is written so that it
+cannot backtrack over a long run, and spans are merged by halving and running maxima, so a text's cost is in proportion
+to its length and its spans; repeated rows give equal results; extra columns are ignored by ``report``
 and kept by ``redact``; without any candidate the classifier accepts none.
 """
 
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import let, packed, unpacked
+from textloom.llm.common import count_below, let, packed, running_max, unpacked
 
 #: Kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -59,21 +60,28 @@ THRESHOLD = 0.9
 EM_ROUNDS = 50
 
 
+#: A match: code-point start, exclusive end, string, and what stands before and after it.
+_MATCHES = "array<struct<s:int,e:int,m:string,b:string,a:string>>"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches as (s, e, m): code-point start, exclusive end, string.
+    """All leftmost non-overlapping matches, with up to CONTEXT characters before each, no further back than the match before the last, and the two after it.
 
     Offsets are running sums of the lengths between and of the matches, taken over blocks of 256 so that a text
     with very many matches costs far less than the square of their number.
     """
     block = 256
 
-    def place(ms: Column) -> Column:
-        lens = F.transform(ms, F.length)
-        steps = F.zip_with(F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(ms)), lens, lambda g, n: g + n)
+    def place(ms: Column, gaps: Column) -> Column:
+        steps = F.zip_with(F.slice(F.transform(gaps, F.length), F.lit(1), F.size(ms)), F.transform(ms, F.length), lambda g, n: g + n)
 
         def total(xs: Column) -> Column:
             return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
+        def before(i: Column) -> Column:
+            last = F.when(i > 0, F.concat(F.right(F.get(gaps, i - 1), F.lit(CONTEXT)), F.get(ms, i - 1))).otherwise("")
+            return F.right(F.concat(last, F.right(F.get(gaps, i), F.lit(CONTEXT))), F.lit(CONTEXT))
+
         def ends(st: Column) -> Column:
             sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(st) - 1) / block).cast("int")), lambda b: total(F.slice(st, b * block + 1, F.lit(block))))
 
@@ -85,7 +93,7 @@ def matches(text: Column, pattern: str) -> Column:
                         ms,
                         lambda m, i: let(
                             F.get(bs, F.floor(i / block).cast("int")) + total(F.slice(st, F.floor(i / block).cast("int") * block + 1, i % block + 1)),
-                            lambda e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")),
+                            lambda e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m"), before(i).alias("b"), F.left(F.get(gaps, i + 1), F.lit(2)).alias("a")),
                         ),
                     ),
                 )
@@ -94,8 +102,8 @@ def matches(text: Column, pattern: str) -> Column:
 
         return let(steps, ends)
 
-    empty = F.lit([]).cast("array<struct<s:int,e:int,m:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: F.when(F.size(ms) == 0, empty).otherwise(place(ms)))
+    empty = F.lit([]).cast(_MATCHES)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: F.when(F.size(ms) == 0, empty).otherwise(let(F.split(text, pattern, -1), lambda gaps: place(ms, gaps))))
 
 
 def _digits(m: Column) -> Column:
@@ -123,7 +131,7 @@ def _valid(kind: str, m: Column) -> Column:
 
 def _raw(text: Column) -> dict[str, Column]:
     """Matches of each base pattern, not yet filtered; a cheap test keeps the patterns off texts without their marks."""
-    empty = F.lit([]).cast("array<struct<s:int,e:int,m:string>>")
+    empty = F.lit([]).cast(_MATCHES)
     has = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+"))}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
     return {k: F.when(has[k], matches(text, patterns[k])).otherwise(empty) for k in KINDS}
@@ -137,21 +145,20 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, F.lit("+")).when(no, F.lit("-")).otherwise(F.lit("0"))
 
 
-def _described(text: Column, kind: str, spans: Column, strict: bool) -> Column:
+def _described(kind: str, spans: Column, strict: bool) -> Column:
     """Candidates with their votes (one character a labeler) and feature string."""
 
     def one(x: Column) -> Column:
         m, d = x["m"], F.length(_digits(x["m"]))
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(F.lit(CONTEXT), x["s"]))
+        before = x["b"]
         ok = _valid(kind, m)
         strict_vote = _vote(ok, ~ok) if strict else F.lit("0")
         if kind == "email":
             plausible = _vote(~m.rlike(r"@[0-9.-]+$") & (F.length(m) <= 254), m.rlike(r"@[0-9.-]+$"))
             layout, gazetteer = _vote(F.contains(m, F.lit("@")), F.lit(False)), _vote(m.rlike(TLD), F.lit(True))
         elif kind == "ip":
-            after = F.substring(text, x["e"] + 1, F.lit(2))
             plausible = _vote(ok, ~ok)
-            layout = _vote(~after.rlike(r"^\.[0-9]") & ~m.rlike(r"(?:^|\.)0[0-9]"), F.lit(True))
+            layout = _vote(~x["a"].rlike(r"^\.[0-9]") & ~m.rlike(r"(?:^|\.)0[0-9]"), F.lit(True))
             gazetteer = _vote(m.rlike(PRIVATE), F.lit(False))
         elif kind == "card":
             good = F.when(d.between(12, 19), luhn(_digits(m))).otherwise(False)
@@ -185,18 +192,18 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
         return _tagged(F.filter(F.col(f"_raw.{kind}"), lambda x: _valid(kind, x["m"])), kind)
 
     base = F.concat(*[kept(k) for k in KINDS])
-    empty = F.lit([]).cast("array<struct<s:int,e:int,m:string>>")
+    empty = F.lit([]).cast(_MATCHES)
     low = F.lower(t)
     wide_email = F.when(F.contains(t, F.lit("@")) | low.rlike(r"\bat\b.{1,70}\bdot\b"), matches(t, WIDE_EMAIL)).otherwise(empty)
     wide_phone = F.when(t.rlike(r"[0-9][\x20./)-]{1,3}[0-9]{3}"), matches(t, WIDE_PHONE)).otherwise(empty)
     wide_card = F.when(t.rlike(r"[0-9]{4}[\x20-]?[0-9]{4}"), matches(t, WIDE_CARD)).otherwise(empty)
     wide_dial = F.when(F.contains(t, F.lit("+")), matches(t, WIDE_DIAL)).otherwise(empty)
     cand = F.concat(
-        *[_described(t, k, F.col(f"_raw.{k}"), True) for k in KINDS],
-        _described(t, "email", wide_email, False),
-        _described(t, "card", wide_card, False),
-        _described(t, "phone", wide_phone, False),
-        _described(t, "phone", wide_dial, False),
+        *[_described(k, F.col(f"_raw.{k}"), True) for k in KINDS],
+        _described("email", wide_email, False),
+        _described("card", wide_card, False),
+        _described("phone", wide_phone, False),
+        _described("phone", wide_dial, False),
     )
     return df.withColumns({"_base": F.sort_array(base), "_cand": cand}).drop("_raw")
 
@@ -284,11 +291,27 @@ def _score(model: Model, c: Column) -> Column:
 
 
 def all_spans(model: Model, base: Column, cand: Column) -> Column:
-    """Base spans and accepted candidates that touch neither a base span nor an earlier accepted one; sorted."""
-    free = F.filter(cand, lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    taken = F.sort_array(F.transform(F.filter(free, lambda c: _score(model, c) >= THRESHOLD), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
-    apart = let(F.array_distinct(taken), lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda y: y["e"] > x["s"])))
-    return F.sort_array(F.concat(base, apart))
+    """Base spans and accepted candidates that touch neither a base span nor an earlier accepted one; sorted.
+
+    ``base`` is sorted; the base spans that begin before a candidate's end are counted by halving, and the furthest end of
+    those tells whether one reaches into it.
+    """
+
+    def free(xs: Column) -> Column:
+        starts, ends = F.transform(base, lambda b: b["s"]), running_max(F.transform(base, lambda b: b["e"]))
+
+        def touched(st: Column, en: Column) -> Column:
+            return F.filter(xs, lambda c: let(count_below(st, c["e"]), lambda n: (n == 0) | (F.get(en, n - 1) <= c["s"])))
+
+        return F.when(F.size(base) == 0, xs).otherwise(let(starts, lambda st: let(ends, lambda en: touched(st, en))))
+
+    def apart(xs: Column) -> Column:
+        once = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x))
+        return let(once, lambda us: let(running_max(F.transform(us, lambda x: x["e"])), lambda en: F.filter(us, lambda x, i: (i == 0) | (F.get(en, i - 1) <= x["s"]))))
+
+    taken = F.sort_array(F.transform(F.filter(cand, lambda c: _score(model, c) >= THRESHOLD), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
+    added = let(taken, lambda xs: F.when(F.size(xs) == 0, xs).otherwise(let(free(xs), apart)))
+    return F.sort_array(F.concat(base, added))
 
 
 def span_text(spans: Column) -> Column:
@@ -320,23 +343,37 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+#: Characters of a text that are searched for a place at once.
+_BLOCK = 1 << 16
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to before ``end`` of a text in blocks; a place in a long string costs its distance from the start."""
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor(end / _BLOCK).cast("int")
+    one = F.substring(F.get(blocks, first), start % _BLOCK + 1, end - start)
+    more = F.concat(F.substring(F.get(blocks, first), start % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(blocks, last), F.lit(1), end % _BLOCK))
+    return F.when(first == last, one).otherwise(more)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; of overlapping spans the first names the whole."""
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / _BLOCK).cast("int")), lambda b: F.substring(text, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def join(bs: Column, ends: Column) -> Column:
+        upto = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+        heads = F.filter(F.transform(spans, lambda x, i: F.struct(x["s"].alias("s"), x["k"].alias("k"), upto(i).alias("at"))), lambda x: x["s"] >= x["at"])
+        parts = F.transform(heads, lambda x: F.concat(_cut(bs, x["at"], x["s"]), F.get(names, x["k"])))
+        return F.concat(F.array_join(parts, ""), _cut(bs, F.element_at(ends, -1), F.length(text)))
+
+    ends = running_max(F.transform(spans, lambda x: x["e"]))
+    return F.when(F.size(spans) > 0, let(blocks, lambda bs: let(ends, lambda en: join(bs, en)))).otherwise(text)
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of the text replaced by its kind in brackets; all columns stay, n_chars is renewed."""
     found = detect(packed(df, text=text))
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col("text")
-    # (upto, pieces): what stands between spans is copied; of overlapping spans the first names the whole
-    folded = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"),
-            F.when(x["s"] >= a["at"], F.concat(a["out"], F.substring(t, a["at"] + 1, x["s"] - a["at"]), F.get(names, x["k"]))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.greatest(F.length(t) - a["at"], F.lit(0)))),
-    )
-    masked = F.when(F.size("spans") > 0, folded).otherwise(t)
-    found = found.withColumn("_masked", masked)
+    found = found.withColumn("_masked", masked(F.col("text"), F.col("spans")))
     changed = {text: F.col("_masked")}
     if "n_chars" in df.columns and text != "n_chars":
         changed["n_chars"] = F.length("_masked").cast(df.schema["n_chars"].dataType)
