@@ -62,6 +62,22 @@ def test_sparse_ids_many_buckets(spark, docs, monkeypatch):
     assert [r["next_fp"] for r in rows] == [rows[(i + 1) % 40]["fp"] for i in range(40)]
 
 
+def largest_bucket(spark, ids):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, tie long").withColumn("tie", F.xxhash64("tie"))
+    rows = df.withColumn("bucket", S._buckets(df))
+    placed = sorted(rows.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
+    assert [r["bucket"] for r in placed] == sorted(r["bucket"] for r in placed)  # ascending with (doc_id, tie)
+    return rows.groupBy("bucket").count().agg(F.max("count")).first()[0]
+
+
+def test_buckets_stay_small(spark):
+    assert largest_bucket(spark, [*range(20_000), 10**15]) < 4 * S.BUCKET_ROWS
+    assert largest_bucket(spark, [-(2**62), *range(5_000), 2**62]) < 4 * S.BUCKET_ROWS
+    assert largest_bucket(spark, [None] * 4_000 + [7] * 4_000 + [*range(4_000)]) < 4 * S.BUCKET_ROWS
+
+
 def test_single_and_empty(spark, docs):
     check(docs(["only one here"]), ["only one here"])
     assert S.report(docs([])).count() == 0

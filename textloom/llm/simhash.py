@@ -4,17 +4,20 @@ Terms are the ASCII-lower-cased words of a text; each occurrence votes with the
 so function words weigh little. Bit j of the 64-bit fingerprint is set when the weight of the terms whose hash has
 bit j exceeds half of all weight. Counts of two bits share one long (32-bit lanes), so 32 sums make a fingerprint.
 
-The next document in id order is found without a global sort: ids are cut into buckets of about ``BUCKET_ROWS``,
-rows are dealt by bucket once, and everything else (window, vote sums, comparison) stays in that stage. Only the
-first row of each bucket travels to the bucket before it; the order of buckets is found level by level.
+The next document in id order is found without a global sort: ids are cut at quantiles (``RANGES`` at most, from one
+mergeable summary), ranges into even buckets of about ``BUCKET_ROWS``, rows are dealt by bucket once, and everything else
+(window, vote sums, comparison) stays in that stage. An id that holds a range or more by itself, or rows without an id,
+are cut by the hash of the text that orders them. Only the first row of each bucket travels to the bucket before it; the
+order of buckets is found level by level.
 
 The radius search cuts a fingerprint into six blocks and keeps one table for each choice of three blocks: two
 fingerprints within three bits agree on at least three blocks, so they meet in a table. Equal fingerprints are one
 row with a count, and a pair is reported by the first table it meets in. The report lists the fingerprints found.
 
 Defined results: null and empty texts have the fingerprint 0 and likeness 1 to each other; the last document's
-next is the first, a single document is its own next; documents with equal ids are ordered by a hash of the text;
-extra columns are ignored; an empty table gives an empty result.
+next is the first, a single document is its own next; rows without an id come first, and rows with equal ids are
+ordered by a hash of the text; a text may have 2^32 / MAX_LENGTH^2 words (29 million, at least 60 MB) before the counts
+of two bits could run into each other; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,9 +27,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import lower_ascii, materialise, words
+from textloom.llm.common import count_below, let, lower_ascii, materialise, words
 
 BUCKET_ROWS = 128
+#: Quantiles of the ids that the driver sees, and buckets that a range can have.
+RANGES = 4096
+FINE = 1 << 20
 #: Buckets in a group of buckets whose order one window task finds.
 FAN = 4096
 RADIUS = 3
@@ -84,18 +90,46 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
     return inside.join(tops, "_group").select("bucket", F.coalesce("_in", "_after").alias("next_bucket"))
 
 
+def _buckets(rows: DataFrame) -> Column:
+    """The bucket of (doc_id, tie), ascending with it: quantile range first, then an even part of the range."""
+    n, missing = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = max(1, min(RANGES, n // BUCKET_ROWS))
+    marks = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 20 * RANGES)).first()[0] or [0]
+    parts = min(FINE - 1, -(-n // (ranges * BUCKET_ROWS)))
+
+    def by_tie(count: Column) -> Column:
+        """Ties are spread evenly over all longs."""
+        return F.least(count - 1, F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * count))
+
+    bounds = F.array(*[F.lit(m).cast("long") for m in marks])
+    times = F.array(*[F.lit(marks.count(m)).cast("long") for m in marks])
+    # places of the range's lower bound and of the bound after it; an id below all bounds joins the first range
+    low = F.greatest(count_below(bounds, F.col("doc_id") + 1) - 1, F.lit(0))
+
+    def part(k: Column) -> Column:
+        start, end = F.get(bounds, k).cast("double"), F.coalesce(F.get(bounds, k + 1), F.get(bounds, k)).cast("double")
+        even = F.floor((F.col("doc_id") - start) / F.greatest(end - start, F.lit(1.0)) * (parts - 1)) + 1
+        heavy = (F.col("doc_id") == F.get(bounds, k)) & (F.get(times, k) > 1)
+        # the bound itself comes before the ids above it; one that repeats is cut by tie
+        inside = F.when(heavy, by_tie(F.least(F.get(times, k) * parts, F.lit(FINE // 2))) - FINE // 2).when(F.col("doc_id") <= start, F.lit(0)).otherwise(F.least(F.greatest(even, F.lit(0)), F.lit(parts)))
+        return (k.cast("long") + 1) * (2 * FINE) + FINE + inside.cast("long")
+
+    none = by_tie(F.lit(max(1, missing // BUCKET_ROWS)).cast("long")) - F.lit(2**62)
+    return F.when(F.col("doc_id").isNull(), none).otherwise(let(low, part))
+
+
 def compare(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_chars, edited_sha256, fp, edited_fp (longs) and next_fp."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, n // BUCKET_ROWS))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.coalesce(F.expr(f"doc_id div {width}L"), F.lit(-(2**62))).alias("bucket"))
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("bucket", _buckets(keyed))
     order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
     seen = rows.withColumns({"_rank": F.row_number().over(order), "_next": F.lead("text").over(order)})
     firsts = seen.filter(F.col("_rank") == 1).select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"))
     firsts = firsts.join(_next_bucket(rows.select("bucket")), "next_bucket").select("bucket", "first_text")
     firsts = _votes(firsts, ["bucket", "first_text"], terms(F.col("first_text"))).withColumnRenamed("fp", "first_fp")
-    seen = seen.join(firsts, "bucket", "left").withColumn("_next", F.coalesce("_next", "first_text"))
+    # dealt by bucket like the rows themselves: first rows hold whole texts and grow with the table, so they are not broadcast
+    seen = seen.join(firsts.hint("merge"), "bucket", "left").withColumn("_next", F.coalesce("_next", "first_text"))
     size = F.length("text")
     half = F.expr("length(text) div 2").cast("int")
     seen = seen.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.col("_next"), F.lit(1), half)))
