@@ -45,11 +45,15 @@ def test_fragments_equal_the_library(corpus, name):
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr(fragments, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(fragments, "CACHE_BYTES", 10 * (fragments.ENTRY_BYTES + 10))
     coder = fragments.FragmentCodes(str(public_tokenizers.path("byte_bpe_50k.json")))
     library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     t = "one two three four five six seven eight nine one two"
-    assert np.frombuffer(coder.encode(t), np.uint32).tolist() == library.encode(t).ids and len(coder) <= 5
+    for text in (t, t, t + " x" * 200, t):
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == library.encode(text).ids and len(coder) + len(coder.old) <= 12
+    fragments.codes(str(public_tokenizers.path("byte_bpe_50k.json")))
+    fragments.release()
+    assert not fragments.codes.cache_info().currsize
 
 
 def test_op6_digests(spark, docs, corpus):
@@ -90,5 +94,14 @@ def test_op5(spark, docs, corpus, monkeypatch):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert token_files.report(docs([]), path).count() == 0
+    folder = token_files.stored_path(spark, "test-tokens")
+    token_files.write(docs(texts).repartition(5), folder, path, end_id=2)
+    every = [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
+    wanted = [*range(0, len(every), 97), len(every) - 1]
+    places = spark.createDataFrame([(p,) for p in [*wanted, wanted[3], len(every), -1]], "place long")
+    assert sorted(map(tuple, token_files.lookup(places, folder).collect())) == [(p, every[p]) for p in wanted]
+    found = token_files.index(spark, folder).collect()
+    assert sum(r["n_ids"] for r in found) == len(every) and sum(r["docs"] for r in found) == len(texts)
+    assert all(r["last_id"] == 2 for r in rows)
     df = docs(["a", "b"])
     assert token_files.report(df.union(df), path).count() == 4

@@ -6,9 +6,10 @@ counts its set bits per block, so the place of an id in the next level is one di
 any id is read with one step a level and no block is decoded.
 
 Documents are encoded in ascending id order and cut into segments at document ends. A segment is one row (bytes plus its
-documents' ids and lengths) of a Parquet dataset in shared storage, written by Spark's own writer, so any file system and
-any lost task are covered by its commit protocol. A segment knows how many ids its part has before it; the parts' totals
-(one row each) give global places.
+documents' ids and lengths) of an uncompressed Parquet dataset in shared storage, written by Spark's own writer, so any file
+system and any lost task are covered by its commit protocol. A segment knows how many ids its part has before it; the
+offset index, a small table beside the segments, has the global place of each. ``lookup`` finds the segments of the places
+asked for in the index and reads single ids by ``Packed.at``; no segment without such a place is read.
 
 Defined results: a null or empty text has the end id alone; equal ids keep the order of a hash of their texts; texts of
 any length are whole (a segment grows with its longest document); extra columns are ignored; an empty table gives none.
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored_path
+from textloom.llm.common import sized, stored_path
 from textloom.llm.fragments import codes
 
 MAGIC = b"TLDAC1"
@@ -101,7 +102,7 @@ class Packed:
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode ``text`` and write the segments to ``path`` in ascending id order, ``end_id`` after each document."""
+    """Encode ``text`` and write segments and index to ``path`` in ascending id order, ``end_id`` after each document."""
     end = struct.pack("=I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,29 +130,65 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(run, SEGMENT_SCHEMA).write.option("compression", "none").parquet(f"{path}/segments")
+    stored = segments(df.sparkSession, path).select("part", "seg", "base", "n_ids", F.size("lens").alias("docs"))
+    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each part of the write
+    starts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    # as many rows as the write had tasks, so this side always fits in memory
+    placed = stored.join(F.broadcast(starts), "part")
+    placed.select("part", "seg", (F.col("part_start") + F.col("base")).alias("start"), "n_ids", "docs").write.parquet(f"{path}/index")
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SEGMENT_SCHEMA).parquet(f"{path}/segments")
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """The offset index: (part, seg, start, n_ids, docs) of each segment."""
+    return spark.read.schema("part int, seg int, start long, n_ids long, docs int").parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens and ids_crc32, each from the ids read back."""
-    stored = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row for each part of the write
-    starts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32 of all its ids and last_id read by its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = Packed(batch.column("blob")[i].as_py()).all()
+                codes_ = Packed(batch.column("blob")[i].as_py())
+                ids = codes_.all()
                 lens = np.array(batch.column("lens")[i].as_py(), np.int64)
                 ends = np.cumsum(lens)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for n, e in zip(lens.tolist(), ends.tolist(), strict=True)]
-                row = [pa.array(np.full(len(lens), batch.column("part")[i].as_py(), np.int32)), batch.column("doc_ids")[i].values, pa.array(batch.column("base")[i].as_py() + ends - lens), pa.array(lens), pa.array(crcs, pa.int64())]
-                yield pa.RecordBatch.from_arrays(row, ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
+                last = [codes_.at(e - 1) for e in ends.tolist()]
+                row = [batch.column("doc_ids")[i].values, pa.array(batch.column("start")[i].as_py() + ends - lens), pa.array(lens), pa.array(crcs, pa.int64()), pa.array(last, pa.int64())]
+                yield pa.RecordBatch.from_arrays(row, ["doc_id", "start", "n_tokens", "ids_crc32", "last_id"])
+
+    # the index has a row for every SEGMENT_IDS ids; a broadcast only if that is few
+    rows = segments(spark, path).join(sized(index(spark, path).select("part", "seg", "start")), ["part", "seg"])
+    return rows.select("start", "doc_ids", "lens", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, last_id long")
+
+
+def lookup(places: DataFrame, path: str, place: str = "place") -> DataFrame:
+    """(place, id) of every global place in ``places`` that the files have, each read by its address alone."""
+    spark = places.sparkSession
+    asked = places.select(F.col(place).cast("long").alias("place")).distinct()
+    # ranges of SEGMENT_IDS places: a segment lies in the ranges it reaches, a place in one
+    cell = F.expr(f"place div {SEGMENT_IDS}L")
+    reach = F.sequence(F.expr(f"start div {SEGMENT_IDS}L"), F.expr(f"(start + n_ids - 1) div {SEGMENT_IDS}L"))
+    cells = index(spark, path).select("part", "seg", "start", "n_ids", F.explode(reach).alias("cell"))
+    found = asked.withColumn("cell", cell).join(cells, "cell").filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_ids")))
+    wanted = found.groupBy("part", "seg", "start").agg(F.collect_list("place").alias("places"))
 
-    rows = stored.select("part", "base", "doc_ids", "lens", "blob").mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # as many rows as the write had tasks, so this side always fits in memory
-    return rows.join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                codes_, start = Packed(batch.column("blob")[row].as_py()), batch.column("start")[row].as_py()
+                at = batch.column("places")[row].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([codes_.at(p - start) for p in at], pa.int64())], ["place", "id"])
+
+    rows = segments(spark, path).select("part", "seg", "blob").join(wanted, ["part", "seg"])
+    return rows.select("start", "places", "blob").mapInArrow(run, "place long, id long")
 
 
 def report(df: DataFrame, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
