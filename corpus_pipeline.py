@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import jaccard_join, langid, packing, pii, quality_rules
-from textloom.llm.common import documents, drop_stored, keep_stored, shared_dir, stored_so_far
+from textloom.llm.common import documents, remove, shared_dir, store
 from textloom.llm.queries import tokenizer_path
 
 
@@ -56,12 +56,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage stored on its way, and the stage before the last one written, are deleted as soon as nothing reads them.
     """
-    docs, before = documents(spark, sf_dir), stored_so_far()
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/textloom-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        drop_stored(spark, before)
-        keep_stored(path)
-        docs = spark.read.parquet(path)
+        with store() as own:
+            path = f"{shared_dir(spark)}/textloom-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+        own.clear(spark)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
