@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
@@ -82,3 +83,11 @@ def test_strategies(spark):
     with pytest.raises(ValueError):
         C.chunk_fixed(df, size=10, overlap=10)
     assert C.pick_strategy(100, "fixed") == "recursive" and C.pick_strategy(5) == "semantic"
+
+
+def test_text_without_separators_is_cut_between_tokens():
+    tok = C.Tokenizer(re.compile(r"\S{3}|\S+"))
+    text = "abcdefghij" * 5
+    pieces = list(C.split_pieces(text, 4, tok))
+    assert "".join(pieces) == text and [len(p) for p in pieces] == [12, 12, 12, 12, 2]
+    assert all(tok.count(p) <= 4 for p in pieces)

@@ -76,7 +76,7 @@ class Tokenizer:
 def split_pieces(text: str, size: int, tok: Tokenizer, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
     """Pieces of at most ``size`` tokens, cut at the largest separator that helps; separators stay with the left piece.
 
-    What no separator can cut is cut by characters so that each has the most that fit.
+    What no separator can cut is cut between tokens so that each has the most that fit.
     """
     if tok.count(text) <= size:
         if text:
@@ -84,9 +84,11 @@ def split_pieces(text: str, size: int, tok: Tokenizer, separators: tuple[str, ..
         return
     at = next((k for k, s in enumerate(separators) if s in text), None)
     if at is None:
-        width = max(1, size)
-        for i in range(0, len(text), width):
-            yield text[i : i + width]
+        tokens, start, step = tok.split(text), 0, max(1, size)
+        for i in range(0, len(tokens), step):
+            end = len(text) if i + step >= len(tokens) else start + sum(map(len, tokens[i : i + step]))
+            yield text[start:end]
+            start = end
         return
     parts = text.split(separators[at])
     for i, part in enumerate(parts):

@@ -13,11 +13,17 @@ LENGTHS = (120, 80, 50, 35)
 
 
 def stratified_holdout(df: DataFrame, group: str, counts: dict[str, int], order: list[Column], default: int = 0) -> DataFrame:
-    """``df`` with ``held_out``: the first rows of each group by ``order``."""
+    """``df`` with ``held_out``: the first rows of each group by ``order``, and rows that tie with the last of them.
+
+    The first rows are found with a limit a group, which prunes before the shuffle; their last key is sent to all rows.
+    """
     n = F.lit(default)
     for value, k in counts.items():
         n = F.when(F.col(group) == value, k).otherwise(n)
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).withColumn("held_out", F.col("_r") <= n).drop("_r")
+    keyed = df.withColumn("_k", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
+    first = keyed.select(F.col(group).alias("_g"), "_k", n.alias("_n")).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_k")))
+    edges = first.filter(F.col("_r") <= max(default, *counts.values())).filter(F.col("_r") <= F.col("_n")).groupBy("_g").agg(F.max("_k").alias("_edge"))
+    return keyed.join(edges, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("held_out", F.coalesce(F.col("_k") <= F.col("_edge"), F.lit(False))).drop("_k", "_g", "_edge")
 
 
 def good_example(answer: Column, top_score: Column, hedges: tuple[str, ...] = ("doesn't clearly address", "no information")) -> Column:

@@ -60,23 +60,13 @@ def _keys_sql() -> str:
 
 @query(
     f"""WITH {fixed_sql(512, 50)}, big AS (SELECT * FROM chunks), {fixed_sql(128, 16).replace('tok AS', 'tok2 AS').replace('FROM tok WHERE', 'FROM tok2 WHERE').replace('st AS', 'st2 AS').replace('FROM st)', 'FROM st2)').replace('chunks AS', 'small AS')},
-    q AS (SELECT doc_id AS query_id, doc_id, trim(text, ' ' || chr(10)) AS o, length(trim(text, ' ' || chr(10))) AS n FROM big WHERE chunk_index = 0),
+    q AS (SELECT doc_id || '__' || chunk_index AS query_id, doc_id, trim(text, ' ' || chr(10)) AS o, length(trim(text, ' ' || chr(10))) AS n FROM big),
     k AS (SELECT query_id, doc_id, unnest({_keys_sql()}) AS key, generate_subscripts({_keys_sql()}, 1) AS nth FROM q),
     h AS (SELECT query_id, chunk_index FROM k JOIN small s USING (doc_id) WHERE contains(s.text, k.key) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY nth, chunk_index) = 1)
     SELECT q.query_id, q.doc_id || '__' || h.chunk_index AS chunk_id, CASE WHEN h.chunk_index IS NULL THEN 'no_match' ELSE 'ok' END AS status FROM q LEFT JOIN h USING (query_id)"""
 )
 def eval_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in 512-token chunks are looked for in 128-token chunks."""
-    docs = table(spark, sf_dir, "documents")
-    name = lambda df: df.withColumn("chunk_id", F.concat_ws("__", "doc_id", "chunk_index")).withColumnRenamed("doc_id", "doc")
-    old, new = name(C.chunk_fixed(docs)), name(C.chunk_fixed(docs, size=128, overlap=16))
-    asked = old.filter("chunk_index = 0").select(F.col("doc").alias("query_id"), "chunk_id", "doc")
-    return D.remap(asked, old.select("chunk_id", "text"), new)
-
-
-@query()
-def eval_remap_all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every 512-token chunk; the SQL above asks for first chunks, so this has none."""
+    """The answer of every 512-token chunk is looked for in the 128-token chunks of its document."""
     docs = table(spark, sf_dir, "documents")
     name = lambda df: df.withColumn("chunk_id", F.concat_ws("__", "doc_id", "chunk_index")).withColumnRenamed("doc_id", "doc")
     old, new = name(C.chunk_fixed(docs)), name(C.chunk_fixed(docs, size=128, overlap=16))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.operators import entities as G
 from textloom.queries.text import scripts
 from textloom.registry import query, table
@@ -16,28 +17,18 @@ def entity_sql(relation: str, key: str) -> str:
     return f"SELECT DISTINCT {key} AS chunk_id, lower(e) AS entity FROM (SELECT {key}, unnest(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,6}}'))) AS e FROM {relation})"
 
 
-#: Words of nine letters or more: denser than acronyms, so that the graph operators have work on the driver's tables.
-_LONG = r"[a-z]{9,}"
-
-
-def word_sql(relation: str, key: str) -> str:
-    return f"SELECT DISTINCT {key} AS chunk_id, unnest(regexp_extract_all(text, '{_LONG}')) AS entity FROM {relation}"
-
-
-def _words(text: str = "text") -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(_LONG), F.lit(0)))
-
-
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.mentions(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), _words(), "page_id")
+    """Acronyms in whole documents, the part of the extraction that SQL can express."""
+    return G.mentions(table(spark, sf_dir, "documents"), G.acronyms(F.col("text")))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(_words()).alias("entity"))
+    """Every distinct word of a question asks for the entity of that name."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens_en(F.col("text")))).alias("entity"))
 
 
-_M = f"m AS ({word_sql('(SELECT page_id, html AS text FROM pages)', 'page_id')})"
-_Q = f"q AS (SELECT chunk_id AS query_id, entity FROM ({word_sql('benchmark', 'item_id')}))"
+_M = f"m AS ({entity_sql('documents', 'doc_id')})"
+_Q = "q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS entity FROM benchmark)"
 _E = "e AS (SELECT DISTINCT a.entity AS e1, b.entity AS e2 FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity)"
 _D = "n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), h AS (SELECT * FROM q JOIN m USING (entity)), d AS (SELECT query_id, chunk_id AS id, count(*) / any_value(n)::DOUBLE AS score FROM h JOIN n USING (query_id) GROUP BY ALL)"
 _H = """k AS (SELECT DISTINCT query_id, entity FROM h), a AS (SELECT DISTINCT query_id, e2 AS entity FROM k JOIN e ON k.entity = e.e1 WHERE (query_id, e2) NOT IN (SELECT (query_id, entity) FROM k)),
@@ -84,7 +75,7 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.graph_search(G.graph_scores(_asked(spark, sf_dir), m, G.neighbours(m)), 10).withColumn("score", F.round("score", 6))
 
 
-# The same five over documents with the operator's own extraction, which has no SQL form.
+# The same five with all entities of the operator's extraction, which has no SQL form.
 
 
 def _document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,8 @@ TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 def bm25_sql(corpus: str, key: str = "doc_id") -> str:
     """CTEs of the index over a relation with ``key`` and ``text``."""
     return f"""tk AS (SELECT {key} AS id, {TOKENS} AS t FROM {corpus}), le AS (SELECT id, len(t) AS dl FROM tk), stt AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM le),
-    po AS (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tk) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM po GROUP BY term),
-    ra AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stt), te AS (SELECT term, df, CASE WHEN raw < 0 THEN {L.EPSILON} * (SELECT avg(raw) FROM ra) ELSE raw END AS idf FROM ra),
+    po AS MATERIALIZED (SELECT term, id, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM tk) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM po GROUP BY term),
+    ra AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stt), me AS (SELECT avg(raw) AS mean FROM ra), te AS (SELECT term, df, CASE WHEN raw < 0 THEN {L.EPSILON} * mean ELSE raw END AS idf FROM ra, me),
     qu AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
     sc AS (SELECT query_id, id, sum(qtf * idf * tf * {L.K1 + 1} / (tf + {L.K1} * ({1 - L.B} + {L.B} * dl / avgdl))) AS score FROM qu JOIN te USING (term) JOIN po USING (term) JOIN le USING (id), stt GROUP BY ALL)"""
 

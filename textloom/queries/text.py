@@ -124,20 +124,13 @@ def token_counts_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{_HANGUL}') THEN 'ko' WHEN regexp_matches(text, '{_ARABIC}') THEN 'ur' ELSE 'en' END AS lang, replace(text, ' ', '') AS t FROM {values_sql(SCRIPTS, ['doc_id', 'text'])}),
+    f"""WITH s AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '{_HANGUL}') THEN 'ko' WHEN regexp_matches(text, '{_ARABIC}') THEN 'ur' ELSE 'en' END AS lang, replace(text, ' ', '') AS t FROM {_UNION}),
     k AS (SELECT doc_id, lang, CASE lang WHEN 'ko' THEN regexp_extract_all(text, '{_HANGUL}+') WHEN 'ur' THEN regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') ELSE regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') END
       || CASE WHEN lang = 'en' THEN [] WHEN length(t) < 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INT, 3)) END AS tokens FROM s)
     SELECT doc_id, lang, array_to_string(tokens, '|') AS tokens FROM k"""
 )
 def tokens_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokenizer routing over the multilingual fixture."""
-    df = scripts(spark)
-    return df.select("doc_id", T.script_presence(F.col("text")).alias("lang"), F.array_join(T.tokens(F.col("text"), F.lit(None).cast("string")), "|").alias("tokens"))
-
-
-@query()
-def tokens_by_script_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over documents and the fixture; the SQL above covers the fixture, so this has none."""
+    """Tokenizer routing over documents and the multilingual fixture."""
     df = _with_scripts(spark, sf_dir)
     return df.select("doc_id", T.script_presence(F.col("text")).alias("lang"), F.array_join(T.tokens(F.col("text"), F.lit(None).cast("string")), "|").alias("tokens"))
 

@@ -80,29 +80,26 @@ def db_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("query_id").agg(F.count("hit").alias("shared"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
 
 
-
-
-def _lists(spark: SparkSession, sf_dir: str, k: int = 30, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """BM25, and distinct question words in the first line of each document or, ``whole``, in all of its text."""
+def _lists(spark: SparkSession, sf_dir: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
+    """BM25, and the number of distinct question words in each document's whole text."""
     docs = table(spark, sf_dir, "documents")
     lexical = L.search(L.build(docs, tokens()), questions(spark, sf_dir), tokens(), k)
     asked = questions(spark, sf_dir).select("query_id", F.explode(tokens()).alias("term")).distinct()
-    held = F.col("text") if whole else F.element_at(F.split("text", "\n"), 1)
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens_en(held))).alias("term"))
+    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens_en(F.col("text")))).alias("term"))
     words = words.join(asked.select("term").distinct(), "term", "left_semi").distinct()
     overlap = asked.join(words, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return lexical, L.top(overlap, k)
 
 
 _LISTS = f"""{bm25_sql('documents')}, l1 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 30),
-    li AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
+    li AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
     aq AS (SELECT DISTINCT query_id, term FROM qu), ov AS (SELECT query_id, id, count(*)::DOUBLE AS score FROM aq JOIN li USING (term) GROUP BY ALL),
     l2 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ov QUALIFY rank <= 30),
     rrf AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM l1 UNION ALL SELECT query_id, id, rank FROM l2) GROUP BY ALL)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    a, b = _lists(spark, sf_dir, whole=whole)
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _lists(spark, sf_dir)
     return R.reciprocal_rank(a.select("query_id", "id", "rank").union(b.select("query_id", "id", "rank")))
 
 
@@ -136,34 +133,3 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _lists(spark, sf_dir)
     fused = R.reciprocal_rank(a.select("query_id", "id", "rank").union(b.select("query_id", "id", "rank")))
     return R.merge_graph(fused, b.select("query_id", "id", (F.col("score") / 30).alias("score"))).withColumn("score", F.round("score", 9))
-
-
-# The same five with the second list over whole texts. The SQL above reads first lines, so these have none.
-
-
-@query()
-def rrf_fusion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir, whole=True).withColumn("score", F.round("score", 9))
-
-
-@query()
-def hybrid_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.top(_fused(spark, sf_dir, whole=True), 10).withColumn("score", F.round("score", 6))
-
-
-@query()
-def variant_max_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _lists(spark, sf_dir, whole=True)
-    return R.merge_variants(a.select("query_id", "id", "score").union(b.select("query_id", "id", "score"))).withColumn("score", F.round("score", 6))
-
-
-@query()
-def relative_threshold_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.relative_threshold(_fused(spark, sf_dir, whole=True)).withColumn("score", F.round("score", 9))
-
-
-@query()
-def graph_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _lists(spark, sf_dir, whole=True)
-    fused = R.reciprocal_rank(a.select("query_id", "id", "rank").union(b.select("query_id", "id", "rank")))
-    return R.merge_graph(fused, b.select("query_id", "id", (F.col("score") / 30).alias("score"))).withColumn("score", F.round("score", 9))
