@@ -6,14 +6,13 @@ Words repeat, so most fragments are looked up, the rest go through the tokenizer
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
 from array import array
 from functools import lru_cache
 
-import pyarrow as pa
+from textloom.llm.common import trim
 
 #: Bytes that a worker's cache of fragments takes at most, in two generations of half as much; ``release`` frees them.
 CACHE_BYTES = 160 << 20
@@ -140,5 +139,4 @@ def release() -> None:
     """Free the codes that an earlier operator's tasks left in this worker; every other operator's tasks begin with it."""
     if codes.cache_info().currsize:
         codes.cache_clear()
-        gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()

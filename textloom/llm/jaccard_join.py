@@ -32,7 +32,7 @@ which keeps one of several rows with equal id and text; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +47,15 @@ from textloom.llm.fragments import release
 #: Second-level parts of a group and how many of them may differ; one of the two parts is a signature.
 PARTS, MAY_DIFFER = 2, 1
 #: One spare group, and one more for so many differing shingles (see ``signatures``).
-SPARE_EACH = 12
+SPARE_EACH = 8
 #: Bytes of text that a Python worker expands at once.
 SLICE_BYTES = 2 << 20
 MAX_ROUNDS = 60
-#: Rounds in which a torn bucket is compared with its best-linked member before its remaining pairs are.
-HUB_ROUNDS = 3
-#: Longs in a set's parity sketch.
-SKETCH_WORDS = 32
+#: Rounds in which a torn bucket is compared with its best-linked member before its remaining pairs are: at most so many,
+#: and only while one pair in so many turns out to be a link.
+HUB_ROUNDS, HUB_YIELD = 8, 20
+#: Longs in a set's parity sketch, and in the folded one that members of a bucket are compared by.
+SKETCH_WORDS, FOLDED_WORDS = 32, 8
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)
@@ -341,17 +342,22 @@ def linked_classes(rows: DataFrame, fetch: Callable[[DataFrame], DataFrame], per
         apart = members.join(hubs, "sig").filter("comp <> hub.comp").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
         apart = materialise(apart.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = materialise(_verified(apart, known, percent), "links")
-        pairs = pairs.union(apart)
-        if found.isEmpty():
+        pairs, more = pairs.union(apart), found.count()
+        if not more:
             break
         links = links.union(found)
         labels = _labels(links)
-    rest = _open(members, labels).join(known.select("id", "n"), "id")
-    left = rest.select("sig", F.col("id").alias("a"), F.col("comp").alias("a_comp"), F.col("n").alias("a_n"))
-    right = rest.select("sig", F.col("id").alias("b"), F.col("comp").alias("b_comp"), F.col("n").alias("b_n"))
-    near = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & near)
-    untried = materialise(cross.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more * HUB_YIELD < apart.count():
+            break
+    # folding a sketch keeps its bound; only pairs that sizes and folded sketches let be similar leave the join
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), (F.get("sketch", F.lit(i)) for i in range(k, SKETCH_WORDS, FOLDED_WORDS))).alias(f"f{k}") for k in range(FOLDED_WORDS)]
+    rest = _open(members, labels).join(known.select("id", "n", *folded), "id")
+    left, right = (rest.select("sig", *(F.col(c).alias(f"{side}_{c}") for c in rest.columns if c != "sig")) for side in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(FOLDED_WORDS)), F.lit(0))
+    near = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & ((100 + percent) * differ <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+    cross = left.join(right, (left["sig"] == right["sig"]) & (F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")) & near)
+    cross = cross.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    untried = materialise(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = materialise(_verified(untried, known, percent), "links")
     return labels if more.isEmpty() else _labels(links.union(more))
 

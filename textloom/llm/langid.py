@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import packed, unpacked
+from textloom.llm.common import packed, trim, unpacked
 from textloom.llm.fragments import release
 from textloom.llm.grams import SIZE, counted, grams, mean_weight
 
@@ -160,7 +160,10 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for name, n in counts.items():
         share = F.when(F.col("lang") == name, min(1.0, PER_LANGUAGE / n)).otherwise(share)
     samples = [(languages.index(y), at, c) for y, at, c in sample_rows(rows, share, F.col("lang")) if len(at)]
-    return fit(samples, idf, languages) if samples else None
+    model = fit(samples, idf, languages) if samples else None
+    del samples, seen, table
+    trim()
+    return model
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

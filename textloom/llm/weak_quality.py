@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SPACE
+from textloom.llm.common import SPACE, trim
 from textloom.llm.fragments import release
 from textloom.llm.grams import SIZE, counted
 from textloom.llm.langid import sample_rows, sampled
@@ -202,6 +202,7 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     drawn = rows.filter(F.length("text") > 0).filter(sampled(F.lit(min(1.0, SAMPLE / sum(n for _, n in counts)))))
     drawn = drawn.mapInArrow(labelled, f"doc_id {kind}, text string, soft double")
     weights, bias = fit([x for x in sample_rows(drawn, F.lit(1.0), F.col("soft")) if len(x[1])])
+    trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
