@@ -56,6 +56,8 @@ MAX_ROUNDS = 60
 HUB_ROUNDS, HUB_YIELD = 8, 20
 #: Longs in a set's parity sketch, and in the folded one that members of a bucket are compared by.
 SKETCH_WORDS, FOLDED_WORDS = 32, 8
+#: Sets that more than one document in so many has are named by a broadcast; there are fewer of them than this.
+HOT_SETS = 10_000
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C55)
@@ -375,7 +377,7 @@ def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
     kind = docs.dtypes[0][1]
     hashed = docs.select("doc_id", F.xxhash64("text").alias("content"), "text")
     members = materialise(hashed.mapInArrow(_member_rows(width), f"doc_id {kind}, content long, n_shingles long, id long"), "members")
-    least = materialise(members.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least")), "least")
+    least = materialise(members.filter("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "least")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = materialise(least.join(ids, "id").select(F.col("least").alias("doc_id"), "id"), "wanted")
@@ -386,10 +388,15 @@ def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
 
     labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent), "sig long, id long, place int, head long, n int"), fetch, percent)
     tops = least.join(labels, "id").groupBy("comp").agg(F.min("least").alias("component"))
-    named = labels.join(tops, "comp").select("id", "component")
-    named = least.join(named, "id", "left").select("id", F.coalesce("component", "least").alias("component"))
-    out = members.join(named, "id", "left")
-    return out.select("doc_id", "content", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = labels.join(tops, "comp").select("id", "component")
+    named = materialise(least.join(linked, "id", "left").select("id", "copies", F.coalesce("component", "least").alias("component")), "named")
+    # rows of a set with many copies are not dealt by it, nor are those without a set
+    often = F.col("copies") > members.count() / HOT_SETS
+    filled, hot = members.filter("n_shingles > 0"), named.filter(often).select("id", "component")
+    seldom = filled.join(F.broadcast(hot.select("id")), "id", "left_anti").join(named.filter(~often).select("id", "component"), "id")
+    empty = members.filter("n_shingles = 0").withColumn("component", F.col("doc_id"))
+    out = filled.join(F.broadcast(hot), "id").unionByName(seldom).unionByName(empty)
+    return out.select("doc_id", "content", "n_shingles", F.col("component").alias("component_id"))
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
