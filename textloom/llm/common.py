@@ -92,10 +92,22 @@ def stored_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Whether Spark deletes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors."""
-    path = stored_path(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors.
+
+    Once the table is written nothing needs the shuffle files of its plan, so they are deleted.
+    """
+    path, conf = stored_path(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

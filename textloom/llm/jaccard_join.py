@@ -271,17 +271,19 @@ def _buckets(rows: DataFrame) -> DataFrame:
     """(sig, id, centre) of the signatures that sets share and keep; centre is another member or the set itself."""
     rows = materialise(rows, "signatures")
     alone = Window.partitionBy("sig")
-    firsts = rows.filter("head IS NULL")
-    firsts = firsts.select("sig", "id", "place", F.sum("n").over(alone).alias("n"), F.min("id").over(alone).alias("centre")).filter("n > 1")
-    firsts = materialise(firsts, "firsts")
+    counted = rows.filter("head IS NULL").select("sig", "id", "place", F.sum("n").over(alone).alias("n"), F.min("id").over(alone).alias("centre")).filter("n > 1")
+    # one half of the signatures after the other, so that the shuffle files of half of them exist at a time
+    firsts = materialise(counted.filter("sig < 0"), "firsts").union(materialise(counted.filter("sig >= 0"), "firsts"))
+    repeats = materialise(rows.filter("head IS NOT NULL").select("sig", "id", "place", "head"), "repeats")
+    discard(rows)
     sizes = firsts.groupBy("sig").agg(F.max("n").alias("n"))
-    others = rows.filter("head IS NOT NULL").select("sig", "id", "place", "head").join(sizes, "sig").select("sig", "id", "place", "n", F.col("head").alias("centre"))
+    others = repeats.join(sizes, "sig").select("sig", "id", "place", "n", F.col("head").alias("centre"))
     # one row for each set and signature; copies of a set in other slices can have another centre
     shared = firsts.union(others).groupBy("id", "place", "sig").agg(F.max("n").alias("n"), F.min("centre").alias("centre"))
     rank = F.row_number().over(Window.partitionBy("id", "place").orderBy(F.desc("n"), "sig"))
     kept = shared.withColumn("rank", rank).filter(F.col("rank") > F.expr("place div 2"))
     kept = materialise(kept.select("sig", "id", "centre"), "buckets")
-    discard(rows, firsts)
+    discard(firsts, repeats)
     return kept
 
 
