@@ -44,6 +44,15 @@ def test_fragments_equal_the_library(corpus, name):
         assert np.frombuffer(coder.encode(t), np.uint32).tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)[:200]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_beside_symbols_and_line_ends_equal_the_library(name):
+    coder, draw = fragments.FragmentCodes(str(public_tokenizers.path(name))), random.Random(3)
+    parts = ["Word", "été", "à", "é", "don't", " ", "  ", "\n", "\n\n", "\u00a0", ".", ",", "!", "$$$", "#", "%", "&&", "*", "'", "3", "я", "\u0300"]
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randint(1, 9)))
+        assert np.frombuffer(coder.encode(text), np.uint32).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(fragments, "CACHE_BYTES", 10 * (fragments.ENTRY_BYTES + 10))
     coder = fragments.FragmentCodes(str(public_tokenizers.path("byte_bpe_50k.json")))

@@ -59,6 +59,7 @@ class FragmentCodes(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab = spec["model"]["vocab"]
@@ -67,6 +68,8 @@ class FragmentCodes(dict):
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"] or {})
         self.find = (self._word_pattern() if self.lowers else self._byte_pattern()).findall
         self.plain = re.compile("[a-zß-öø-ÿ]+" if self.lowers else " ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        # a line end, a word and symbols are pre-tokens of their own, and apostrophes are not among these symbols
+        self.parts = None if self.lowers else re.compile("(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*]*)").fullmatch
         self.printable = {b: c for c, b in self.byte_of.items() if chr(b) != c}
         self.not_latin = re.compile("[^\x00-\xff]").search
 
@@ -98,20 +101,24 @@ class FragmentCodes(dict):
         # wider white space starts with a byte of its own; it is not cut before
         ends = [c for c in [*range(0x21, 0x7F), *range(0xA1, 0xD800)] if not chr(c).isspace() and last(c) not in before_space]
         letters = [c for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7) and last(c) not in before_stop]
-        ends_class, letter_class = _ranges(ends), _ranges(letters)
+        ends_class, letter_class, both_class = _ranges(ends), _ranges(letters), _ranges(sorted(set(ends) & set(letters)))
         # runs that end in no sure cut are held together with what follows
         held = rf"(?:\S++(?:(?<![{ends_class}])|(?=[^{_ASCII_SPACE}\S]))\s++)++\S*+"
-        return re.compile(rf"\s*+[^\s.,]++(?<=[{letter_class}])(?=[.,])|\s*+{held}|\s*+\S++|\s++")
+        # most words end in a letter that is sure before white space too, and are found by the first branch
+        word = rf"\s*+[^\s.,]++(?:(?<=[{both_class}])(?=[.,{_ASCII_SPACE}]|\Z)|(?<=[{letter_class}])(?=[.,]))"
+        return re.compile(rf"{word}|\s*+{held}|\s*+\S++|\s++")
 
     def __missing__(self, fragment: str) -> bytes:
         code = self.old.get(fragment)
         if code is None:
             if self.plain(fragment):  # one pre-token without anything to normalise: the model alone decides
-                printed = fragment.encode().decode("latin-1").translate(self.printable)
-                ids = [t.id for t in self.tokenizer.model.tokenize(printed)]
+                # of ASCII only the blank is printed as another character
+                printed = fragment.replace(" ", self.printable[32]) if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.printable)
+                code = array("I", [t.id for t in self.model.tokenize(printed)]).tobytes()
+            elif self.parts and (found := self.parts(fragment)):
+                code = b"".join(self[part] for part in found.groups() if part)
             else:
-                ids = self.tokenizer.encode(fragment, add_special_tokens=False).ids
-            code = array("I", ids).tobytes()
+                code = array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
         if len(fragment) <= CACHE_LENGTH:
             self.held += ENTRY_BYTES + len(fragment) + len(code)
             if self.held > CACHE_BYTES // 2:
