@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard_join, langid, oracles, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
+from textloom.llm import bpe, jaccard_join, langid, lm_score, oracles, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
 from textloom.llm.common import documents
 
 
@@ -59,8 +59,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_partenum_jaccard, op3_language, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op7_length_buckets, op8_weak_quality, op9_best_fit_shards, op10_simhash]
+    own = [op1_weak_pii, op2_partenum_jaccard, op3_language, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op7_length_buckets, op8_weak_quality, op9_best_fit_shards, op10_simhash, op11_deleted_interpolation]
     return {f.__name__: f for f in own}
 
 
