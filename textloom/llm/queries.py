@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, jaccard_join, langid, lm_score, oracles, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
+from textloom.llm import bpe, dialogue, divergence, jaccard_join, langid, lm_score, oracles, packing, pii, quality_rules, sharding, simhash, token_files, weak_quality
 from textloom.llm.common import documents
 
 
@@ -63,10 +63,18 @@ def op11_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.report(documents(spark, sf_dir))
 
 
+def op12_joint_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_weak_pii, op2_partenum_jaccard, op3_language, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op7_length_buckets, op8_weak_quality, op9_best_fit_shards, op10_simhash, op11_deleted_interpolation]
+    own = [op1_weak_pii, op2_partenum_jaccard, op3_language, op4_line_frequency, op5_addressable_tokens, op6_forced_boundary_bpe, op7_length_buckets, op8_weak_quality, op9_best_fit_shards, op10_simhash, op11_deleted_interpolation, op12_joint_histograms, op13_conversation_repair]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_partenum_jaccard": oracles.jaccard(3, 90), "op4_line_frequency": oracles.line_frequency()}
+    return {"op2_partenum_jaccard": oracles.jaccard(3, 90), "op4_line_frequency": oracles.line_frequency(), "op12_joint_histograms": oracles.divergence(), "op13_conversation_repair": oracles.dialogue()}
