@@ -96,7 +96,7 @@ def stored_path(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors.
 
     Once the table is written nothing needs the shuffle files of its plan, so they are deleted.
@@ -105,7 +105,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     before = conf.get(_CLEANUP, "false")
     conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

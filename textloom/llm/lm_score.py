@@ -8,8 +8,8 @@ which gives the estimates, and a deleted part, whose n-grams the mixture must ex
 Scale: documents are read once and kept as blocks of word hashes, about two bytes a token. Each block's distinct n-grams go,
 with their counts, as sorted arrays to ranges of the hash; a range adds up the counts of all blocks and sends each block
 the totals of its own n-grams. The number of ranges follows the number of tokens, so a range stays near ``RANGE_TOKENS``
-entries; a frequent n-gram adds one entry a block to its range. Trigrams are only looked up where their bigram is seen in
-training and is not seen once in all. One row a bucket comes to the driver in each round of EM.
+entries; a frequent n-gram adds one entry a block to its range. One order is counted after the other, so that the shuffle
+files of one are gone before the next. One row a bucket comes to the driver in each round of EM.
 
 Defined results: a null or empty text has one token, its end; texts are read whole, and one of any length goes through
 in pieces and spans blocks; rows that repeat are scored and learned from one by one; a null id is a training document;
@@ -113,6 +113,27 @@ def word_hashes(text: str) -> Iterator[np.ndarray]:
         at = stop
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all their first bytes first: most high bytes are 0 and compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full."""
+    counts = counts.astype(np.uint64)
+    return np.minimum(counts, _U(255)).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+
+
+def _from_small(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, _U, offset=n)
+    return out
+
+
 class _Builder:
     """Gathers documents of one part to blocks. A document that goes on in the next block repeats its last tokens there."""
 
@@ -150,7 +171,7 @@ class _Builder:
 
     def close(self) -> dict:
         distinct, at = np.unique(np.concatenate(self.tokens), return_inverse=True)
-        out = {"block": self.block, "part": self.kind, "tokens": self.n - sum(self.repeats), "docs": sum(r == 0 for r in self.repeats), "distinct": distinct.tobytes(), "at": at.astype(np.uint32).tobytes()}
+        out = {"block": self.block, "part": self.kind, "tokens": self.n - sum(self.repeats), "docs": sum(r == 0 for r in self.repeats), "distinct": distinct.tobytes(), "at": _planes(at)}
         out |= {"rows": self.rows, "ids": self.ids, "sizes": self.sizes, "repeats": self.repeats}
         self._begin()
         return out
@@ -209,7 +230,7 @@ class _Block:
 
     @staticmethod
     def of(row: dict) -> _Block:
-        tokens = np.frombuffer(row["distinct"], _U)[np.frombuffer(row["at"], np.uint32)]
+        tokens = np.frombuffer(row["distinct"], _U)[_from_planes(row["at"])]
         sizes, repeats = np.asarray(row["sizes"], np.int64), np.asarray(row["repeats"], np.int64)
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(tokens)) - np.repeat(first, sizes)
@@ -222,6 +243,12 @@ class _Block:
         before[self.place == 0] = START
         return mixed(before * _BASE + self.tokens + _U(n))
 
+    def hashes(self, n: int) -> np.ndarray:
+        out = self.tokens
+        for k in range(2, n + 1):
+            out = self.longer(out, k)
+        return out
+
 
 def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     """Where each of the n ranges begins in the sorted hashes."""
@@ -231,79 +258,50 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
 
 _ENTRY = pa.schema([("n", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _ENTRY_DDL = "n int, range int, block long, part int, hashes binary, counts binary"
-_ANSWER = pa.schema([("n", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("retained", pa.binary()), ("learned", pa.binary()), ("seen", pa.binary()), ("known", pa.int64())])
-_ANSWER_DDL = "n int, range int, block long, part int, retained binary, learned binary, seen binary, known long"
+_ANSWER = pa.schema([("n", pa.int32()), ("range", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("retained", pa.binary()), ("learned", pa.binary()), ("known", pa.int64())])
+_ANSWER_DDL = "n int, range int, block long, part int, size int, retained binary, learned binary, known long"
 
 
-def _entries(n: int, block: int, kind: int, hashes: np.ndarray, counted: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+def _entries(n: int, row: dict, ranges: int) -> Iterator[pa.RecordBatch]:
     """A block's distinct n-grams and their counts, cut by ranges."""
-    distinct, at = np.unique(hashes, return_inverse=True)
-    counts = np.bincount(at, weights=counted, minlength=len(distinct)).astype(np.uint32)
+    block = _Block.of(row)
+    distinct, at = np.unique(block.hashes(n), return_inverse=True)
+    counts = np.bincount(at, weights=block.counted, minlength=len(distinct))
     cuts = _ranges(distinct, ranges)
-    rows = [(r, distinct[a:b].tobytes(), counts[a:b].tobytes()) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-    if rows:
-        numbers, keys, values = zip(*rows, strict=True)
-        k = len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([n] * k, pa.int32()), pa.array(numbers, pa.int32()), pa.array([block] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], schema=_ENTRY)
+    rows = [(r, distinct[a:b].tobytes(), _small(counts[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+    numbers, keys, values = zip(*rows, strict=True)
+    k = len(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([n] * k, pa.int32()), pa.array(numbers, pa.int32()), pa.array([row["block"]] * k, pa.int64()), pa.array([row["part"]] * k, pa.int32()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], schema=_ENTRY)
 
 
 def _sum_range(table: pa.Table) -> pa.Table:
-    """All blocks' entries of one range: totals by part, and for each block those of its own n-grams."""
+    """All blocks' entries of one range: totals by part, and for each block those of its own n-grams.
+
+    The totals of the retained part go to the blocks of the deleted part only.
+    """
     keys = [np.frombuffer(x.as_py(), _U) for x in table.column("hashes")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.float64)
-    kinds = np.repeat(np.asarray(table.column("part")), [len(k) for k in keys])
+    counts = np.concatenate([_from_small(x.as_py(), len(k)) for x, k in zip(table.column("counts"), keys, strict=True)]).astype(np.float64)
+    parts = np.asarray(table.column("part"))
+    kinds = np.repeat(parts, [len(k) for k in keys])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    retained, deleted, other = (np.bincount(at, weights=np.where(kinds == k, counts, 0), minlength=len(distinct)) for k in (RETAINED, DELETED, HELD_OUT))
-    learned = retained + deleted
-    kind = np.uint32 if learned.max() < 2**32 else np.uint64
-    stops = np.cumsum([len(k) for k in keys])
-    wanted = [retained.astype(kind)[at], learned.astype(kind)[at], np.minimum(learned + other, 2).astype(np.uint8)[at]]
-    parts = [pa.array([x[b - len(k) : b].tobytes() for k, b in zip(keys, stops, strict=True)], pa.binary()) for x in wanted]
+    retained, deleted = (np.bincount(at, weights=np.where(kinds == k, counts, 0), minlength=len(distinct)) for k in (RETAINED, DELETED))
+    learned, stops = retained + deleted, np.cumsum([len(k) for k in keys])
+    slices = [at[b - len(k) : b] for k, b in zip(keys, stops, strict=True)]
+    told = [_small(retained[x]) if p == DELETED else b"" for x, p in zip(slices, parts, strict=True)]
     known = [int((learned > 0).sum()), *[0] * (len(keys) - 1)]
-    return pa.Table.from_arrays([*(table.column(c) for c in ("n", "range", "block", "part")), *parts, pa.array(known, pa.int64())], schema=_ANSWER)
-
-
-@dataclass
-class _Found:
-    """Answers on a block's distinct n-grams, in the order of their hashes."""
-
-    retained: np.ndarray
-    learned: np.ndarray
-    seen: np.ndarray
-
-    @staticmethod
-    def of(rows: list[dict]) -> _Found:
-        def joined(name: str) -> np.ndarray:
-            wide = [np.frombuffer(r[name], np.uint32 if len(r[name]) == 4 * len(r["seen"]) else np.uint64) for r in rows]
-            return np.concatenate(wide).astype(np.int64)
-
-        return _Found(joined("retained"), joined("learned"), np.frombuffer(b"".join(r["seen"] for r in rows), np.uint8))
+    columns = [pa.array([len(k) for k in keys], pa.int32()), pa.array(told, pa.binary()), pa.array([_small(learned[x]) for x in slices], pa.binary()), pa.array(known, pa.int64())]
+    return pa.Table.from_arrays([*(table.column(c) for c in ("n", "range", "block", "part")), *columns], schema=_ANSWER)
 
 
 class _Counts:
-    """Counts of the n-grams that end at each token of a block, in the retained part and in all training documents.
-
-    ``hashes`` and ``asked`` are those of the next order: an n-gram is looked up if the one without its first token is in
-    training and is not the only one of its kind; else it has the counts of the shorter one, which is then 0 or itself.
-    """
+    """Counts of the n-grams that end at each token of a block: in the retained part or in all training documents."""
 
-    def __init__(self, row: dict, answers: pa.Table, order: int):
-        self.block = _Block.of(row)
-        self.by_order: list[tuple[np.ndarray, np.ndarray]] = []
-        self.hashes, self.asked = self.block.tokens, np.ones(len(self.block.tokens), bool)
-        rows = sorted(answers.to_pylist(), key=lambda r: (r["n"], r["range"]))
+    def __init__(self, row: dict, answers: pa.Table, order: int, which: str):
+        self.block, self.by_order = _Block.of(row), []
+        rows = sorted(answers.select(["n", "range", "size", which]).to_pylist(), key=lambda r: (r["n"], r["range"]))
         for n in range(1, order + 1):
-            found = [r for r in rows if r["n"] == n]
-            retained, learned = (x.copy() for x in self.by_order[-1]) if n > 1 else (np.zeros(len(self.asked), np.int64) for _ in range(2))
-            seen = np.zeros(len(self.asked), np.uint8)
-            if found:
-                mine = _Found.of(found)
-                _, at = np.unique(self.hashes[self.asked], return_inverse=True)
-                retained[self.asked], learned[self.asked], seen[self.asked] = mine.retained[at], mine.learned[at], mine.seen[at]
-            self.by_order.append((retained, learned))
-            if n > 1:  # all words and bigrams are looked up
-                self.asked = self.asked & (learned > 0) & (seen > 1)
-            self.hashes = self.block.longer(self.hashes, n + 1)
+            found = np.concatenate([_from_small(r[which], r["size"]) for r in rows if r["n"] == n])
+            self.by_order.append(found[np.unique(self.block.hashes(n), return_inverse=True)[1]])
 
 
 def _log_bucket(count: np.ndarray) -> np.ndarray:
@@ -314,10 +312,10 @@ def _log_bucket(count: np.ndarray) -> np.ndarray:
 _SPAN = 64
 
 
-def estimates(known: _Counts, which: int, docs: int, tokens: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+def estimates(known: _Counts, docs: int, tokens: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, probability by component) of each token; component 0 is uniform over the known words and one unknown."""
     order, place = len(known.by_order), known.block.place
-    counts = [c[which].astype(np.float64) for c in known.by_order]
+    counts = [c.astype(np.float64) for c in known.by_order]
     p = np.zeros((order + 1, len(place)))
     p[0] = 1.0 / (words + 1)
     p[1] = counts[0] / max(tokens, 1)
@@ -416,8 +414,8 @@ def learn(kept: DataFrame, answers: DataFrame, order: int, rounds: int = ROUNDS)
         return model
 
     def tell(row: dict, found: pa.Table) -> pa.Table:
-        known = _Counts(row, found, order)
-        bucket, p = estimates(known, 0, docs[RETAINED], tokens[RETAINED], words)
+        known = _Counts(row, found, order, "retained")
+        bucket, p = estimates(known, docs[RETAINED], tokens[RETAINED], words)
         use = known.block.counted
         return pa.table({"bucket": pa.array([bucket[use].astype(np.uint16).tobytes()], pa.binary()), "p": pa.array([p[:, use].astype(np.float32).tobytes()], pa.binary())})
 
@@ -437,31 +435,20 @@ def learn(kept: DataFrame, answers: DataFrame, order: int, rounds: int = ROUNDS)
 
 def counted(df: DataFrame, order: int, doc_id: str, text: str, block_tokens: int, range_tokens: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, the counts of their n-grams): both stored."""
-    kept = materialise(blocks(df, order, doc_id, text, block_tokens), "lm-blocks")
+    kept = materialise(blocks(df, order, doc_id, text, block_tokens), "lm-blocks", "zstd")
     tokens = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
-    ranges = max(1, -(-tokens // range_tokens))
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block.of(row)
-                yield from _entries(1, row["block"], row["part"], b.tokens, b.counted, ranges)
-                if order > 1:
-                    yield from _entries(2, row["block"], row["part"], b.longer(b.tokens, 2), b.counted, ranges)
-
-    def summed(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("n", "range").applyInArrow(_sum_range, _ANSWER_DDL)
-
-    needed = kept.select("block", "part", "distinct", "at", "sizes", "repeats")
-    answers = materialise(summed(needed.mapInArrow(short, _ENTRY_DDL)), "lm-counts")
-    for n in range(3, order + 1):
-
-        def longer(row: dict, found: pa.Table, n: int = n) -> pa.Table:
-            known = _Counts(row, found, n - 1)
-            return pa.Table.from_batches(list(_entries(n, row["block"], row["part"], known.hashes[known.asked], known.block.counted[known.asked], ranges)), _ENTRY)
-
-        answers = answers.unionByName(materialise(summed(_cogrouped(needed, answers, longer, _ENTRY_DDL)), "lm-counts"))
+    ranges, answers = max(1, -(-tokens // range_tokens)), None
+    for n in range(1, order + 1):
+
+        def cut(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
+            release()
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from _entries(n, row, ranges)
+
+        entries = kept.select("block", "part", "distinct", "at", "sizes", "repeats").mapInArrow(cut, _ENTRY_DDL)
+        found = materialise(entries.groupBy("n", "range").applyInArrow(_sum_range, _ANSWER_DDL), "lm-counts", "zstd")
+        answers = found if answers is None else answers.unionByName(found)
     return kept, answers
 
 
@@ -471,14 +458,14 @@ def score(kept: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     arrow = to_arrow_type(kind)
 
     def run(row: dict, found: pa.Table) -> pa.Table:
-        known = _Counts(row, found, model.order)
-        bucket, p = estimates(known, 1, model.docs, model.tokens, model.words)
+        known = _Counts(row, found, model.order, "learned")
+        bucket, p = estimates(known, model.docs, model.tokens, model.words)
         use = known.block.counted
         logs = np.where(use, np.log10((p * model.weights[bucket].T).sum(0)), 0.0)
-        base = np.where(use, np.log10((known.by_order[0][1] + 1) / (model.tokens + model.words + 1)), 0.0)
+        base = np.where(use, np.log10((known.by_order[0] + 1) / (model.tokens + model.words + 1)), 0.0)
         add = lambda x: np.add.reduceat(x, known.block.first)
         columns = {"row": pa.array(row["rows"], pa.int64()), "doc_id": pa.array(row["ids"], arrow), "part": pa.array([row["part"]] * len(row["rows"]), pa.int32())}
-        columns |= {"n_tokens": pa.array(add(use.astype(np.int64))), "n_known": pa.array(add((use & (known.by_order[0][1] > 0)).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(logs))}
+        columns |= {"n_tokens": pa.array(add(use.astype(np.int64))), "n_known": pa.array(add((use & (known.by_order[0] > 0)).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(logs))}
         return pa.table(columns)
 
     pieces = _cogrouped(kept, answers, run, f"row long, doc_id {kind.simpleString()}, part int, n_tokens long, n_known long, base_score double, score double")
