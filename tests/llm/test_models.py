@@ -143,3 +143,28 @@ def test_long_texts(spark, docs):
     df = docs([long, *["some short text of the same kind here"] * 30], langs=["en"] * 15 + ["de"] * 16)
     assert {r["doc_id"] for r in langid.report(df).collect()} == {*range(31)}
     assert weak_quality.report(df).count() == 31
+
+
+@pytest.mark.parametrize("ids", ["null", "equal"])
+def test_ids_do_not_decide_what_is_learned(spark, ids):
+    one = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)  # a training document
+    df = spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.lit(None if ids == "null" else one).cast("long"))
+    said = langid.report(df.select("doc_id", F.concat("text", F.lit(" \n"), "lang").alias("text"), "lang")).select("lang_pred").groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"] for r in said} >= {"de", "en", "es", "fr"} and all(r["count"] < 900 for r in said)
+    kept = [r["kept"] for r in weak_quality.report(df).collect()]
+    assert 0.6 < np.mean(kept) < 0.99
+    copies = spark.createDataFrame([(None, "the same short text of a few words", "en")] * 3000, "doc_id long, text string, lang string")
+    rows = langid.report(copies).collect()
+    assert len(rows) == 3000 and {r["lang_pred"] for r in rows} == {"en"}
+
+
+def test_the_sample_is_bounded_in_rows_and_features(spark, docs, monkeypatch):
+    df = docs([f"text {i} " * (1 + i % 3) for i in range(60)], langs=["en", "de", "fr"] * 20)
+    for bound in (1, 7, 100):
+        by_lang = langid.first_by_hash(df, bound, "lang").groupBy("lang").count().collect()
+        assert {r["count"] for r in by_lang} == {min(bound, 20)}
+        assert langid.first_by_hash(df, bound).count() == min(bound, 60)
+    copies = df.limit(1).union(df.limit(1)).union(df.limit(1))
+    assert langid.first_by_hash(copies, 2).count() == 2 and langid.first_by_hash(docs([]), 2).count() == 0
+    monkeypatch.setattr(langid, "FEATURES", 5)
+    assert {len(at) for _, at, _ in langid.sample_rows(df, F.col("lang"), langid.shares)} == {5}

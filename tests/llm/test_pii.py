@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from textloom.llm import pii
 
 RX = {
@@ -99,3 +102,37 @@ def test_redact_keeps_columns_and_rest(spark, docs):
 
 def test_empty_table(spark, docs):
     assert pii.report(docs([])).count() == 0
+
+
+def greedy(xs):
+    out, end = [], -1
+    for x in xs:
+        if x[0] >= end:
+            out.append(x)
+            end = x[2]
+    return out
+
+
+def test_every_span_that_touches_no_accepted_one_stays(spark, monkeypatch):
+    rng = random.Random(8)
+    lists = [[(0, 0, 10), (5, 0, 15), (12, 0, 20)], [], [(3, 1, 4)]]
+    lists += [sorted({(s := rng.randrange(400), rng.randrange(4), s + rng.randrange(1, 30)) for _ in range(rng.randrange(150))}) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(lists)), "i int, xs array<struct<s:int,k:int,e:int>>")
+    for fold in (1, 7, 128):
+        monkeypatch.setattr(pii, "_FOLD", fold)
+        got = {r["i"]: [tuple(x) for x in r["out"]] for r in df.filter("size(xs) > 0").select("i", pii._apart(F.col("xs")).alias("out")).collect()}
+        assert all(got[i] == greedy(xs) for i, xs in enumerate(lists) if xs)
+
+
+def test_whole_result_against_a_plain_version(spark, docs, corpus):
+    texts = HARD + [r["text"] for r in corpus] + ["call 5551234567 or 555 123 4567 5551234568, code 12 34 56 78 90 12 33"] * 3
+    marked = pii.annotate(docs(texts), "text")
+    model = pii.train(marked)
+    scored = F.transform("_cand", lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"), pii._score(model, c).alias("p")))
+    want = {}
+    for r in marked.select("doc_id", "_base", scored.alias("c")).collect():
+        base = [tuple(b) for b in r["_base"]]
+        free = {(c["s"], c["k"], c["e"]) for c in r["c"] if c["p"] >= pii.THRESHOLD and all(c["e"] <= s or c["s"] >= e for s, _, e in base)}
+        want[r["doc_id"]] = joined(sorted(base + greedy(sorted(free))))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs(texts)).collect()}
+    assert got == want and any(len(v.split(",")) > len(joined(brute(t)).split(",")) for v, t in ((got[i], t) for i, t in enumerate(texts)))

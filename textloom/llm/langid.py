@@ -2,34 +2,35 @@
 
 Weights are trained with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) and the scores are
 calibrated by one temperature on a part of the sample that training did not see. Document frequencies cover every
-training document; the classifier is fitted on a bounded sample of them, about ``PER_LANGUAGE`` documents a language,
-chosen by a hash. Training documents are those with a language whose CRC-32 of the id, modulo 3, is not 1.
+training document; the classifier is fitted on a bounded sample of them: the first documents by a hash of id and text,
+``PER_LANGUAGE`` a language at most and ``IN_ALL`` in all at most (but one a language), each with its ``FEATURES`` most frequent
+n-grams. Training documents are those with a language whose CRC-32 of the id, modulo 3, is not 1; a null id is one.
 
 Scale: document frequencies are summed per task (at most 2**16 rows each) before they are shuffled; scoring is a map
 over Arrow batches with a model of 2**16 weights a language. Nothing else moves.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when nothing can be
-learned; ties go to the first language in order; texts are read whole, n-grams in blocks, so a worker needs a few times
+learned; null or equal ids leave the sample as large as distinct ones; ties go to the first language in order; texts are read whole, n-grams in blocks, so a worker needs a few times
 the size of its longest text; repeated rows give equal results;
 extra columns are ignored by ``report`` and kept by ``keep_known``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import packed, trim, unpacked
 from textloom.llm.fragments import release
 from textloom.llm.grams import SIZE, counted, grams, mean_weight
 
-#: Bound of the fitting sample: documents a language, in expectation.
-PER_LANGUAGE = 800
+#: Bounds of the fitting sample: documents a language, documents in all, and n-grams of a document.
+PER_LANGUAGE, IN_ALL, FEATURES = 800, 8000, 4096
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 1e-3
 #: Relative frequencies are small; this brings a text's features near unit size.
@@ -69,7 +70,7 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, languages: list[str]) -> Model:
-    """samples: (language index, buckets, counts)."""
+    """samples: (language index, buckets, counts or shares)."""
     k = len(languages)
     z, n = np.zeros((SIZE + 1, k)), np.zeros((SIZE + 1, k))  # the last row is the bias
     rng = np.random.default_rng(11)
@@ -78,7 +79,7 @@ def fit(samples: list[tuple[int, np.ndarray, np.ndarray]], idf: np.ndarray, lang
     held, used = order[:cut], order[cut:]
 
     def features(i: int) -> tuple[np.ndarray, np.ndarray]:
-        _, at, count = samples[i]
+        at, count = samples[i][1], samples[i][2].astype(np.float64)
         return np.append(at, SIZE), np.append(SCALE * count / count.sum() * idf[at], 1.0)
 
     for _ in range(EPOCHS):
@@ -122,23 +123,56 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], docs))], ["bucket", "docs"])
 
 
-def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [counted(t.as_py()) for t in batch.column("text")]
-        columns = [batch.column("label"), *(pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1))]
-        yield pa.RecordBatch.from_arrays(columns, ["label", "at", "count"])
+Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
 
+def shares(at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return at, count / max(1, count.sum())
 
-def sampled(shares: Column) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0 < shares
 
+def _feature_rows(features: Features) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+        at, value = features(*counted(text))
+        if len(at) > FEATURES:  # the largest, ties to the smaller bucket
+            most = np.sort(np.lexsort((at, -value))[:FEATURES])
+            at, value = at[most], value[most]
+        return at, value
 
-def sample_rows(df: DataFrame, shares: Column, label: Column) -> list[tuple]:
-    """(label, buckets, counts) of the rows whose id's hash falls below their share; bounded by the shares' design."""
-    rows = df.filter(sampled(shares)).select(label.alias("label"), "text").mapInArrow(_counted_rows, f"label {df.select(label).dtypes[0][1]}, at array<int>, count array<int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [of(t.as_py()) for t in batch.column("text")]
+            columns = [pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *columns], ["label", "at", "value"])
+
+    return run
+
+
+def first_by_hash(df: DataFrame, bound: int, group: str | None = None) -> DataFrame:
+    """``bound`` rows at most (of each value of ``group``), the first by a hash of doc_id and text; all rows if there are fewer.
+
+    The hashes alone are ranked to find where to cut, so that texts are only sorted near the bound.
+    """
+    marked = df.withColumn("_hash", F.xxhash64("doc_id", "text", F.lit(17)))
+    keys = [group] if group else []
+    first = Window.partitionBy(*keys).orderBy("_hash") if group else None
+    narrow = marked.select("_hash", *keys)
+    narrow = narrow.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= bound) if group else narrow.orderBy("_hash").limit(bound)
+    cuts = narrow.groupBy(*keys).agg(F.max("_hash").alias("cut")).collect()  # one row a group
+    below = F.lit(False)
+    for r in cuts:
+        if r["cut"] is not None:
+            below = below | ((F.col(group) == r[group]) & (F.col("_hash") <= r["cut"]) if group else F.col("_hash") <= r["cut"])
+    near = marked.filter(below)
+    near = near.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= bound) if group else near.orderBy("_hash").limit(bound)
+    return near.select(*df.columns)
+
+
+def sample_rows(drawn: DataFrame, label: Column, features: Features) -> list[tuple]:
+    """(label, buckets, values) of the rows drawn: FEATURES pairs a row at most."""
+    rows = drawn.select(label.alias("label"), "text").mapInArrow(_feature_rows(features), f"label {drawn.select(label).dtypes[0][1]}, at array<int>, value array<float>")
     table = rows.toArrow()
-    pairs = zip(table.column("label").to_pylist(), table.column("at"), table.column("count"), strict=True)
-    out = [(y, a.values.to_numpy().astype(np.int64), c.values.to_numpy().astype(np.float64)) for y, a, c in pairs]
+    pairs = zip(table.column("label").to_pylist(), table.column("at"), table.column("value"), strict=True)
+    out = [(y, a.values.to_numpy(), v.values.to_numpy()) for y, a, v in pairs]
     return sorted(out, key=lambda x: (str(x[0]), len(x[1]), x[1].tobytes(), x[2].tobytes()))  # the same order on any cluster
 
 
@@ -156,10 +190,8 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     frequency = np.zeros(SIZE)
     frequency[np.fromiter(seen.keys(), np.int64, len(seen))] = np.fromiter(seen.values(), np.float64, len(seen))
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, PER_LANGUAGE / n)).otherwise(share)
-    samples = [(languages.index(y), at, c) for y, at, c in sample_rows(rows, share, F.col("lang")) if len(at)]
+    drawn = first_by_hash(rows, max(1, min(PER_LANGUAGE, IN_ALL // len(languages))), "lang")
+    samples = [(languages.index(y), at, v) for y, at, v in sample_rows(drawn, F.col("lang"), shares) if len(at)]
     model = fit(samples, idf, languages) if samples else None
     del samples, seen, table
     trim()

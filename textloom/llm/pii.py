@@ -290,6 +290,28 @@ def _score(model: Model, c: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+#: Spans that one inner fold takes; only a block's own array grows by one span at a time.
+_FOLD = 128
+
+
+def _apart(xs: Column) -> Column:
+    """Of spans sorted by start, each one that begins at or after the end of the last one taken: a fold in blocks."""
+    kind = "struct<s:int,k:int,e:int>"
+
+    def state(end: Column, found: Column) -> Column:
+        return F.struct(end.cast("int").alias("end"), found.alias("found"))
+
+    def take(acc: Column, x: Column) -> Column:
+        return F.when(x["s"] >= acc["end"], state(x["e"], F.array_append(acc["found"], x))).otherwise(acc)
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(xs, b * _FOLD + 1, F.lit(_FOLD)), state(acc["end"], F.array().cast(f"array<{kind}>")), take)
+        return let(inner, lambda i: state(i["end"], F.array_append(acc["found"], i["found"])))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _FOLD).cast("int"))
+    return F.flatten(F.aggregate(blocks, state(F.lit(-1), F.array().cast(f"array<array<{kind}>>")), block, lambda a: a["found"]))
+
+
 def all_spans(model: Model, base: Column, cand: Column) -> Column:
     """Base spans and accepted candidates that touch neither a base span nor an earlier accepted one; sorted.
 
@@ -307,7 +329,7 @@ def all_spans(model: Model, base: Column, cand: Column) -> Column:
 
     def apart(xs: Column) -> Column:
         once = F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1) != x))
-        return let(once, lambda us: let(running_max(F.transform(us, lambda x: x["e"])), lambda en: F.filter(us, lambda x, i: (i == 0) | (F.get(en, i - 1) <= x["s"]))))
+        return let(once, _apart)
 
     taken = F.sort_array(F.transform(F.filter(cand, lambda c: _score(model, c) >= THRESHOLD), lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))))
     added = let(taken, lambda xs: F.when(F.size(xs) == 0, xs).otherwise(let(free(xs), apart)))

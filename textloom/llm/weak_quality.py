@@ -4,9 +4,9 @@ Heuristic labelers vote good, bad or nothing on each text. Expectation-maximisat
 estimates how accurate each labeler is and how probable a good text is under each pattern; these posteriors train a
 linear scorer on hashed character n-grams and their spread, which scores every text. The scorer sees the text alone, not the votes.
 
-Scale: patterns are a finite table (3 to the number of labelers), counted per batch and the only thing that is shuffled; the scorer is fitted on a bounded sample of about ``SAMPLE`` documents chosen by a hash; scoring is a map.
+Scale: patterns are a finite table (3 to the number of labelers), counted per batch and the only thing that is shuffled; the scorer is fitted on a bounded sample: the first ``SAMPLE`` documents by a hash of id and text, with a bounded number of features each; scoring is a map.
 
-Defined results: a null or empty text gets the score 0 and is not kept; texts are read whole, in pieces, so a worker
+Defined results: a null or empty text gets the score 0 and is not kept; null or equal ids leave the sample as large as distinct ones; texts are read whole, in pieces, so a worker
 needs a few times the size of its longest text; repeated rows give equal results; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from textloom.llm.common import SPACE, trim
 from textloom.llm.fragments import release
 from textloom.llm.grams import SIZE, counted
-from textloom.llm.langid import sample_rows, sampled
+from textloom.llm.langid import first_by_hash, sample_rows
 
-#: Bound of the fitting sample, in expectation.
+#: Bound of the fitting sample.
 SAMPLE = 4000
 EPOCHS = 3
 RATE = 0.5
@@ -165,14 +165,13 @@ def _levels(magnitude: int) -> np.ndarray:
 
 
 def fit(samples: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: (posterior, buckets, counts)."""
+    """(weights, bias) of a logistic scorer by AdaGrad on soft labels. samples: (posterior, buckets, shares)."""
     w, n = np.zeros(SIZE + 1), np.full(SIZE + 1, 1e-6)
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(samples)):
-            y, at, count = samples[i]
-            at, share = features(at, count)
-            at, x = np.append(at, SIZE), np.append(SCALE * share, 1.0)
+            y, at, share = samples[i]
+            at, x = np.append(at, SIZE), np.append(SCALE * share.astype(np.float64), 1.0)
             g = x * (1 / (1 + np.exp(-np.clip(x @ w[at], -30, 30))) - y) + 1e-6 * w[at]
             n[at] += g * g
             w[at] -= RATE * g / np.sqrt(n[at])
@@ -199,9 +198,8 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             soft = [posterior[votes(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(soft, pa.float64())], ["doc_id", "text", "soft"])
 
-    drawn = rows.filter(F.length("text") > 0).filter(sampled(F.lit(min(1.0, SAMPLE / sum(n for _, n in counts)))))
-    drawn = drawn.mapInArrow(labelled, f"doc_id {kind}, text string, soft double")
-    weights, bias = fit([x for x in sample_rows(drawn, F.lit(1.0), F.col("soft")) if len(x[1])])
+    drawn = first_by_hash(rows.filter(F.length("text") > 0), SAMPLE).mapInArrow(labelled, f"doc_id {kind}, text string, soft double")
+    weights, bias = fit([x for x in sample_rows(drawn, F.col("soft"), features) if len(x[1])])
     trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
