@@ -1,4 +1,4 @@
-"""Exact and approximate vector search. Queries are few and the corpus is large: queries travel, corpus vectors do not."""
+"""Vector search over all rows and by inverted lists. A few questions travel with the plan, many meet the corpus in blocks."""
 
 from __future__ import annotations
 
@@ -10,27 +10,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.columns import dot, norm
+from textloom.operators.ann import BLOCK_ROWS, InvertedLists, _matrix, best_of, blocked_topk, parts_of
 from textloom.operators.lexical import top
 
-#: Query vectors that one block holds; a set of any size goes through in blocks.
+#: Up to so many question vectors are sent to the corpus with the plan; more of them meet it in blocks, by a shuffle.
 BLOCK = 4096
 
 
-def _scored_blocks(matrix: np.ndarray, ids: np.ndarray, k: int):
+def _scored_batches(matrix: np.ndarray, ids: np.ndarray, k: int):
     """Local top k of each query per Arrow batch: a task never emits more than queries x k rows a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = batch.column("vec")
-            own = batch.column("id").to_numpy()
-            if not len(own):
+            if not batch.num_rows:
                 continue
-            corpus = vecs.flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-            order = np.argsort(own, kind="stable")  # ties to the smaller id
-            sims = np.round(matrix @ corpus[order].T, 9)
-            best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(ids, best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(own[order][best.ravel()]), pa.array(np.take_along_axis(sims, best, 1).ravel())], ["query_id", "id", "score"])
+            batch = batch.sort_by("id")  # ties to the smaller id
+            own, corpus = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
+            for i, places, scores in best_of(matrix, corpus, k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), ids[i])), pa.array(own[places]), pa.array(scores)], ["query_id", "id", "score"])
 
     return run
 
@@ -38,18 +35,20 @@ def _scored_blocks(matrix: np.ndarray, ids: np.ndarray, k: int):
 def flat_topk(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank) by inner product, ties by id. Rows without a vector match nothing.
 
-    The queries are a stated set that fits the driver; they go to the corpus in blocks of BLOCK, and each task returns at
-    most k rows a query and Arrow batch.
+    Each task returns at most k rows a query and batch. BLOCK questions at most come to the driver; a larger set is dealt in
+    parts that meet blocks of the corpus in tasks.
     """
-    rows = corpus.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("vec"))
-    asked = queries.filter(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).alias("vec")).toArrow()
-    out = None
-    for at in range(0, max(1, asked.num_rows), BLOCK):
-        part = asked.slice(at, BLOCK)
-        matrix = np.array(part.column("vec").to_pylist(), np.float64).reshape(part.num_rows, -1)
-        block = rows.mapInArrow(_scored_blocks(matrix, part.column("query_id").to_numpy(), k), "query_id long, id long, score double") if part.num_rows else rows.selectExpr("id AS query_id", "id", "0D AS score").limit(0)
-        out = block if out is None else out.union(block)
-    return top(out, k)
+    rows = corpus.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    asked = queries.filter(F.col(vec).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("q"))
+    few = asked.limit(BLOCK + 1).toArrow()
+    if few.num_rows > BLOCK:
+        blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+        dealt = rows.withColumns({"list": F.lit(0), "block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")})
+        return blocked_topk(dealt, asked.withColumn("list", F.lit(0)), k, parts_of(asked))
+    if not few.num_rows:
+        return rows.selectExpr("id AS query_id", "id", "0D AS score", "1 AS rank").limit(0)
+    matrix, names = _matrix(few.column("q")), few.column("query_id").to_numpy()
+    return top(rows.mapInArrow(_scored_batches(matrix, names, k), "query_id long, id long, score double"), k)
 
 
 def pair_scores(corpus: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec: str = "embedding", query_id: str = "query_id") -> DataFrame:
@@ -108,3 +107,19 @@ class VectorStore:
 class CosineStore(VectorStore):
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         return cosine_topk(self.corpus, queries, k, self.id_col, self.vec)
+
+
+class ListStore(VectorStore):
+    """A store on inverted lists: approximate with ``probes``, exact without."""
+
+    def __init__(self, id_col: str = "vec_id", vec: str = "embedding", lists: int | None = None, probes: int | None = None, cosine: bool = False):
+        super().__init__(id_col, vec)
+        self.lists, self.probes, self.cosine = lists, probes, cosine
+
+    def build(self, corpus: DataFrame) -> None:
+        self.corpus = InvertedLists.build(corpus, self.lists, self.id_col, self.vec, self.cosine)
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        if self.corpus is None:
+            raise RuntimeError("the store is not built")
+        return self.corpus.search(queries, k, self.probes, vec=self.vec, cosine=self.cosine)

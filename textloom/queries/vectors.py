@@ -9,6 +9,7 @@ from textloom.functions import text as T
 from textloom.operators import fusion as R
 from textloom.operators import lexical as L
 from textloom.operators import vectors as V
+from textloom.operators.ann import InvertedLists, recall
 from textloom.queries.lexical import bm25_sql, questions, tokens
 from textloom.registry import query, table
 
@@ -66,18 +67,35 @@ def semantic_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.adjacent_cosine(table(spark, sf_dir, "embeddings"), "label", "vec_id").select("label", "vec_id", "is_break")
 
 
+@query(top_vectors_sql(10))
+def lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search over inverted lists: lists that cannot hold a better row are not visited."""
+    store = V.ListStore()
+    store.build(table(spark, sf_dir, "embeddings"))
+    return store.search(_asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the exact ten an approximate search finds, for each question; the probes are set on rows of the corpus."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = InvertedLists.build(vectors)
+    found = index.search(_asked(spark, sf_dir), 10, probes=index.probes_for(10))
+    return recall(found, _top(spark, sf_dir, 10))
+
+
+_SHIFTED = "list_dot_product(list_transform(q.embedding, lambda x: abs(x))::DOUBLE[], list_transform(v.embedding, lambda x: abs(x))::DOUBLE[])"
+
+
 @query(
-    f"""WITH e AS ({top_vectors_sql(5)}), r AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0
-    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding[1:32]::DOUBLE[], v.embedding[1:32]::DOUBLE[]), 6) DESC, v.vec_id) <= 5)
+    f"""WITH e AS ({top_vectors_sql(5)}), r AS ({top_vectors_sql(5).replace(_DOT, _SHIFTED)})
     SELECT e.query_id, count(r.id)::BIGINT AS shared, round(count(r.id) / count(*)::DOUBLE, 6) AS recall FROM e LEFT JOIN r ON e.query_id = r.query_id AND e.id = r.id GROUP BY e.query_id"""
 )
 def db_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of a coarse store (half the dimensions) with the exact top five."""
-    coarse = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
-    exact = _top(spark, sf_dir, 5).select("query_id", "id")
-    rough = V.flat_topk(coarse(table(spark, sf_dir, "embeddings")), coarse(_asked(spark, sf_dir)), 5).select("query_id", "id", F.lit(1).alias("hit"))
-    both = exact.join(rough, ["query_id", "id"], "left")
-    return both.groupBy("query_id").agg(F.count("hit").alias("shared"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+    """Overlap of a lossy store, which keeps the coordinates' sizes but not their signs, with the exact top five."""
+    sizes = lambda df: df.withColumn("embedding", F.transform("embedding", lambda x: F.abs(x)))
+    rough = V.flat_topk(sizes(table(spark, sf_dir, "embeddings")), sizes(_asked(spark, sf_dir)), 5)
+    return recall(rough, _top(spark, sf_dir, 5))
 
 
 def _lists(spark: SparkSession, sf_dir: str, k: int = 30) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; without that setting a temporary one, for a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints", "textloom")
+    return f"{root.rstrip('/')}/textloom-{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to shared storage and read it back: later steps do not compute it again, lost executors do not lose it."""
+    path = path or new_folder(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def latest(log: DataFrame, key: str = "filename", order: str = "ingest_seq") -> DataFrame:
     """The last row of each key of an append-only log: what an upsert leaves."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
