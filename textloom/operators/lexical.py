@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources.tables import stored
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class Index:
-    """postings (term, id, tf), lengths (id, dl), terms (term, df, idf) and stats (n, avgdl), all DataFrames."""
+    """postings (term, id, dl, tf), lengths (id, dl), terms (term, df, idf) and stats (n, avgdl), all DataFrames."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -23,23 +25,38 @@ class Index:
 def build(corpus: DataFrame, tokens: Column, id_col: str = "doc_id") -> Index:
     """Documents without a token count in n and avgdl and match nothing.
 
-    The tables are lazy: store them (``sources.tables.save_index``) or persist them when many batches of queries follow.
+    The tables are lazy; ``build_stored`` keeps them for searches.
     """
     rows = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens"))
     lengths = rows.select("id", F.size("tokens").cast("long").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    postings = rows.select("id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return Index(postings, lengths, weighed(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats), stats)
+
+
+def weighed(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df) rows; a negative weight becomes EPSILON times the mean of all."""
     raw = df.crossJoin(F.broadcast(stats)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def build_stored(corpus: DataFrame, tokens: Column, id_col: str = "doc_id") -> Index:
+    """``build`` with its tables in shared storage: texts are taken apart once, and searches read postings."""
+    # a document without a token has a row with a null term, so that lengths need no second pass over the texts
+    rows = corpus.select(F.col(id_col).alias("id"), tokens.alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    counted = stored(rows.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    postings = counted.filter("term IS NOT NULL").select("term", "id", "dl", "tf")
+    lengths = counted.groupBy("id").agg(F.max("dl").alias("dl"))
+    stats = stored(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "stats")
+    terms = stored(weighed(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats), "terms")
     return Index(postings, lengths, terms, stats)
 
 
 def scores(index: Index, queries: DataFrame, tokens: Column, query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score) of documents that hold a query token; a token counts as often as the query has it."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hit = asked.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
+    hit = asked.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 

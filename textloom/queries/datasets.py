@@ -93,7 +93,7 @@ def eval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top five documents of each benchmark text, and whether one of them holds the text."""
     docs = table(spark, sf_dir, "documents")
-    hits = L.search(L.build(docs, tokens()), questions(spark, sf_dir), tokens(), 5).join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_doc")), "id")
+    hits = L.search(L.build_stored(docs, tokens()), questions(spark, sf_dir), tokens(), 5).join(docs.select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_doc")), "id")
     asked = questions(spark, sf_dir).withColumnRenamed("text", "asked")
     holding = hits.join(asked, "query_id").filter(F.contains("text", "asked")).groupBy("query_id").agg(F.min("id").alias("answer_chunk_id"))
     out = D.eval_context(asked.join(holding, "query_id", "left"), hits)

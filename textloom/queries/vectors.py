@@ -101,7 +101,7 @@ def db_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lists(spark: SparkSession, sf_dir: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
     """BM25, and the number of distinct question words in each document's whole text."""
     docs = table(spark, sf_dir, "documents")
-    lexical = L.search(L.build(docs, tokens()), questions(spark, sf_dir), tokens(), k)
+    lexical = L.search(L.build_stored(docs, tokens()), questions(spark, sf_dir), tokens(), k)
     asked = questions(spark, sf_dir).select("query_id", F.explode(tokens()).alias("term")).distinct()
     words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens_en(F.col("text")))).alias("term"))
     words = words.join(asked.select("term").distinct(), "term", "left_semi").distinct()

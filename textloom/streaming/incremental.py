@@ -26,10 +26,13 @@ def changed(corpus: DataFrame, indexed: DataFrame, id_col: str = "chunk_id") ->
 
 
 def follow_postings(stream: DataFrame, tokens: Column, path: str, checkpoint: str, id_col: str = "doc_id") -> StreamingQuery:
-    """Append each micro-batch's postings to a table; a replayed batch overwrites its own folder, so nothing counts twice."""
+    """Append each micro-batch's postings to a table; a replayed batch overwrites its own folder, so nothing counts twice.
+
+    For batches that replace documents see ``operators.postings.PostingStore``, which keeps all statistics up to date.
+    """
 
     def add(batch: DataFrame, epoch: int) -> None:
-        L.build(batch, tokens, id_col).postings.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        L.build(batch, tokens, id_col).postings.select("term", "id", "tf").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
