@@ -23,7 +23,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,8 +33,8 @@ from textloom.llm.fragments import release
 
 SEGMENT_TURNS = 4096
 SEGMENT_CHARS = 1 << 21
-#: Turns in a range partition, on average.
-PARTITION_TURNS = 200_000
+#: Turns in a range partition, on average, and segments in a batch of rows at most.
+PARTITION_TURNS, _TOGETHER = 20_000, 64
 DROP, EMPTY, UNPOINTED, REPEAT, AS_USER = 0, 1, 2, 3, 4
 CHANCES = 20
 #: What a turn is; a dropped turn stays as a row so that its conversation is known.
@@ -88,72 +87,74 @@ def faulted(rows: DataFrame) -> DataFrame:
     return joined.select("conv", "turn", "role", "text", "place", F.when(again, DUPLICATE).otherwise(F.col("kind")).alias("kind"))
 
 
-def _settled(cost: np.ndarray) -> np.ndarray:
+def _settled(cost: list[int]) -> list[int]:
     """Costs to go by state when turns may be put in first; two in a row are the most that can pay."""
     for _ in range(2):
-        cost = np.minimum(cost, cost[..., FORCED] + INSERT_COST)
+        cost = [min(c, cost[FORCED[q]] + INSERT_COST) for q, c in enumerate(cost)]
     return cost
 
 
-def _before(kind: int, initial: str, cost: np.ndarray) -> np.ndarray:
+def _before(kind: int, initial: str, cost: list[int]) -> list[int]:
     """Costs to go in front of a turn from those behind it."""
-    best = cost + DELETE_COST
+    best = [c + DELETE_COST for c in cost]
     if kind in (SOUND, TRUNCATED):
         stays = TRUNCATED_COST if kind == TRUNCATED else 0
-        best = np.minimum(best, cost[..., FORCED] + REROLE_COST + stays)
         for q in range(STATES):
+            best[q] = min(best[q], cost[FORCED[q]] + REROLE_COST + stays)
             if initial in NEXT[q]:
-                best[..., q] = np.minimum(best[..., q], cost[..., NEXT[q][initial]] + KEEP_COST + stays)
+                best[q] = min(best[q], cost[NEXT[q][initial]] + KEEP_COST + stays)
     return _settled(best)
 
 
 #: Costs to go behind the last turn.
-LAST = _settled(np.array([0 if q in ENDS else FAR for q in range(STATES)], np.int64))
+LAST = _settled([0 if q in ENDS else FAR for q in range(STATES)])
 
 
-def passage(kinds: list[int], initials: list[str]) -> np.ndarray:
-    """matrix[q, r]: the least cost from state q before the turns to state r behind them."""
-    cost = np.where(np.eye(STATES, dtype=bool), 0, FAR).astype(np.int64)  # one row for each state behind
+def to_go(kinds: list[int], initials: list[str], behind: list[int]) -> list[list[int]]:
+    """The costs to go in front of each turn, and behind the last one."""
+    costs = [behind]
     for kind, initial in zip(reversed(kinds), reversed(initials), strict=True):
-        cost = np.minimum(_before(kind, initial, cost), FAR)
-    return cost.T
+        costs.append(_before(kind, initial, costs[-1]))
+    return costs[::-1]
+
+
+def passage(kinds: list[int], initials: list[str]) -> list[list[int]]:
+    """matrix[q][r]: the least cost from state q before the turns to state r behind them."""
+    to = [to_go(kinds, initials, [0 if q == r else FAR for q in range(STATES)])[0] for r in range(STATES)]
+    return [[min(to[r][q], FAR) for r in range(STATES)] for q in range(STATES)]
+
+
+def through(matrix: list[list[int]], behind: list[int]) -> list[int]:
+    """Costs to go in front of turns with this matrix."""
+    return [min(c + b for c, b in zip(row, behind, strict=True)) for row in matrix]
 
 
-def walk(kinds: list[int], initials: list[str], behind: np.ndarray, states: list[int]) -> list[tuple[int, str, list[str | None]]]:
+def walk(kinds: list[int], initials: list[str], costs: list[list[int]], states: list[int]) -> list[tuple[int, str, list[str | None]]]:
     """From each state: the state behind the turns, the letters of the edits, and for each letter the role it gives.
 
-    A kept turn gives none. Where ``behind`` holds the costs behind the conversation's last turn, the walk goes on to its end.
+    ``costs`` are those of ``to_go``; a kept turn gives no role.
     """
-    costs = [behind]
-    for kind, initial in zip(reversed(kinds), reversed(initials), strict=True):
-        costs.append(_before(kind, initial, costs[-1]))
-    costs = [c.tolist() for c in reversed(costs)]
     out = []
     for q in states:
         letters, roles = [], []
         for i, (kind, initial) in enumerate(zip(kinds, initials, strict=True)):
-            while True:
-                here, after = costs[i], costs[i + 1]
-                stays = TRUNCATED_COST if kind == TRUNCATED else 0
-                usable = kind in (SOUND, TRUNCATED)
-                if after[q] + DELETE_COST == here[q]:
-                    letters.append("D")
-                    roles.append(None)
-                    break
-                if here[FORCED[q]] + INSERT_COST == here[q]:
-                    letters.append("I")
-                    roles.append(NEEDED[q])
-                    q = FORCED[q]
-                    continue
-                if usable and initial in NEXT[q] and after[NEXT[q][initial]] + KEEP_COST + stays == here[q]:
-                    letters.append("K")
-                    roles.append(None)
-                    q = NEXT[q][initial]
-                    break
+            here, after = costs[i], costs[i + 1]
+            stays = TRUNCATED_COST if kind == TRUNCATED else 0
+            while after[q] + DELETE_COST != here[q] and here[FORCED[q]] + INSERT_COST == here[q]:
+                letters.append("I")
+                roles.append(NEEDED[q])
+                q = FORCED[q]
+            if after[q] + DELETE_COST == here[q]:
+                letters.append("D")
+                roles.append(None)
+            elif kind in (SOUND, TRUNCATED) and initial in NEXT[q] and after[NEXT[q][initial]] + KEEP_COST + stays == here[q]:
+                letters.append("K")
+                roles.append(None)
+                q = NEXT[q][initial]
+            else:
                 letters.append("R")
                 roles.append(NEEDED[q])
                 q = FORCED[q]
-                break
         out.append((q, "".join(letters), roles))
     return out
 
@@ -205,7 +206,7 @@ def _segment(part: int, number: int, whole: bool, conv: object, turns: list[tupl
     initials, numbers = [t[1][:1] for t in here], [t[0] for t in here if t[0] is not None]
     kinds = [t[3] for t in here]
     row = {"part": part, "segment": number, "whole": whole, "conv": conv, "roles": [t[1] for t in here], "texts": [t[2] for t in here], "kinds": kinds}
-    row["costs"] = [] if whole else passage(kinds, initials).ravel().tolist()
+    row["costs"] = [] if whole else sum(passage(kinds, initials), [])
     row |= {name: kinds.count(k) for name, k in (("blank", BLANK), ("duplicate", DUPLICATE), ("truncated", TRUNCATED))}
     row["illegal"] = sum(a + b not in _LEGAL for a, b in zip(initials, initials[1:], strict=False))
     row |= {"first": initials[0] if here else None, "last": initials[-1] if here else None}
@@ -214,26 +215,33 @@ def _segment(part: int, number: int, whole: bool, conv: object, turns: list[tupl
 
 def segments(turns: DataFrame, partition_turns: int, segment_turns: int, segment_chars: int) -> DataFrame:
     """Turns in order as segments; a segment is ``whole`` if it surely holds all of its conversation."""
-    rows = turns.count()
+    n = turns.count()
     sort = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text"), F.col("place")]
-    ranged = turns.repartitionByRange(max(1, -(-rows // partition_turns)), *sort).sortWithinPartitions(*sort)
+    ranged = turns.repartitionByRange(max(1, -(-n // partition_turns)), *sort).sortWithinPartitions(*sort)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         part, number, held, chars, conv, kind = TaskContext.get().partitionId(), 0, [], 0, None, pa.null()
         opened = True  # the task before may have begun with this conversation
+        rows, size = [], 0
         for batch in batches:
             kind = batch.schema.field("conv").type
             for c, *turn in zip(*(batch.column(x).to_pylist() for x in ("conv", "turn", "role", "text", "kind")), strict=True):
                 if held and (c != conv or len(held) >= segment_turns or chars >= segment_chars):
                     ends = c != conv
-                    yield _batch([_segment(part, number, ends and not opened, conv, held)], _SEGMENT, kind)
+                    rows.append(_segment(part, number, ends and not opened, conv, held))
+                    size += chars
+                    if len(rows) >= _TOGETHER or size >= segment_chars:
+                        yield _batch(rows, _SEGMENT, kind)
+                        rows, size = [], 0
                     number, held, chars, opened = number + 1, [], 0, not ends
                 conv = c
                 held.append(tuple(turn))
                 chars += len(turn[2])
         if held:  # the next task may go on with this conversation
-            yield _batch([_segment(part, number, False, conv, held)], _SEGMENT, kind)
+            rows.append(_segment(part, number, False, conv, held))
+        if rows:
+            yield _batch(rows, _SEGMENT, kind)
 
     return ranged.mapInArrow(run, _ddl(_SEGMENT, turns.schema["conv"].dataType.simpleString()))
 
@@ -258,8 +266,8 @@ def _streamed(rows: DataFrame, step: Callable[[dict, object], tuple[dict, object
 
 def _behind(row: dict, carried: object) -> tuple[dict, object]:
     cost = LAST if carried is None else carried
-    matrix = np.array(row["costs"], np.int64).reshape(STATES, STATES)
-    return {**{c: row[c] for c in _WHERE}, "behind": cost.tolist()}, (matrix + cost).min(1)
+    matrix = [row["costs"][q * STATES : (q + 1) * STATES] for q in range(STATES)]
+    return {**{c: row[c] for c in _WHERE}, "behind": cost}, through(matrix, cost)
 
 
 def _start(row: dict, carried: object) -> tuple[dict, object]:
@@ -275,7 +283,8 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
         for row in rows:
-            row["leads"] = [q for q, _, _ in walk(row.pop("kinds"), row.pop("initials"), np.array(row["behind"], np.int64), list(range(STATES)))]
+            kinds, initials = row.pop("kinds"), row.pop("initials")
+            row["leads"] = [q for q, _, _ in walk(kinds, initials, to_go(kinds, initials, row["behind"]), list(range(STATES)))]
         yield _batch(rows, _LEADS, batch.schema.field("conv").type)
 
 
@@ -286,19 +295,17 @@ _START = _BEHIND | {"start": "int"}
 
 def _edited(row: dict) -> dict:
     """A segment after its edits, given the costs behind it and the state in front of it."""
-    behind = np.array(row["behind"], np.int64)
-    initials, cost = _initials(row["roles"]), behind
-    for kind, initial in zip(reversed(row["kinds"]), reversed(initials), strict=True):
-        cost = _before(kind, initial, cost)
-    [(state, letters, given)] = walk(row["kinds"], initials, behind, [row["start"]])
+    initials = _initials(row["roles"])
+    costs = to_go(row["kinds"], initials, row["behind"])
+    [(state, letters, given)] = walk(row["kinds"], initials, costs, [row["start"]])
     out = {name: row[name] for name in (*_WHERE, *_FIGURES)}
-    return out | {"audit": letters, "repaired": _rebuilt(row["roles"], row["texts"], letters, given), "cost": int(cost[row["start"]] - behind[state]), "state": state}
+    return out | {"audit": letters, "repaired": _rebuilt(row["roles"], row["texts"], letters, given), "cost": costs[0][row["start"]] - costs[-1][state], "state": state}
 
 
 def _edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            yield _batch([_edited(row)], _EDITED, batch.schema.field("conv").type)
+        for at in range(0, batch.num_rows, _TOGETHER):
+            yield _batch([_edited(row) for row in batch.slice(at, _TOGETHER).to_pylist()], _EDITED, batch.schema.field("conv").type)
 
 
 class _Digest:
@@ -358,7 +365,7 @@ def edited(turns: DataFrame, partition_turns: int = PARTITION_TURNS, segment_tur
     """Edited segments of ``faulted`` turns: those that are whole conversations, and those of several segments."""
     kind = turns.schema["conv"].dataType.simpleString()
     kept = materialise(segments(turns, partition_turns, segment_turns, segment_chars), "dialogue-segments")
-    whole = kept.filter("whole").withColumns({"behind": F.lit(LAST.tolist()).cast("array<long>"), "start": F.lit(0)})
+    whole = kept.filter("whole").withColumns({"behind": F.lit(LAST).cast("array<long>"), "start": F.lit(0)})
     several = kept.filter("not whole")
     behind = _streamed(several.select(*_WHERE, "costs"), _behind, _BEHIND, backward=True)
     narrow = several.select("part", "segment", "kinds", F.transform("roles", lambda r: F.substring(r, 1, 1)).alias("initials"))
