@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from textloom.functions.columns import let
 
@@ -198,8 +198,21 @@ def sub_queries(query: Column, raw: Column) -> Column:
 
 
 def repeats(text: Column, window: int = 40) -> Column:
-    """Whether some window of characters occurs more than once without overlap; the last window is not tried."""
-    return F.exists(
-        F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.contains(F.substring(text, i + window, F.length(text)), F.substring(text, i, F.lit(window))),
-    )
+    """Whether some window of characters occurs more than once without overlap; one pass over the text."""
+
+    @F.pandas_udf(BooleanType())
+    def again(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _comes_again(t, window))
+
+    return again(text)
+
+
+def _comes_again(text: str, window: int) -> bool:
+    first: dict[int, int] = {}  # where a window's hash stood first
+    for i in range(len(text) - window + 1):
+        here = text[i : i + window]
+        at = first.setdefault(hash(here), i)
+        # windows of one hash are nearly always equal; if not, look where this one stood first
+        if i - at >= window and (text.startswith(here, at) or text.find(here) <= i - window):
+            return True
+    return False

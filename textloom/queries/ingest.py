@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.metrics import with_rank
 from textloom.sources import files, tables
-from textloom.registry import query, table, values_sql
+from textloom.registry import derived, plain, query, table
 
 _BLOCK = "script|style|nav|header|footer|noscript|template|svg"
 _TAGS = " ".join(f"|(<{t}\\b.*?</{t}\\s*>)" for t in _BLOCK.split("|")).replace(" ", "")
@@ -29,12 +29,13 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.html_title(F.col("html")).alias("title"))
 
 
-PATHS = [(1, "/a/b.PDF"), (2, "c.docx"), (3, "d.htm"), (4, "e.html"), (5, "f.txt"), (6, "noext"), (7, "/x.pdf/y")]
+#: Paths of files: a page's address with a suffix.
+PATHS = "SELECT page_id, url || CASE page_id % 7 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.htm' WHEN 3 THEN '/x.html' WHEN 4 THEN '.txt' WHEN 5 THEN '.pdf/y' ELSE '' END AS path FROM {pages}"
 
 
-@query(f"SELECT id, CASE WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.html?$') THEN 'html' END AS file_type FROM {values_sql(PATHS, ['id', 'path'])}")
+@query(f"SELECT page_id, CASE WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.html?$') THEN 'html' END AS file_type FROM ({plain(PATHS)})")
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(PATHS, "id int, path string").select("id", files.file_type(F.col("path")).alias("file_type"))
+    return derived(spark, sf_dir, PATHS).select("page_id", files.file_type(F.col("path")).alias("file_type"))
 
 
 @query("SELECT url AS filename, page_id AS ingest_seq, length(html)::BIGINT AS size FROM pages QUALIFY row_number() OVER (PARTITION BY regexp_replace(url, '[0-9]+$', '') ORDER BY page_id DESC) = 1")
@@ -80,21 +81,25 @@ def longest_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter("place <= 3").select("doc_id", "lang", "place")
 
 
-PAGES = [("a", 1, "native text that is long enough", None, None), ("a", 2, "ocr text", 55.5, None), ("a", 3, None, None, "broken"), ("b", 1, " ", 91.0, None), ("b", 2, "second", 60.0, None)]
+#: A document's lines as its pages: (path, page, text, ocr_confidence, error); every third comes from OCR, some cannot be read.
+PAGES = """SELECT doc_id AS path, CAST(page AS INT) AS page, CASE WHEN page % 11 = 5 THEN NULL ELSE line END AS text, CASE WHEN page % 3 = 2 THEN CAST(length(line) % 100 AS DOUBLE) END AS ocr_confidence,
+    CASE WHEN page % 11 = 5 THEN 'unreadable' END AS error FROM {lines}"""
+_PAGES_SQL = PAGES.replace("{lines}", "(SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS page FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 
 
 @query(
-    f"""SELECT path, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page) FILTER (trim(text) <> ''), '') AS text, count(*)::INT AS page_count, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (conf IS NOT NULL), '') AS ocr_pages,
-    coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (conf < 60), '') AS low_pages, count(error)::INT AS failed FROM {values_sql(PAGES, ['path', 'page', 'text', 'conf', 'error'])} GROUP BY path"""
+    f"""SELECT path, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page) FILTER (regexp_matches(text, '[^\\s]')), '') AS text, count(*)::INT AS page_count, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (ocr_confidence IS NOT NULL), '') AS ocr_pages,
+    coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (ocr_confidence < 60), '') AS low_pages, count(error)::INT AS failed FROM ({_PAGES_SQL}) GROUP BY path"""
 )
 def page_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(PAGES, "path string, page int, text string, ocr_confidence double, error string")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line")).withColumn("page", F.col("page") + 1)
     said = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    return files.join_pages(rows).select("path", "text", "page_count", said("ocr_pages").alias("ocr_pages"), said("low_confidence_pages").alias("low_pages"), F.size("failed_pages").alias("failed"))
+    return files.join_pages(spark.sql(PAGES, lines=lines)).select("path", "text", "page_count", said("ocr_pages").alias("ocr_pages"), said("low_confidence_pages").alias("low_pages"), F.size("failed_pages").alias("failed"))
 
 
-WORDS = [("p", 1, 1, 1, 1, "Hello", 90.0), ("p", 2, 1, 1, 1, "world", 80.0), ("p", 3, 1, 1, 2, "next", -1.0), ("p", 4, 2, 1, 1, "block", 70.5), ("q", 1, 1, 1, 1, "only", -1.0)]
-_W = values_sql(WORDS, ["path", "seq", "block", "par", "line", "word", "conf"])
+#: The words of a page as OCR finds them: lines of seven words, blocks of four lines, each word with a confidence or -1.
+WORDS = """SELECT path, seq, CAST(floor((seq - 1) / 28.0E0) AS INT) AS block, 0 AS par, CAST(floor((seq - 1) / 7.0E0) AS INT) AS line, word, CASE WHEN length(word) % 4 = 0 THEN -1.0E0 ELSE length(word) * 7.5E0 END AS conf FROM {words}"""
+_W = "(" + WORDS.replace("{words}", "(SELECT page_id AS path, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS seq FROM (SELECT page_id, regexp_extract_all(html, '[A-Za-z]+') AS w FROM pages))") + ")"
 
 
 @query(
@@ -102,6 +107,7 @@ _W = values_sql(WORDS, ["path", "seq", "block", "par", "line", "word", "conf"])
     SELECT path, string_agg(t, chr(10) ORDER BY f) AS text, any_value(confidence) AS confidence FROM l JOIN c USING (path) GROUP BY path"""
 )
 def ocr_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(WORDS, "path string, seq int, block int, par int, line int, word string, conf double")
+    words = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.posexplode(F.regexp_extract_all("html", F.lit("[A-Za-z]+"), F.lit(0))).alias("seq", "word"))
+    rows = spark.sql(WORDS, words=words.withColumn("seq", F.col("seq") + 1))
     sure = rows.groupBy("path").agg(files.ocr_confidence(F.collect_list("conf")).alias("confidence"))
     return files.ocr_lines(rows, ["path"]).join(sure, "path")

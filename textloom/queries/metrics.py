@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators import metrics as M
 from textloom.operators import vectors as V
 from textloom.queries.vectors import _asked, top_vectors_sql
-from textloom.registry import query, table, values_sql
+from textloom.registry import derived, plain, query, table, values_sql
 
 _RUNS = f"""hits AS ({top_vectors_sql(11)}), r AS (SELECT q.vec_id AS query_id, q.label AS language, CASE WHEN q.vec_id % 20 = 0 THEN 'a' ELSE 'b' END AS model,
     (SELECT min(h.rank - 1) FROM hits h JOIN embeddings v ON v.vec_id = h.id WHERE h.query_id = q.vec_id AND h.id <> h.query_id AND v.label = q.label) AS rank FROM embeddings q WHERE q.vec_id % 10 = 0)"""
@@ -85,28 +85,22 @@ def judge_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.agreement(table(spark, sf_dir, "labels"), second, "doc_id", ["quality", "toxic"])
 
 
-ANSWERS = [
-    ("base", "q1", "no marks here", 3, 1, True, True, 1.5),
-    ("base", "q2", "see [1] and [4]", 3, 2, False, True, 2.25),
-    ("base", "q3", "only [2] [2]", 3, None, True, False, 0.5),
-    ("base", "q4", "nothing", 2, 1, False, False, 1.0),
-    ("tuned", "q1", "now [1] and [2]", 3, 1, True, True, 1.0),
-    ("tuned", "q2", "see [2]", 3, 2, True, True, 2.0),
-    ("tuned", "q3", "say [1] [2] [3]", 3, None, True, True, 0.75),
-    ("tuned", "q4", "repeat this sentence that is long enough to count " * 3 + "[1]", 2, 1, True, True, 3.0),
-]
-_A_COLUMNS = ["model", "query", "answer", "n_context", "truth", "grounded", "addresses_query", "latency_seconds"]
-_SCORED = f"""s AS (SELECT *, list_distinct(list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: x::INT)) AS cites FROM {values_sql(ANSWERS, _A_COLUMNS)}),
+#: The first two answers of each conversation as those of two models to one question, with marks and verdicts of a judge.
+ANSWERS = """SELECT CASE WHEN r = 1 THEN 'base' ELSE 'tuned' END AS model, CAST(conv_id AS STRING) AS query,
+    CASE length(text) % 4 WHEN 0 THEN text WHEN 1 THEN text || ' [1]' WHEN 2 THEN text || ' [2] and [' || CAST(turn AS STRING) || '] [2]' ELSE text || ' [1] ' || text || ' [3] [5]' END AS answer,
+    CAST(3 AS INT) AS n_context, CAST(nullif(length(text) % 5, 0) AS INT) AS truth, length(text) % 3 > 0 AS grounded, length(text) % 7 > 0 AS addresses_query, CAST(length(text) AS DOUBLE) * 0.01 AS latency_seconds
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {conversations} WHERE role = 'assistant') t WHERE r <= 2"""
+_SCORED = f"""s AS (SELECT *, list_distinct(list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda x: x::INT)) AS cites FROM ({plain(ANSWERS)})),
     t AS (SELECT *, len(cites) > 0 AS has_citations, len(cites)::INT AS num_citations, len(list_filter(cites, lambda c: c < 1 OR c > n_context))::INT AS invented, CASE WHEN truth IS NOT NULL THEN list_contains(cites, truth) END AS cites_truth FROM s)"""
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return M.answer_scores(spark.createDataFrame(ANSWERS, "model string, query string, answer string, n_context int, truth int, grounded boolean, addresses_query boolean, latency_seconds double"))
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.answer_scores(derived(spark, sf_dir, ANSWERS))
 
 
 @query(f"WITH {_SCORED} SELECT model, query, has_citations, num_citations, invented, cites_truth, length(answer)::INT AS answer_length FROM t")
 def answer_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark).select("model", "query", "has_citations", "num_citations", "invented", "cites_truth", "answer_length")
+    return _answers(spark, sf_dir).select("model", "query", "has_citations", "num_citations", "invented", "cites_truth", "answer_length")
 
 
 @query(
@@ -114,15 +108,19 @@ def answer_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(avg(grounded::INT), 3) AS grounded_rate, round(avg(addresses_query::INT), 3) AS addresses_rate, round(avg(latency_seconds)::DOUBLE, 2) AS mean_latency FROM t GROUP BY model"""
 )
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.model_summary(_answers(spark))
+    return M.model_summary(_answers(spark, sf_dir))
+
+
+#: Whether 40 characters come again behind themselves.
+_REPEATS = "len(list_filter(range(1, length(t.answer) - 39), lambda i: contains(substr(t.answer, i + 40), substr(t.answer, i, 40)))) > 0"
 
 
 @query(
     f"""WITH {_SCORED} SELECT t.query, (t.num_citations - b.num_citations + 2 * (NOT b.grounded)::INT + 2 * (NOT b.addresses_query)::INT)::INT AS improvement FROM t JOIN t b ON t.query = b.query AND b.model = 'base'
-    WHERE t.model = 'tuned' AND t.grounded AND t.addresses_query AND t.query <> 'q4' AND improvement > 0 ORDER BY improvement DESC, t.query LIMIT 2"""
+    WHERE t.model = 'tuned' AND t.grounded AND t.addresses_query AND NOT {_REPEATS} AND improvement > 0 ORDER BY improvement DESC, t.query LIMIT 2"""
 )
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _answers(spark)
+    scored = _answers(spark, sf_dir)
     return M.highlights(scored.filter("model = 'base'"), scored.filter("model = 'tuned'"))
 
 
@@ -147,17 +145,17 @@ _MARKS = "len(regexp_extract_all(answer, '\\[[0-9]+\\]'))"
 
 @query(
     f"""SELECT model, count(*)::BIGINT AS n, round(avg(({_MARKS} > 0)::INT), 6) AS citation_rate, round(avg(addresses_query::INT), 6) AS addresses_rate, round(avg({_MARKS}), 6) AS mean_citations, round(avg(latency_seconds)::DOUBLE, 6) AS mean_latency
-    FROM {values_sql(ANSWERS, _A_COLUMNS)} GROUP BY model"""
+    FROM ({plain(ANSWERS)}) a WHERE (SELECT count(DISTINCT model) FROM ({plain(ANSWERS)}) b WHERE b.query = a.query) = 2 GROUP BY model"""
 )
 def dashboard_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.run_stats(_answers(spark), ["model"])
+    return M.run_stats(_answers(spark, sf_dir), ["model"])
 
 
-CASES = [("a", True, True, "answered", "answered"), ("b", False, True, "hedged", "answered"), ("c", None, True, "blocked_input", "blocked_input"), ("d", True, True, None, "hedged")]
-_C_COLUMNS = ["id", "expect_expand", "expanded", "expect_route", "route"]
+#: What was expected of an event and what came of it.
+CASES = """SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id % 2 = 0 END AS expect_expand, event_id % 2 = 0 AS expanded, CASE WHEN user_id % 7 > 0 THEN event_type END AS expect_route,
+    CASE WHEN event_id % 5 = 0 THEN 'view' WHEN event_id % 11 > 0 THEN event_type END AS route FROM {events}"""
 
 
-@query(f"SELECT round(avg((expect_expand = expanded)::INT), 4) AS expand_accuracy, round(avg((expect_route = route)::INT), 4) AS route_accuracy FROM {values_sql(CASES, _C_COLUMNS)}")
+@query(f"SELECT round(avg((expect_expand = expanded)::INT), 4) AS expand_accuracy, round(avg(CASE WHEN expect_route IS NOT NULL THEN coalesce(expect_route = route, false)::INT END), 4) AS route_accuracy FROM ({plain(CASES)})")
 def routing_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(CASES, "id string, expect_expand boolean, expanded boolean, expect_route string, route string")
-    return M.expectation_accuracy(df, {"expand_accuracy": ("expect_expand", "expanded"), "route_accuracy": ("expect_route", "route")})
+    return M.expectation_accuracy(derived(spark, sf_dir, CASES), {"expand_accuracy": ("expect_expand", "expanded"), "route_accuracy": ("expect_route", "route")})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.registry import query, table, values_sql
+from textloom.registry import derived, plain, query, table, values_sql
 
 #: Scripts, ties and terminators that the driver's tables lack.
 SCRIPTS = [
@@ -135,39 +135,35 @@ def tokens_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", T.script_presence(F.col("text")).alias("lang"), F.array_join(T.tokens(F.col("text"), F.lit(None).cast("string")), "|").alias("tokens"))
 
 
-GUARDED = [
-    (1, "raw one", "better one"),
-    (2, "raw two", "I CANNOT do this"),
-    (3, "raw three", "x" * 301),
-    (4, "raw four", "The corpus doesn't say"),
-    (5, "raw five", "ok"),
-    (6, "raw six", "I cannot assist"),
-    (7, "raw seven", "  a "),
-    (8, "raw eight", "i cannot assist " + "y" * 60),
-]
+#: A turn and what the next turn makes of it, some of them with the openings of a refusal.
+GUARDED = """SELECT conv_id, turn, text AS raw, CASE length(text) % 5 WHEN 0 THEN 'I CANNOT ' || said WHEN 1 THEN 'the corpus doesn''t say' WHEN 2 THEN '  a ' WHEN 3 THEN 'i cannot assist ' || said ELSE said END AS rewritten
+    FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS said FROM {conversations}) t WHERE said IS NOT NULL"""
 
 
 @query(
-    f"""SELECT id, CASE WHEN regexp_matches(lower(rewritten), 'cannot|corpus doesn''t|corpus does not|i don''t have|i''m unable|no information|not contain') OR length(rewritten) > 300 THEN raw ELSE rewritten END AS used,
-    length(trim(rewritten)) >= 3 AND NOT (regexp_matches(lower(rewritten), 'user safety:|i cannot assist|i''m unable to help with that') AND length(rewritten) < 60) AS valid FROM {values_sql(GUARDED, ['id', 'raw', 'rewritten'])}"""
+    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(rewritten), 'cannot|corpus doesn''t|corpus does not|i don''t have|i''m unable|no information|not contain') OR length(rewritten) > 300 THEN raw ELSE rewritten END AS used,
+    length(trim(rewritten)) >= 3 AND NOT (regexp_matches(lower(rewritten), 'user safety:|i cannot assist|i''m unable to help with that') AND length(rewritten) < 60) AS valid FROM ({plain(GUARDED)})"""
 )
 def rewrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(GUARDED, "id int, raw string, rewritten string")
-    return df.select("id", T.guarded_rewrite(F.col("raw"), F.col("rewritten")).alias("used"), T.valid_answer(F.col("rewritten")).alias("valid"))
+    df = derived(spark, sf_dir, GUARDED)
+    return df.select("conv_id", "turn", T.guarded_rewrite(F.col("raw"), F.col("rewritten")).alias("used"), T.valid_answer(F.col("rewritten")).alias("valid"))
 
 
-PARSED = [(1, "main query", "main query\n second \n\nthird\nfourth\nfifth"), (2, "main query", "a\nb\nc\nd"), (3, "main query", " single "), (4, "main query", " \n "), (5, "q", "one\n two ")]
+#: A turn's sentences as a model's lines; the question is the first of them, another turn's role, or the lines are none.
+PARSED = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role ELSE substr(text, 1, 12) END AS query,
+    CASE length(text) % 4 WHEN 0 THEN 'single' WHEN 1 THEN ' ' || chr(10) || ' ' WHEN 2 THEN role || chr(10) || ' ' || replace(text, '. ', chr(10)) ELSE replace(text, '. ', '. ' || chr(10) || chr(10) || '  ') END AS raw FROM {conversations}"""
 
 
 @query(
-    f"""WITH l AS (SELECT id, query, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM {values_sql(PARSED, ['id', 'query', 'raw'])})
-    SELECT id, array_to_string(list_slice(CASE WHEN list_contains(lines, query) THEN lines ELSE [query] || lines END, 1, 4), '|') AS variants,
+    f"""WITH l AS (SELECT conv_id, turn, query, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM ({plain(PARSED)}))
+    SELECT conv_id, turn, array_to_string(list_slice(CASE WHEN list_contains(lines, query) THEN lines ELSE [query] || lines END, 1, 4), '|') AS variants,
     array_to_string(CASE WHEN upper(trim(raw)) = 'SINGLE' OR len(lines) = 0 THEN [query] ELSE lines END, '|') AS parts FROM l"""
 )
 def query_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(PARSED, "id int, query string, raw string")
+    df = derived(spark, sf_dir, PARSED)
     return df.select(
-        "id",
+        "conv_id",
+        "turn",
         F.array_join(T.query_variants(F.col("query"), F.col("raw")), "|").alias("variants"),
         F.array_join(T.sub_queries(F.col("query"), F.col("raw")), "|").alias("parts"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows that a statement makes from given tables, named as ``{table}``; it reads the same on both engines."""
+    names = set(re.findall(r"\{(\w+)\}", sql))
+    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+
+
+def plain(sql: str) -> str:
+    """The statement of ``derived`` for the SQL side."""
+    return re.sub(r"\{(\w+)\}", r"\1", sql)
+
+
 def literal(value: object) -> str:
     """A SQL literal of a Python value."""
     if value is None:
