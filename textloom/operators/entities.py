@@ -77,10 +77,22 @@ def mentions(chunks: DataFrame, found: Column, id_col: str = "doc_id") -> DataFr
     return chunks.select(F.explode(found).alias("entity"), F.col(id_col).alias("chunk_id")).distinct()
 
 
+#: Entities of a chunk that meet in one task; a chunk with more is cut in blocks whose pairs are dealt to tasks.
+PAIR_BLOCK = 512
+
+
 def neighbours(mention: DataFrame) -> DataFrame:
-    """Both directions of every pair of entities that share a chunk."""
-    a, b = mention.select(F.col("entity").alias("e1"), "chunk_id"), mention.select(F.col("entity").alias("e2"), "chunk_id")
-    pairs = a.join(b, "chunk_id").filter("e1 < e2").select("e1", "e2").distinct()
+    """Both directions of every pair of entities that share a chunk.
+
+    A chunk's entities are cut in blocks by a hash, and every two blocks meet under a key of their own, so the pairs of a long
+    chunk are made in many tasks. A chunk of up to PAIR_BLOCK entities is one block.
+    """
+    cuts = mention.groupBy("chunk_id").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("cuts"))
+    placed = mention.join(cuts, "chunk_id").withColumn("own", F.pmod(F.xxhash64("entity"), "cuts").cast("int"))
+    first = placed.select("chunk_id", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cuts") - 1)).alias("j"), F.col("entity").alias("x"))
+    second = placed.select("chunk_id", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("entity").alias("y"))
+    met = first.join(second, ["chunk_id", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("e1"), F.greatest("x", "y").alias("e2")).filter("e1 < e2").distinct()
     return pairs.union(pairs.select("e2", "e1"))
 
 

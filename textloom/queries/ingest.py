@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators.metrics import with_rank
 from textloom.sources import files, tables
+from textloom.sources import main_content as M
 from textloom.registry import derived, plain, query, table
 
 _BLOCK = "script|style|nav|header|footer|noscript|template|svg"
@@ -24,6 +25,36 @@ def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
+def _main_sql() -> str:
+    """Blocks of a page with their densities, smoothed over neighbours by a window."""
+    t = f"regexp_replace(coalesce(html, ''), '[{M.OPEN}{M.CLOSE}{M.HEAD}]', '', 'g')"
+    silent = "|".join(f"<{x}\\b.*?</{x}\\s*>" for x in (*M.SILENT, "head"))
+    t = f"regexp_replace({t}, '(?is)<!--.*?-->|{silent}', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)<a\\b[^>]*>', '{M.OPEN}', 'g'), '(?i)</a\\s*>', '{M.CLOSE}', 'g')"
+    t = f"regexp_replace({t}, '(?i)<h[1-6]\\b[^>]*>', chr(10) || '{M.HEAD}', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?i)</?({'|'.join(M.BLOCKS)})\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+    for name, sign in M.ENTITIES:
+        t = f"replace({t}, '{name}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return f"""WITH l AS (SELECT page_id, string_split(regexp_replace({t}, '[ \\t\\r]+', ' ', 'g'), chr(10)) AS l FROM pages), u AS (SELECT page_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM l),
+    b AS (SELECT page_id, i, trim(regexp_replace(line, '[{M.OPEN}{M.CLOSE}{M.HEAD}]', '', 'g')) AS text, coalesce(list_sum(list_transform(regexp_extract_all(line, '{M.OPEN}[^{M.CLOSE}]*'), lambda x: length(x) - 1)), 0) AS linked, contains(line, '{M.HEAD}') AS heading FROM u),
+    c AS (SELECT page_id, i, text, length(text) AS chars, least(linked, length(text)) AS links, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS words, heading FROM b WHERE length(text) > 0),
+    w AS (SELECT *, words * (chars - links) / chars::DOUBLE AS w FROM c),
+    s AS (SELECT *, (coalesce(lag(w) OVER p, 0) + 2 * w + coalesce(lead(w) OVER p, 0)) / 4 AS s FROM w WINDOW p AS (PARTITION BY page_id ORDER BY i)), e AS (SELECT *, links <= {M.MOST_LINKS} * chars AS few, links <= {M.MOST_LINKS} * chars AND s >= {M.LEAST_WORDS} AS dense FROM s),
+    k AS (SELECT *, dense OR (heading AND few AND coalesce(lead(dense) OVER (PARTITION BY page_id ORDER BY i), false)) AS kept FROM e)
+    SELECT p.page_id, string_agg(text, chr(10) ORDER BY i) FILTER (kept) AS text, count(i)::INT AS blocks, count(*) FILTER (kept)::INT AS kept, coalesce(sum(chars) FILTER (kept), 0)::BIGINT AS kept_chars, coalesce(sum(chars) FILTER (NOT kept), 0)::BIGINT AS dropped_chars
+    FROM pages p LEFT JOIN k ON k.page_id = p.page_id GROUP BY p.page_id"""
+
+
+@query(_main_sql())
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of each page by block densities, and how much of the page's text is not content."""
+    blocks = M.page_blocks(F.col("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html"), blocks.alias("b")).select("page_id", "b", M.kept_blocks(F.col("b")).alias("k"))
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["chars"])
+    text = F.nullif(F.array_join(F.transform("k", lambda x: x["text"]), "\n"), F.lit(""))
+    return rows.select("page_id", text.alias("text"), F.size("b").alias("blocks"), F.size("k").alias("kept"), chars("k").alias("kept_chars"), (chars("b") - chars("k")).alias("dropped_chars"))
+
+
 @query("SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", files.html_title(F.col("html")).alias("title"))

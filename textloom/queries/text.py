@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions import providers as P
 from textloom.functions import text as T
+from textloom.operators import language as N
 from textloom.registry import derived, plain, query, table, values_sql
 
 #: Scripts, ties and terminators that the driver's tables lack.
@@ -167,3 +169,11 @@ def query_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(T.query_variants(F.col("query"), F.col("raw")), "|").alias("variants"),
         F.array_join(T.sub_queries(F.col("query"), F.col("raw")), "|").alias("parts"),
     )
+
+
+@query()
+def language_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every document by n-gram profiles of the labelled ones, as (language, probability) lists."""
+    docs = table(spark, sf_dir, "documents")
+    found = N.distribution(F.col("text"), N.learn(docs))
+    return docs.select("doc_id", found.alias("languages")).select("doc_id", "languages", P.primary_language(F.col("languages")).alias("primary_language"))
