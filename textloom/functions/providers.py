@@ -14,6 +14,14 @@ from textloom.functions import text as T
 #: Text put before passages and questions for models that expect it (fixed values).
 PREFIXES = {"bge-large": ("", ""), "bge-m3": ("", ""), "e5-large": ("passage: ", "query: "), "multilingual-e5-large": ("passage: ", "query: ")}
 
+#: Instructions of models that embed (instruction, text) pairs, for passages and for questions (fixed values).
+INSTRUCTIONS = {"instructor-xl": ("Represent the document for retrieval:", "Represent the question for retrieving supporting documents:")}
+
+
+def embed_pairs(texts: Column, model: str, run: Callable[[Column, Column], Column], question: bool = False) -> Column:
+    """Vectors of a model that takes the instruction and the text as a pair: ``run`` gets two columns."""
+    return run(F.lit(INSTRUCTIONS[model][int(question)]), texts)
+
 
 def embedder(dim: int = 64, embed: Callable[[str], list[float]] | None = None) -> Callable[[Column], Column]:
     """Column function of unit vectors; by default hashed words."""

@@ -38,6 +38,11 @@ def clean_text(text: Column, normalise: bool = True) -> Column:
     return strip(t)
 
 
+def holds_phrase(text: Column, phrase: Column) -> Column:
+    """Whether a phrase stands in the text once it is cleaned."""
+    return F.contains(clean_text(text), phrase)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

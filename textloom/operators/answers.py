@@ -79,6 +79,12 @@ def answer_gate(df: DataFrame, generate: Callable[[Column, Column], Column], lea
     ).drop("_p")
 
 
+def summarise(df: DataFrame, generate: Callable[[Column, Column, Column], Column], least: float = CONFIDENCE) -> DataFrame:
+    """Drafts of rows (query, chunks, retry, issues): ``answer_gate`` with the last draft's issues told on a retry only."""
+    told = F.when(F.col("retry"), F.col("issues"))
+    return answer_gate(df, lambda query, context: generate(query, context, told), least)
+
+
 def route(blocked_in: Column, valid_first: Column, valid_retry: Column, blocked_out: Column) -> Column:
     """Where a question ends: blocked_input, answered, retried, hedged or blocked_output. The retry loop is unrolled once."""
     end = F.when(valid_first, "answered").when(valid_retry, "retried").otherwise("hedged")

@@ -222,6 +222,39 @@ def pick_strategy(batch_size: int, asked: str | None = None, default: str = "sem
     return "recursive" if batch_size >= many else asked or default
 
 
+#: Strategy of a language where texts come one by one, and that of any other (fixed values).
+STRATEGIES = {"en": "recursive", "fr": "semantic", "ur": "semantic", "ko": "semantic", "ar": "semantic"}
+OTHER_STRATEGY = "recursive"
+
+
+def strategy_of(language: Column) -> Column:
+    out = F.lit(OTHER_STRATEGY)
+    for name, strategy in STRATEGIES.items():
+        out = F.when(language == name, strategy).otherwise(out)
+    return out
+
+
+def chunk_by_strategy(df: DataFrame, strategy: str = "strategy", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Chunks of rows that each name their strategy, with the strategy beside them."""
+    made = [chunk_with(df.filter(F.col(strategy) == s), s, id_col, text).withColumn("strategy", F.lit(s)) for s in ("fixed", "recursive", "semantic")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def stem(filename: Column) -> Column:
+    """A file's name without its folder and last suffix."""
+    return F.regexp_replace(F.element_at(F.split(filename, "/"), -1), r"\.[^.]*$", "")
+
+
+def rechunk(meta: DataFrame, texts: DataFrame, strategy: str, text: str = "text") -> DataFrame:
+    """Chunks by another strategy of stored texts (filename, text), named by the metadata row with the same stem.
+
+    A text whose stem no metadata row has is left out; of rows with one stem the first name counts.
+    """
+    named = meta.groupBy(stem(F.col("filename")).alias("stem")).agg(F.min("filename").alias("filename"))
+    rows = texts.select(stem(F.col("filename")).alias("stem"), F.col(text).alias("text")).join(named, "stem")
+    return chunk_with(rows, strategy, "filename").withColumn("strategy", F.lit(strategy))
+
+
 def chunk_stats(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: chunks, mean, median and population deviation of tokens, share that ends at a sentence end."""
     return chunks.groupBy(*keys).agg(

@@ -64,6 +64,12 @@ def confusion(df: DataFrame, expected: Column, actual: Column, keys: list[str] |
     return counted.withColumns(confusion_columns(F.col("tp"), F.col("fn"), F.col("fp"), F.col("tn")))
 
 
+def recall_pivot(df: DataFrame, expected: Column, actual: Column, row: str, column: str, values: list[str]) -> DataFrame:
+    """Recall of the expected rows by row and column value, to 4 places; null where nothing was expected."""
+    hits = df.filter(expected).select(row, column, actual.cast("double").alias("hit"))
+    return hits.groupBy(row).pivot(column, values).agg(F.round(F.avg("hit"), 4))
+
+
 def threshold_sweep(scored: DataFrame, thresholds: list[float], expected: Column, score: Column) -> DataFrame:
     """Precision, recall, F1 and blocked rows at each threshold, in one pass over the scores."""
     spark = scored.sparkSession

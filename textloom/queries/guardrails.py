@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import rules
+from textloom.operators import classifier
 from textloom.operators import guardrails as G
 from textloom.registry import literal, query, table, values_sql
 
@@ -135,3 +136,12 @@ def output_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", F.lit("en").alias("language"))
     fixture = spark.createDataFrame(PROMPTS, "doc_id long, text string, language string").withColumn("doc_id", -F.col("doc_id"))
     return G.check_output(said.union(fixture)).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer fitted on the labelled documents, and what it says of every document beside the rules."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scorer, _ = classifier.fit(docs.join(labels.select("doc_id", "toxic"), "doc_id"), label="toxic")
+    found = G.toxicity(F.col("text"), F.col("lang"), scorer.scorer())
+    return docs.select("doc_id", found.alias("t")).select("doc_id", "t.is_toxic", "t.source", "t.model_score")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("text", "dedup", "chunks", "lexical", "vectors", "entities", "guardrails", "metrics", "answers", "datasets", "ingest", "surface")
+_MODULES = ("text", "dedup", "chunks", "lexical", "vectors", "entities", "guardrails", "metrics", "answers", "datasets", "ingest", "surface", "upkeep")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -13,7 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from textloom.functions import text as T
 
@@ -51,6 +51,34 @@ def docx_text(content: bytes) -> dict:
     return {"text": "\n\n".join(paragraphs + rows), "paragraph_count": len(paragraphs), "table_count": len(tables)}
 
 
+_CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://purl.org/dc/elements/1.1/}creator", "created": "{http://purl.org/dc/terms/}created"}
+PROPERTIES = StructType([StructField(name, StringType()) for name in _CORE])
+
+
+def docx_core(content: bytes) -> dict[str, str | None]:
+    """Title, author and date of a document's core properties, null where missing or empty."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            root = ElementTree.fromstring(z.read("docProps/core.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return dict.fromkeys(_CORE)
+    return {name: (root.findtext(tag) or "").strip() or None for name, tag in _CORE.items()}
+
+
+@F.pandas_udf(PROPERTIES)
+def docx_properties(contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([docx_core(c) if c is not None else dict.fromkeys(_CORE) for c in contents], columns=list(_CORE))
+
+
+def native_properties(files: DataFrame) -> DataFrame:
+    """(path, title, author, created) of HTML pages and DOCX documents; nulls for other files."""
+    page, html = F.col("content").cast("string"), F.col("file_type") == "html"
+    core = files.filter("file_type = 'docx'").select("path", docx_properties("content").alias("p")).select("path", "p.*")
+    rest = files.filter("file_type IS NULL OR file_type <> 'docx'")
+    tags = [F.when(html, c).alias(name) for name, c in (("title", html_title(page)), ("author", html_meta(page, "author")), ("created", html_meta(page, "date")))]
+    return core.unionByName(rest.select("path", *tags))
+
+
 def docx_file(paragraphs: list[str]) -> bytes:
     """A minimal document of paragraphs, for tests and exports."""
     body = "".join(f"<w:p><w:r><w:t>{html_lib.escape(p)}</w:t></w:r></w:p>" for p in paragraphs)
