@@ -27,6 +27,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens_en(F.col("text")))).alias("entity"))
 
 
+def found(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    m = _mentions(spark, sf_dir)
+    return G.graph_search(G.graph_scores(_asked(spark, sf_dir), m, G.neighbours(m)), k)
+
+
 _M = f"m AS ({entity_sql('documents', 'doc_id')})"
 _Q = "q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS entity FROM benchmark)"
 _E = "e AS (SELECT DISTINCT a.entity AS e1, b.entity AS e2 FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity <> b.entity)"
@@ -35,6 +40,9 @@ _H = """k AS (SELECT DISTINCT query_id, entity FROM h), a AS (SELECT DISTINCT qu
     o AS (SELECT DISTINCT query_id, chunk_id AS id FROM a JOIN m USING (entity)), g AS (SELECT * FROM d UNION ALL SELECT o.query_id, o.id, 0.5 / n FROM o JOIN n USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = o.query_id AND d.id = o.id))"""
 
 
+GRAPH_SQL = f"{_M}, {_Q}, {_E}, {_D}, {_H}"
+
+
 @query(entity_sql("documents", "doc_id"))
 def entity_mentions_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.mentions(table(spark, sf_dir, "documents"), G.acronyms(F.col("text")))
@@ -71,8 +79,7 @@ def graph_onehop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_M}, {_Q}, {_E}, {_D}, {_H} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS rank FROM g QUALIFY rank <= 10")
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mentions(spark, sf_dir)
-    return G.graph_search(G.graph_scores(_asked(spark, sf_dir), m, G.neighbours(m)), 10).withColumn("score", F.round("score", 6))
+    return found(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
 # The same five with all entities of the operator's extraction, which has no SQL form.
@@ -83,7 +90,10 @@ def _document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(G.entities(F.col("text"), F.lit(None).cast("string"))).alias("entity"))
+    """Entities of benchmark texts, and of each hundredth document, which asks under the id -1 - doc_id."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rows = rows.union(table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(-1 - F.col("doc_id"), "text"))
+    return rows.select("query_id", F.explode(G.entities(F.col("text"), F.lit(None).cast("string"))).alias("entity"))
 
 
 @query()

@@ -10,7 +10,8 @@ from textloom.operators import fusion as R
 from textloom.operators import lexical as L
 from textloom.operators import vectors as V
 from textloom.operators.ann import InvertedLists, recall
-from textloom.queries.lexical import bm25_sql, questions, tokens
+from textloom.queries import entities as E
+from textloom.queries.lexical import bm25_sql, questions, tokens, top_sql
 from textloom.registry import query, table
 
 _DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
@@ -151,3 +152,30 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _lists(spark, sf_dir)
     fused = R.reciprocal_rank(a.select("query_id", "id", "rank").union(b.select("query_id", "id", "rank")))
     return R.merge_graph(fused, b.select("query_id", "id", (F.col("score") / 30).alias("score"))).withColumn("score", F.round("score", 9))
+
+
+_VECTOR_LISTS = f"""{bm25_sql('documents')}, l1 AS (SELECT query_id, id, rank FROM ({top_sql(30)})), l2 AS ({top_vectors_sql(30, 'q.vec_id IN (SELECT item_id FROM benchmark)')}),
+    rrf AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM l1 UNION ALL SELECT query_id, id, rank FROM l2) GROUP BY ALL)"""
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 fused with vectors: the vector of a document or question is the one with its id."""
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    lexical = L.search(L.build_stored(docs, tokens()), questions(spark, sf_dir), tokens(), 30)
+    asked = vectors.join(questions(spark, sf_dir).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
+    near = V.flat_topk(vectors, asked, 30)
+    return R.reciprocal_rank(lexical.select("query_id", "id", "rank").union(near.select("query_id", "id", "rank")))
+
+
+@query(f"WITH {_VECTOR_LISTS} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id)::INT AS rank FROM rrf QUALIFY rank <= 10")
+def hybrid_vectors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.top(_with_vectors(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {_VECTOR_LISTS}, {E.GRAPH_SQL}, gs AS (SELECT query_id, id, score FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10), best AS (SELECT query_id, max(score) AS best FROM rrf GROUP BY ALL)
+    SELECT query_id, id, round(max(score), 9) AS score FROM (SELECT query_id, id, score FROM rrf UNION ALL SELECT query_id, id, score * best FROM gs JOIN best USING (query_id)) GROUP BY ALL"""
+)
+def graph_merge_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fused lists joined by the chunks that the entity graph finds for a question's words."""
+    return R.merge_graph(_with_vectors(spark, sf_dir), E.found(spark, sf_dir, 10).select("query_id", "id", "score")).withColumn("score", F.round("score", 9))
