@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.sources.tables import stored
 
 HELD = {"en": 7, "ur": 4, "ko": 4}
 LEAST_SCORE = 0.25
@@ -34,16 +35,33 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
+#: Rows of a range that is settled by sorting.
+SPLIT_RANGE = 200_000
+
+
 def train_val_split(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` with ``part``: the first max(3, n // 10) rows by ``order`` are val, the rest train.
 
-    Rows are cut off by the order key's value at that place, so nothing is numbered globally.
+    Rows are dealt to ranges of the order and counted by range; only the range in which the split falls is sorted to find
+    the last row of val. Rows of equal order go by a hash of the row, then by their place, so val has its exact size.
     """
+    names = df.columns
+    keyed = df.withColumn("_k", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)], F.xxhash64(*names).alias("hash"), F.monotonically_increasing_id().alias("place")))
     n = df.count()
-    size = max(3, n // 10)
-    keyed = df.withColumn("_k", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
-    edge = keyed.select("_k").orderBy("_k").limit(size).agg(F.max("_k").alias("_edge"))
-    return keyed.crossJoin(F.broadcast(edge)).withColumn("part", F.when(F.col("_k") <= F.col("_edge"), "val").otherwise("train")).drop("_k", "_edge")
+    size = min(n, max(3, n // 10))
+    ranged = stored(keyed.repartitionByRange(max(1, -(-n // SPLIT_RANGE)), "_k").withColumn("_range", F.spark_partition_id()), "split")
+    counts = sorted(tuple(r) for r in ranged.groupBy("_range").agg(F.count(F.lit(1))).collect())  # a row a range
+    before, at = 0, None
+    for number, count in counts:
+        if before + count >= size:
+            at = number
+            break
+        before += count
+    if at is None:
+        return df.withColumn("part", F.lit("val"))
+    edge = ranged.filter(F.col("_range") == at).orderBy("_k").limit(size - before).agg(F.max("_k").alias("_edge"))
+    val = (F.col("_range") < at) | ((F.col("_range") == at) & (F.col("_k") <= F.col("_edge")))
+    return ranged.crossJoin(F.broadcast(edge)).withColumn("part", F.when(val, "val").otherwise("train")).select(*names, "part")
 
 
 def chat(system: Column, user: Column, answer: Column) -> Column:
@@ -51,20 +69,28 @@ def chat(system: Column, user: Column, answer: Column) -> Column:
     return F.array(message("system", system), message("user", user), message("assistant", answer))
 
 
+#: Where search keys are cut, in order of trust (fixed values): quarter of the text, characters from there, how much of the key
+#: lies in front of that place, and whether the text must be longer than the key and an overlap zone.
+PLACES = ((2, 0, 0.5, False), (1, 0, 0.0, False), (3, 0, 1.0, False), (0, 80, 0.0, True), (4, -80, 1.0, True))
+OVERLAP_ZONE = 80
+
+
 def excerpts(text: Column) -> Column:
-    """Search keys of a chunk in order of trust: middle, first and third quarter, after and before the overlap zones, at
-    falling lengths; a short text is its own key."""
-
-    def at(length: int) -> Column:
-        n = F.length(text)
-        cut = lambda start, stop: T.strip(F.substring(text, start + 1, stop - start))
-        mid, quarter, three = F.floor(n / 2).cast("int"), F.floor(n / 4).cast("int"), F.floor(3 * n / 4).cast("int")
-        half = length // 2
-        inner = F.array(cut(mid - half, mid + half), cut(quarter, quarter + length), cut(F.greatest(three - length, F.lit(0)), three))
-        outer = F.array(cut(F.lit(80), F.lit(80 + length)), cut(n - 80 - length, n - 80))
-        return F.when(n <= length, F.array(text)).when(n > length + 80, F.concat(inner, outer)).otherwise(inner)
-
-    return F.filter(F.concat(*[at(k) for k in LENGTHS]), lambda k: k != "")
+    """Search keys of a chunk: for each of LENGTHS one at each of PLACES; a text that is no longer is its own key."""
+    n = F.length(text)
+
+    def key(length: int, quarter: int, shift: int, front: float) -> Column:
+        head = int(length * front)
+        start = F.floor(n * quarter / 4).cast("int") + shift - head
+        stop = start + (2 * head if front == 0.5 else length)
+        begin = F.greatest(start, F.lit(0))
+        return T.strip(F.substring(text, begin + 1, stop - begin))
+
+    def keys(length: int) -> Column:
+        cut = [F.when(n > length + OVERLAP_ZONE if room else F.lit(True), key(length, quarter, shift, front)) for quarter, shift, front, room in PLACES]
+        return F.when(n <= length, F.array(text)).otherwise(F.array_compact(F.array(*cut)))
+
+    return F.filter(F.concat(*[keys(k) for k in LENGTHS]), lambda k: k != "")
 
 
 def remap(queries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,16 +9,20 @@ from textloom.functions import text as T
 from textloom.functions.columns import let
 
 #: Words that never make an entity on their own (fixed values, in natural order).
-STOP = tuple(
-    """the a an and or but in on at to for of with by from is was are were be been has have had do does did will would could
-    should may might shall can that this these those it its he she they we i you his her their our your my not no so as if then
-    than when where who which what how all also into out up down only about after before between through during without within
-    along following across behind beyond plus except around however therefore thus hence first second third one two said such
-    some any each every both few more most other another same different like just even still already yet again once very quite
-    rather almost always never often while although though because since until unless whether either neither nor upon above
-    below over under further there here now much many new old great good long little own right high small large next last well
-    way back mr mrs dr st chapter section""".split()
-)
+STOP = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "was", "are",
+    "were", "be", "been", "has", "have", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might",
+    "shall", "can", "that", "this", "these", "those", "it", "its", "he", "she", "they", "we", "i", "you", "his", "her",
+    "their", "our", "your", "my", "not", "no", "so", "as", "if", "then", "than", "when", "where", "who", "which", "what",
+    "how", "all", "also", "into", "out", "up", "down", "only", "about", "after", "before", "between", "through", "during",
+    "without", "within", "along", "following", "across", "behind", "beyond", "plus", "except", "around", "however",
+    "therefore", "thus", "hence", "first", "second", "third", "one", "two", "said", "such", "some", "any", "each", "every",
+    "both", "few", "more", "most", "other", "another", "same", "different", "like", "just", "even", "still", "already",
+    "yet", "again", "once", "very", "quite", "rather", "almost", "always", "never", "often", "while", "although", "though",
+    "because", "since", "until", "unless", "whether", "either", "neither", "nor", "upon", "above", "below", "over", "under",
+    "further", "there", "here", "now", "much", "many", "new", "old", "great", "good", "long", "little", "own", "right",
+    "high", "small", "large", "next", "last", "well", "way", "back", "mr", "mrs", "dr", "st", "chapter", "section",
+)
 #: Capitalised runs and acronyms (fixed values).
 CAPITALS = r"\b[A-Z][a-z]+(?:(?U:\s)+[A-Z][a-z]+){0,3}\b"
 ACRONYM = r"(?U)\b[A-Z]{2,6}\b"
