@@ -14,6 +14,7 @@ from textloom.operators import entities as G
 from textloom.operators import fusion as R
 from textloom.operators import lexical as L
 from textloom.operators import vectors as V
+from textloom.sources.tables import stored
 
 PER_RETRIEVER, POOL, TOP_K = 30, 10, 5
 
@@ -43,11 +44,11 @@ class Corpus:
             G.neighbours(mentions),
         )
 
-
     def persist(self) -> "Corpus":
-        """Keep the index tables with the executors (memory, then disk) for many batches of questions."""
-        lexical = L.Index(self.lexical.postings.persist(), self.lexical.lengths.persist(), self.lexical.terms.persist(), self.lexical.stats.persist())
-        return Corpus(self.chunks, lexical, self.vectors.persist(), self.mentions.persist(), self.edges.persist())
+        """The index tables in shared storage, for many batches of questions; lost executors do not lose them."""
+        old = self.lexical
+        lexical = L.Index(stored(old.postings, "postings"), stored(old.lengths, "lengths"), stored(old.terms, "terms"), stored(old.stats, "stats"))
+        return Corpus(self.chunks, lexical, stored(self.vectors, "vectors"), stored(self.mentions, "mentions"), stored(self.edges, "edges"))
 
 
 def hybrid(corpus: Corpus, questions: DataFrame, k: int = POOL, embed: Callable[[Column], Column] | None = None, model: str = "bge-m3") -> DataFrame:

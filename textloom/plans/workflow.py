@@ -12,6 +12,7 @@ from textloom.functions import text as T
 from textloom.operators import answers as A
 from textloom.operators import guardrails as G
 from textloom.plans import retrieval as R
+from textloom.sources.tables import stored
 
 
 def with_chunks(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def answer_questions(
     checked = G.check_input(questions, text="query")
     passed = checked.filter("NOT blocked").select("query_id", "query", "language")
     # read by the research decision, its merge and the answers
-    first_hits = R.retrieve(corpus, passed, top_k).persist()
-    hits = research(corpus, passed, first_hits, decompose, top_k).persist()
+    first_hits = stored(R.retrieve(corpus, passed, top_k), "hits")
+    hits = stored(research(corpus, passed, first_hits, decompose, top_k), "hits")
     drafted = A.answer_gate(with_chunks(passed, hits), generate)
     context = A.context_block(F.col("chunks"))
     first = A.validated(F.col("answer"), F.size("chunks"), validate(F.col("answer"), context))
