@@ -47,7 +47,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Models that are trained on the corpus have no SQL form; tests hold the stages against brute-force versions.
+#: Models that are trained on the corpus have no SQL form; tests check what each stage decides on documents made for it.
 ORACLE_SQL = None
 
 
