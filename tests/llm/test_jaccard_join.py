@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -74,6 +76,29 @@ def test_against_all_pairs(spark, docs, corpus, width, percent):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize(("parts", "may_differ"), [(3, 1), (4, 2), (3, 2)])
+def test_other_enumerations_against_all_pairs(spark, docs, parts, may_differ):
+    texts = texts_for(random.Random(parts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.components(docs(texts), width=3, percent=80, parts=parts, may_differ=may_differ).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 3, 80)
+
+
+def test_subsets_that_are_surely_shared():
+    """Against every way to deal the parts that differ to the groups."""
+    for parts, may_differ in ((2, 1), (3, 1), (3, 2), (4, 2), (5, 2)):
+        kept = [math.comb(parts - d, parts - may_differ) for d in range(parts + 1)]
+        for groups in (1, 2, 3):
+            for most in range(groups * (may_differ + 1)):
+                want = min(sum(kept[d] for d in dealt) for dealt in itertools.product(range(parts + 1), repeat=groups) if sum(dealt) <= most)
+                assert J.surely_shared(np.array([most]), np.array([groups]), parts, may_differ).tolist() == [want] and want > 0
+
+
+def test_parts_that_cannot_be_enumerated():
+    for parts, may_differ in ((2, 2), (2, 0), (1, 1)):
+        with pytest.raises(ValueError, match="parts"):
+            J.signatures(np.arange(3), np.array([3]), 80, parts, may_differ)
+
+
 def left(found, row, order):
     """Signatures of a set without the ones that come first in ``order``, as many as it may leave out on each side."""
     out = set()
@@ -83,7 +108,8 @@ def left(found, row, order):
     return out
 
 
-def test_signatures_meet_for_every_similar_pair():
+@pytest.mark.parametrize(("parts", "may_differ"), [(2, 1), (3, 1), (4, 2), (5, 3)])
+def test_signatures_meet_for_every_similar_pair(parts, may_differ):
     rng = np.random.default_rng(5)
     for percent in (80, 90):
         for _ in range(150):
@@ -96,7 +122,7 @@ def test_signatures_meet_for_every_similar_pair():
             inter, union = n - drop, n + add
             if not len(b) or 100 * inter < percent * union:
                 continue
-            found = J.signatures(np.concatenate([a, b]).astype(np.int64), np.array([len(a), len(b)]), percent)
+            found = J.signatures(np.concatenate([a, b]).astype(np.int64), np.array([len(a), len(b)]), percent, parts, may_differ)
             order = {s: x for s, x in zip(np.unique(found[1]).tolist(), rng.permutation(len(found[1])).tolist(), strict=False)}
             assert left(found, 0, order) & left(found, 1, order)  # whichever signatures are the most frequent
 

@@ -66,7 +66,7 @@ def largest_bucket(spark, ids):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "doc_id long, tie long").withColumn("tie", F.xxhash64("tie"))
-    rows = df.withColumn("bucket", S._buckets(df))
+    rows = S.bucketed(df)
     placed = sorted(rows.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
     assert [r["bucket"] for r in placed] == sorted(r["bucket"] for r in placed)  # ascending with (doc_id, tie)
     return rows.groupBy("bucket").count().agg(F.max("count")).first()[0]
@@ -78,6 +78,22 @@ def test_buckets_stay_small(spark):
     assert largest_bucket(spark, [None] * 4_000 + [7] * 4_000 + [*range(4_000)]) < 4 * S.BUCKET_ROWS
 
 
+def test_uneven_ids_are_cut_by_their_own_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGES", 4)
+    assert largest_bucket(spark, [*range(20_000), 10**15]) < 4 * S.BUCKET_ROWS
+    assert largest_bucket(spark, [2**k + j for k in range(20, 60) for j in range(200)]) < 4 * S.BUCKET_ROWS
+    assert largest_bucket(spark, [*range(3_000)] + [3_000] * 1_000 + [3_001] * 1_500 + [10**12]) < 4 * S.BUCKET_ROWS
+
+
+def test_many_ids_and_one_far_away(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(S, "RANGES", 16)  # as 4096 ranges are to a hundred million ids
+    ids = spark.range(400_000, numPartitions=8).union(spark.range(10**15, 10**15 + 1)).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("tie"))
+    largest, middle, n = S.bucketed(ids).groupBy("bucket").count().agg(F.max("count"), F.percentile_approx("count", 0.5), F.sum("count")).first()
+    assert n == 400_001 and largest < 4 * middle
+
+
 def test_single_and_empty(spark, docs):
     check(docs(["only one here"]), ["only one here"])
     assert S.report(docs([])).count() == 0

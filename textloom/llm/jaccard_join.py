@@ -4,9 +4,10 @@ A document's set is its distinct word shingles as 64-bit hashes. Sizes are cut i
 sets that are similar enough lie in one band or in neighbouring ones, so a set takes part in its own band and in the
 next. In a band whose largest size is r, similar sets differ in at most k = 2 r (1 - s) / (1 + s) shingles. The
 shingle domain is partitioned by hash into first-level groups; in some group the sets differ in at most
-k // groups shingles, and among that group's second-level parts some subset of parts is equal in both, so enumerating
-the subsets of parts gives a signature that both share. A signature is the sum of mixed hashes of the shingles in
-the chosen parts. Equal sets are one class before all this.
+``may_differ`` shingles, so of that group's ``parts`` second-level parts all but ``may_differ`` are equal in both, and
+enumerating the subsets of ``parts - may_differ`` parts gives a signature that both share. A signature is the sum of
+mixed hashes of the shingles in the chosen parts. Equal sets are one class before all this. Two parts of which one may
+differ are the default: subsets of one part, the fewest signatures for a number of shingles that differ.
 
 With spare groups similar sets share several signatures, ``t`` at least, so each set may leave out its t - 1 most
 frequent ones: the rarest shared signature is among those that both keep. This takes apart the large buckets of
@@ -33,6 +34,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from textloom.llm.bpe import slices
 from textloom.llm.common import discard, materialise, packed, sized, unpacked
 from textloom.llm.fragments import release
 
-#: Second-level parts of a group and how many of them may differ; one of the two parts is a signature.
+#: Second-level parts of a group and how many of them may differ: each subset of PARTS - MAY_DIFFER parts is a signature.
 PARTS, MAY_DIFFER = 2, 1
 #: One spare group, and one more for so many differing shingles (see ``signatures``).
 SPARE_EACH = 8
@@ -203,42 +206,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def surely_shared(most: np.ndarray, groups: np.ndarray, parts: int, may_differ: int) -> np.ndarray:
+    """The fewest signatures that sets share if they differ in at most ``most`` shingles.
+
+    A group with d parts that differ keeps comb(parts - d, parts - may_differ) of its subsets. Each further part of a group
+    costs fewer of them than the one before, so most are lost if the shingles that differ are dealt evenly to the groups.
+    """
+    kept = np.array([comb(parts - d, parts - may_differ) if d <= parts else 0 for d in range(may_differ + 2)], np.int64)
+    each, over = np.divmod(most, groups)
+    return over * kept[each + 1] + (groups - over) * kept[each]
+
+
+def signatures(flat: np.ndarray, sizes: np.ndarray, percent: int, parts: int = PARTS, may_differ: int = MAY_DIFFER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row index, signature, band's shift, how many may be left out) of non-empty sets given as one flat array of
     hashes and the sizes of the sets.
 
-    A signature is one part of a group, so a shingle in which two sets differ spoils one signature at most: of ``n`` parts
-    similar sets share n - k. A part that holds no shingle would be shared by unrelated sets, so it is no signature
-    of a set that has a signature to share without it; such a set with e empty parts shares t = n - k - e signatures
-    with each similar set and may leave out t - 1. A set with n - k empty parts or more has all its parts as signatures.
+    There is a signature for each group and each subset of ``parts - may_differ`` of its parts. Similar sets share ``s`` of
+    them at least (``surely_shared``). A subset of parts that hold no shingle would be shared by unrelated sets, so it is no
+    signature of a set that has a signature to share without it; such a set with e empty subsets shares t = s - e
+    signatures with each similar set and may leave out t - 1. A set with s empty subsets or more has all its subsets as
+    signatures.
     """
+    if not 0 < may_differ < parts:
+        raise ValueError("some parts, but not all, may differ")
     bands = Bands(percent)
     starts = bands.bounds(int(sizes.max()))
     own = np.searchsorted(starts, sizes, "right") - 1
     out: list[tuple[np.ndarray, ...]] = []
     n = len(sizes)
     owner = np.repeat(np.arange(n), sizes)
+    subsets = [list(chosen) for chosen in combinations(range(parts), parts - may_differ)]
     place, value = _mix(flat.view(np.uint64)), _mix(flat.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     for shift in (0, 1):
         band = own + shift
         most = bands.difference(starts[band] * 100 // percent)
-        parts = PARTS * (most // (MAY_DIFFER + 1) + 2 + most // SPARE_EACH)
-        first = np.zeros(n + 1, np.int64)
-        np.cumsum(parts, out=first[1:])
-        cell = first[owner] + (((place >> np.uint64(32)) * parts.astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
+        groups = most // (may_differ + 1) + 2 + most // SPARE_EACH
+        first = np.concatenate(([0], np.cumsum(parts * groups)))
+        cell = first[owner] + (((place >> np.uint64(32)) * (parts * groups).astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(first[-1], np.uint64)
         np.add.at(sums, cell, value)
-        filled = np.bincount(cell, minlength=first[-1]) > 0
-        of = np.repeat(np.arange(n), parts)
-        at = np.arange(len(of)) - first[:-1][of]
-        sig = _mix(_mix(band[of].astype(np.uint64) * np.uint64(0x100000000) + at.astype(np.uint64)) + sums)
-        spare = parts - most - np.bincount(of[~filled], minlength=n)
+        held = np.bincount(cell, minlength=first[-1]) > 0
+        # one row for each group, one column for each subset of its parts
+        total = np.stack([sums.reshape(-1, parts)[:, chosen].sum(1) for chosen in subsets], 1).ravel()
+        filled = np.stack([held.reshape(-1, parts)[:, chosen].any(1) for chosen in subsets], 1).ravel()
+        of = np.repeat(np.arange(n), len(subsets) * groups)
+        at = np.arange(len(of)) - (first[:-1] // parts * len(subsets))[of]
+        sig = _mix(_mix(band[of].astype(np.uint64) * np.uint64(0x100000000) + at.astype(np.uint64)) + total)
+        spare = surely_shared(most, groups, parts, may_differ) - np.bincount(of[~filled], minlength=n)
         use = filled | (spare < 1)[of]
         out.append((of[use], sig[use], np.full(int(use.sum()), shift, np.int64), np.maximum(spare - 1, 0)[of[use]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _signature_rows(width: int, percent: int):
+def _signature_rows(width: int, percent: int, parts: int, may_differ: int):
     """Rows (sig, id, place, head, n): of a slice's members of a bucket the first has their number as n, the others
     have it as their head and n = 0; place is twice the number of signatures to leave out, plus the band's shift."""
 
@@ -248,7 +268,7 @@ def _signature_rows(width: int, percent: int):
             if not len(flat):
                 continue
             keys = set_keys(flat, sizes)
-            rows, sigs, side, spare = signatures(flat, sizes[sizes > 0], percent)
+            rows, sigs, side, spare = signatures(flat, sizes[sizes > 0], percent, parts, may_differ)
             ids = keys[sizes > 0][rows]
             order = np.lexsort((ids, sigs))
             sigs, ids, side, spare = sigs[order].view(np.int64), ids[order], side[order], spare[order]
@@ -373,7 +393,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(marked.join(torn, "sig"), "open")
 
 
-def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int, parts: int = PARTS, may_differ: int = MAY_DIFFER) -> DataFrame:
     """(doc_id, content, n_shingles, component_id) of every row; content is a hash of its text."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.dtypes[0][1]
@@ -388,7 +408,7 @@ def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
         # an id can have several rows with the same text
         return sets if least.count() == members.filter("n_shingles > 0").select("doc_id").distinct().count() else sets.dropDuplicates(["id"])
 
-    labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent), "sig long, id long, place int, head long, n int"), fetch, percent)
+    labels = linked_classes(docs.mapInArrow(_signature_rows(width, percent, parts, may_differ), "sig long, id long, place int, head long, n int"), fetch, percent)
     tops = least.join(labels, "id").groupBy("comp").agg(F.min("least").alias("component"))
     linked = labels.join(tops, "comp").select("id", "component")
     named = materialise(least.join(linked, "id", "left").select("id", "copies", F.coalesce("component", "least").alias("component")), "named")
@@ -401,9 +421,12 @@ def _classed(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
     return out.select("doc_id", "content", "n_shingles", F.col("component").alias("component_id"))
 
 
-def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: n_shingles and component_id, the smallest doc_id reachable over links."""
-    return _classed(df, doc_id, text, width, percent).select("doc_id", "n_shingles", "component_id")
+def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, parts: int = PARTS, may_differ: int = MAY_DIFFER) -> DataFrame:
+    """Per document: n_shingles and component_id, the smallest doc_id reachable over links.
+
+    ``parts`` and ``may_differ`` set the enumeration; no choice of them changes the result.
+    """
+    return _classed(df, doc_id, text, width, percent, parts, may_differ).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

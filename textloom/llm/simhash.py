@@ -6,9 +6,10 @@ bit j exceeds half of all weight. Counts of two bits share one long (32-bit lane
 
 The next document in id order is found without a global sort: ids are cut at quantiles (``RANGES`` at most, from one
 mergeable summary), ranges into even buckets of about ``BUCKET_ROWS``, rows are dealt by bucket once, and everything else
-(window, vote sums, comparison) stays in that stage. An id that holds a range or more by itself, or rows without an id,
-are cut by the hash of the text that orders them. Only the first row of each bucket travels to the bucket before it; the
-order of buckets is found level by level.
+(window, vote sums, comparison) stays in that stage. Where ids are so uneven that a bucket has more than ``SPLIT_OVER``
+times as many rows, it is cut again at its own quantiles, level by level. An id that holds a range or more by itself, or
+rows without an id, are cut by the hash of the text that orders them. Only the first row of each bucket travels to the
+bucket before it; the order of buckets is found level by level.
 
 The radius search cuts a fingerprint into six blocks and keeps one table for each choice of three blocks: two
 fingerprints within three bits agree on at least three blocks, so they meet in a table. Equal fingerprints are one
@@ -27,12 +28,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import count_below, let, lower_ascii, materialise, words
+from textloom.llm.common import BROADCAST_ROWS, count_below, let, lower_ascii, materialise, words
 
 BUCKET_ROWS = 128
 #: Quantiles of the ids that the driver sees, and buckets that a range can have.
 RANGES = 4096
 FINE = 1 << 20
+#: A bucket of more than SPLIT_OVER * BUCKET_ROWS rows is cut into at most PIECES, at most LEVELS times.
+SPLIT_OVER, PIECES, LEVELS = 3, 64, 4
+#: Bits of a bucket's number for each of those cuts.
+_PIECE_BITS = 7
 #: Buckets in a group of buckets whose order one window task finds.
 FAN = 4096
 RADIUS = 3
@@ -81,7 +86,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
     """(bucket, next_bucket): the following bucket that has rows; the last is followed by the first."""
-    grouped = buckets.distinct().withColumn("_group", F.expr(f"bucket div {FAN}"))
+    grouped = buckets.distinct().withColumn("_group", F.expr(f"bucket div {FAN << LEVELS * _PIECE_BITS}"))
     inside = grouped.withColumn("_in", F.lead("bucket").over(Window.partitionBy("_group").orderBy("bucket")))
     tops = grouped.groupBy("_group").agg(F.min("bucket").alias("_first"))
     order = Window.orderBy("_group")  # one row for each FAN x BUCKET_ROWS documents
@@ -90,7 +95,7 @@ def _next_bucket(buckets: DataFrame) -> DataFrame:
     return inside.join(tops, "_group").select("bucket", F.coalesce("_in", "_after").alias("next_bucket"))
 
 
-def _buckets(rows: DataFrame) -> Column:
+def _even_buckets(rows: DataFrame) -> Column:
     """The bucket of (doc_id, tie), ascending with it: quantile range first, then an even part of the range."""
     n, missing = rows.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     ranges = max(1, min(RANGES, n // BUCKET_ROWS))
@@ -114,15 +119,54 @@ def _buckets(rows: DataFrame) -> Column:
         inside = F.when(heavy, by_tie(F.least(F.get(times, k) * parts, F.lit(FINE // 2))) - FINE // 2).when(F.col("doc_id") <= start, F.lit(0)).otherwise(F.least(F.greatest(even, F.lit(0)), F.lit(parts)))
         return (k.cast("long") + 1) * (2 * FINE) + FINE + inside.cast("long")
 
-    none = by_tie(F.lit(max(1, missing // BUCKET_ROWS)).cast("long")) - F.lit(2**62)
+    none = by_tie(F.lit(max(1, min(missing // BUCKET_ROWS, 2**33))).cast("long")) - F.lit(2**34)
     return F.when(F.col("doc_id").isNull(), none).otherwise(let(low, part))
 
 
+def _cut(rows: DataFrame, cuts: DataFrame, level: int) -> DataFrame:
+    """``rows`` (with doc_id, tie, bucket) with the buckets that ``cuts`` (bucket, by_tie, marks) names in pieces.
+
+    A piece reaches from behind a mark to the next one; a value that holds several marks is a piece by itself.
+    """
+    value = F.when(F.col("by_tie"), F.col("tie")).otherwise(F.col("doc_id"))
+    piece = let(count_below(F.col("marks"), value), lambda k: 2 * k + F.coalesce(F.get(F.col("marks"), k + 1) == value, F.lit(False)).cast("int"))
+    shifted = F.shiftleft(F.coalesce(piece, F.lit(0)).cast("long"), (LEVELS - 1 - level) * _PIECE_BITS)
+    return rows.join(cuts, "bucket", "left").withColumn("bucket", F.col("bucket") + F.when(F.col("marks").isNull(), F.lit(0).cast("long")).otherwise(shifted)).drop("by_tie", "marks")
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, tie and more) with ``bucket``, which ascends with (doc_id, tie).
+
+    Buckets that hold too many rows are cut at their own quantiles: of the ids, or of the ties where all ids are one. Only
+    rows that are equal in both stay together in any number. Where ids are spread evenly enough nothing is joined.
+    """
+    base = F.shiftleft(_even_buckets(rows), LEVELS * _PIECE_BITS)
+    rows = rows.withColumn("bucket", base)
+    quantiles = [i / PIECES for i in range(1, PIECES)]
+    for level in range(LEVELS):
+        keyed = rows.select("doc_id", "tie", "bucket")
+        ends = [f("doc_id").alias(f"{name}_id") for name, f in (("low", F.min), ("high", F.max))] + [f("tie").alias(f"{name}_tie") for name, f in (("low", F.min), ("high", F.max))]
+        found = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *ends).filter(F.col("n") > SPLIT_OVER * BUCKET_ROWS)
+        one_id = F.col("low_id").eqNullSafe(F.col("high_id"))
+        heavy = materialise(found.filter(~one_id | (F.col("low_tie") < F.col("high_tie"))).select("bucket", "n", one_id.alias("by_tie")), "heavy")
+        many = heavy.count()
+        if not many:
+            break
+        few = many <= BROADCAST_ROWS // PIECES  # one row of PIECES longs each
+        value = F.when(F.col("by_tie"), F.col("tie")).otherwise(F.col("doc_id"))
+        marked = keyed.join(F.broadcast(heavy) if few else heavy, "bucket").groupBy("bucket", "by_tie", "n").agg(F.percentile_approx(value, quantiles, 20 * PIECES).alias("marks"))
+        # as many pieces as give BUCKET_ROWS rows each
+        wanted = F.least(F.lit(PIECES), F.ceil(F.col("n") / BUCKET_ROWS))
+        first = lambda i: F.floor((i + 1) * wanted / PIECES) > F.floor(i * wanted / PIECES)
+        cuts = materialise(marked.select("bucket", "by_tie", F.filter("marks", lambda _, i: first(i)).alias("marks")), "cuts")
+        rows = _cut(rows, F.broadcast(cuts) if few else cuts, level)
+    return rows
+
+
 def compare(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_chars, edited_sha256, fp, edited_fp (longs) and next_fp."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("tie"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie")).withColumn("bucket", _buckets(keyed))
+    rows = bucketed(rows.select("doc_id", "text", F.xxhash64("text").alias("tie")))
     order = Window.partitionBy("bucket").orderBy("doc_id", "tie")
     seen = rows.withColumns({"_rank": F.row_number().over(order), "_next": F.lead("text").over(order)})
     firsts = seen.filter(F.col("_rank") == 1).select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"))
@@ -189,10 +233,12 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text", query_ever
     The documents of a listed fingerprint are the rows with this ``fingerprint``, so copies are not listed one by one.
     """
     rows = materialise(compare(df, doc_id, text), "simhash")
-    is_query = F.pmod(F.col("doc_id"), F.lit(query_every)) == 0
+    is_query = F.coalesce(F.pmod(F.col("doc_id"), F.lit(query_every)) == 0, F.lit(False))
     pairs = within_radius(rows.filter(is_query), rows)
     near = pairs.groupBy(F.col("q").alias("_q")).agg(F.sum("n").alias("n_within"), F.array_sort(F.collect_list(fingerprint_text(F.col("fp")))).alias("near_fps"))
-    return rows.join(near, is_query & (F.col("fp") == F.col("_q")), "left").select(
+    asked, others = rows.filter(is_query), rows.filter(~is_query)  # only questions are dealt by fingerprint
+    found = asked.join(near, F.col("fp") == F.col("_q"), "left").unionByName(others, allowMissingColumns=True)
+    return found.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
