@@ -118,9 +118,7 @@ class PostingStore:
         versions = self.versions()
         stats = self._read("stats", versions).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).select("n", F.try_divide(F.col("length"), F.col("n")).alias("avgdl"))
         df = self._read("terms", versions).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        lengths = self.live(versions).select("id", "dl")
-        rows = self._read("blocks", versions).select("term", "version", F.explode("held").alias("h")).select("term", "version", "h.id", "h.tf", "h.dl")
-        return L.Index(self._alive(rows, versions).select("term", "id", "tf", "dl"), lengths, L.weighed(df, stats), stats)
+        return L.Index(self.live(versions).select("id", "dl", "terms"), L.weighed(df, stats), stats)
 
     def compact(self) -> int:
         """Fold all versions to one; readers of earlier versions are not disturbed. Returns the new version."""

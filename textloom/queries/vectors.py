@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import text as T
 from textloom.operators import fusion as R
 from textloom.operators import lexical as L
 from textloom.operators import vectors as V
@@ -13,6 +12,7 @@ from textloom.operators.ann import InvertedLists, recall
 from textloom.queries import entities as E
 from textloom.queries.lexical import bm25_sql, questions, tokens, top_sql
 from textloom.registry import query, table
+from textloom.sources.tables import stored
 
 _DOT = "list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])"
 
@@ -101,13 +101,10 @@ def db_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str, k: int = 30) -> tuple[DataFrame, DataFrame]:
     """BM25, and the number of distinct question words in each document's whole text."""
-    docs = table(spark, sf_dir, "documents")
-    lexical = L.search(L.build_stored(docs, tokens()), questions(spark, sf_dir), tokens(), k)
-    asked = questions(spark, sf_dir).select("query_id", F.explode(tokens()).alias("term")).distinct()
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens_en(F.col("text")))).alias("term"))
-    words = words.join(asked.select("term").distinct(), "term", "left_semi").distinct()
-    overlap = asked.join(words, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return lexical, L.top(overlap, k)
+    index = L.build_stored(table(spark, sf_dir, "documents"), tokens())
+    lexical = L.search(index, questions(spark, sf_dir), tokens(), k)
+    asked = L.asked_terms(questions(spark, sf_dir), tokens()).select("query_id", "term", F.lit(1.0).alias("w"))
+    return stored(lexical, "lexical"), stored(L.top(L.candidates(index.docs, asked, k), k), "overlap")
 
 
 _LISTS = f"""{bm25_sql('documents')}, l1 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM sc QUALIFY rank <= 30),
