@@ -81,10 +81,9 @@ class PostingStore:
         once = own.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(self.text)))).filter("_r = 1").drop("_r")
         once = stored(once, "batch", f"{self.path}/v={version}/batch")
         kept = once.filter(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else once
-        words = kept.select("id", self.tokens(F.col(self.text)).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("term"))
-        postings = stored(words.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings", f"{self.path}/v={version}/postings")
-        some = postings.filter(F.col("term").isNotNull())
-        docs = postings.groupBy("id", "dl").agg(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))).alias("terms"))
+        # a document's terms are counted where its text is; only blocks are dealt by term
+        docs = stored(L.counted(kept, self.tokens(F.col(self.text)), "id"), "docs", f"{self.path}/v={version}/docs")
+        some = docs.select("id", "dl", F.explode("terms").alias("x")).select("x.term", "id", "x.tf", "dl")
         live = self.live(self.versions(before=version))
         if live is None:
             gone = docs.select("id", F.lit(0).cast("long").alias("old"), "dl", "terms").limit(0)
@@ -96,7 +95,7 @@ class PostingStore:
         size = lambda df, sign: df.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("length"))
         stats = size(docs, 1).unionByName(size(gone, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         extra = {name: make(kept) for name, make in self.extras.items()}
-        self._write(version, False, blocks=to_blocks(some.select("term", "id", "tf", "dl")), docs=docs, gone=gone.select("id", "old"), terms=terms, stats=stats, **extra)
+        self._write(version, False, blocks=to_blocks(some), gone=gone.select("id", "old"), terms=terms, stats=stats, **extra)
 
     def live(self, versions: list[int] | None = None) -> DataFrame | None:
         """(id, version, dl, terms) of the documents that no later version replaces."""
