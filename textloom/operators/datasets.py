@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.columns import let
 from textloom.sources.tables import stored
 
 HELD = {"en": 7, "ur": 4, "ko": 4}
@@ -95,15 +96,26 @@ def excerpts(text: Column) -> Column:
 
 def remap(queries: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """(query_id, chunk_id, status) of queries (query_id, chunk_id, doc) whose answer chunk in ``old`` (chunk_id, text) is
-    looked for among the document's chunks in ``new`` (doc, chunk_index, chunk_id, text)."""
-    asked = queries.join(old.select("chunk_id", F.col("text").alias("old_text")), "chunk_id", "left")
-    docs = new.select("doc").distinct().withColumn("known", F.lit(True))
-    asked = asked.join(docs, "doc", "left").withColumn("keys", excerpts(T.strip(F.col("old_text"))))
-    tried = asked.filter("known AND old_text IS NOT NULL").select("query_id", "doc", F.posexplode("keys").alias("nth", "key"))
-    hit = tried.join(new.select("doc", "chunk_index", F.col("chunk_id").alias("found"), "text"), "doc").filter(F.contains("text", "key"))
-    first = hit.groupBy("query_id").agg(F.min_by("found", F.struct("nth", "chunk_index")).alias("found"))
-    status = F.when(F.col("old_text").isNull(), "semantic_chunk_missing").when(F.col("known").isNull(), "doc_missing").when(F.col("found").isNull(), "no_match").otherwise("ok")
-    return asked.join(first, "query_id", "left").select("query_id", F.col("found").alias("chunk_id"), status.alias("status"))
+    looked for among the document's chunks in ``new`` (doc, chunk_index, chunk_id, text).
+
+    A query meets its document's chunks once, in one row; its keys are tried in order until one is found.
+    """
+    chunk = F.struct(F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk_id").alias("found"), "text")
+    chunks = new.groupBy("doc").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    asked = queries.join(old.select("chunk_id", F.col("text").alias("old_text")), "chunk_id", "left").join(chunks, "doc", "left")
+
+    def hit(nth: Column, key: Column) -> Column:
+        held = F.slice(F.filter("chunks", lambda c: F.contains(c["text"], key)), 1, 1)
+        return F.get(F.transform(held, lambda c: F.struct(nth.alias("nth"), c["chunk_index"].alias("chunk_index"), c["found"].alias("found"))), 0)
+
+    keys = F.transform(let(T.strip(F.col("old_text")), excerpts), lambda k, i: F.struct(i.alias("nth"), k.alias("key")))
+    none = F.lit(None).cast(f"struct<nth:int,chunk_index:bigint,found:{dict(new.dtypes)['chunk_id']}>")
+    hits = F.aggregate(keys, none, lambda done, k: F.coalesce(done, hit(k["nth"], k["key"])))
+    missing = F.when(F.col("old_text").isNull(), "semantic_chunk_missing").when(F.col("chunks").isNull(), "doc_missing")
+    rows = asked.select("query_id", hits.alias("hit"), missing.alias("missing"))
+    found = F.min("hit").over(Window.partitionBy("query_id"))["found"]
+    status = F.coalesce("missing", F.when(F.col("chunk_id").isNull(), "no_match").otherwise("ok"))
+    return rows.select("query_id", found.alias("chunk_id"), "missing").select("query_id", "chunk_id", status.alias("status"))
 
 
 def eval_context(questions: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
