@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import providers
 from textloom.operators import chunking as C
 from textloom.registry import query, table
 
@@ -88,5 +87,5 @@ def chunk_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coherence of semantic chunks with the stand-in embedder."""
     chunks = C.chunk_with(table(spark, sf_dir, "documents"), "semantic")
-    out = C.coherence(chunks, providers.embedder())
+    out = C.coherence(chunks)
     return out.select("doc_id", F.round("avg_intra_similarity", 6).alias("intra"), F.round("avg_boundary_similarity", 6).alias("boundary"))
