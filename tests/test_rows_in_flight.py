@@ -7,7 +7,7 @@ import pytest
 from textloom import registry
 
 
-@pytest.mark.parametrize("name", ["chunk_semantic", "clean_text", "chunk_recursive"])
+@pytest.mark.parametrize("name", ["chunk_semantic", "chunk_recursive", "clean_text", "graph_stats_documents"])
 def test_no_batch_holds_thousands_of_texts(spark, tmp_path, name):
     spark.createDataFrame([(1, "One. Two of NATO and IBM."), (2, None), (3, "ﬁne"), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     df = registry.queries()[name](spark, str(tmp_path))
