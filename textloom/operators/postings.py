@@ -4,16 +4,21 @@ Each batch of changed documents becomes one version: posting blocks, the documen
 it replaces, and by how much term and corpus counts change. A posting counts if no later version replaces its document.
 Term and corpus counts are sums over versions; no posting is read for them. ``compact`` folds all versions to one.
 
-A block holds postings of a term with like frequency and document length, so the most a posting in it can score is known
-from the block's bounds alone. ``search`` uses that: the blocks that promise most give a first list, whose k-th score any
+A block holds postings of a term that add alike to a score, and the most a posting in it can score is known from the block's
+bounds alone. ``search`` uses that: the blocks that promise most give a first list, whose k-th score any
 other document must reach; terms that together cannot reach it are not read, nor are blocks that cannot with all the
-question's other terms; what is read is added up, and only documents that can still reach the k-th score are scored in full.
+question's other terms; the documents of the blocks that are read are scored in full, each where its terms are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,22 +28,51 @@ from textloom.sources.tables import stored
 
 #: Postings of a block, on average, where a term has that many; postings of the first round, in multiples of k.
 BLOCK, FIRST = 256, 8
+#: Postings that a task sorts at once.
+CHUNK = 1 << 21
+#: Ids of blocks or documents that are sent to all tasks; with more of them blocks are joined, and all documents are scored.
+LISTED = 1 << 21
 #: Version folders are published in this table: a reader sees all of a version or nothing of it.
 _PUBLISHED = "version long, base boolean"
 
 
-def _impact(tf: Column, dl: Column, avgdl: Column) -> Column:
-    return tf * (L.K1 + 1) / (tf + L.K1 * (1 - L.B + L.B * dl / avgdl))
-
-
-def to_blocks(postings: DataFrame) -> DataFrame:
-    """Blocks of (term, id, tf, dl) rows: by frequency, by eighths of the length's logarithm, and by a hash where many are alike."""
-    alike = ["term", "tf_key", "dl_key"]
-    keyed = postings.withColumns({"tf_key": F.least("tf", F.lit(16).cast("long")).cast("int"), "dl_key": F.floor(F.log2(F.col("dl")) * 8).cast("int")})
-    many = keyed.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select(*alike, F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
-    cut = keyed.join(many, alike, "left").withColumn("cut", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("id", "tf", "dl")))  # about BLOCK entries
-    return cut.groupBy(*alike, "cut").agg(held.alias("held"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl")).withColumn("n", F.size("held"))
+def to_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of (id, dl, terms) rows: a task sorts the postings of CHUNK or more at a time by term and by what they add to a
+    score, and cuts a term's in blocks of BLOCK. Postings are not shuffled; a block's bounds hold wherever its rows come from."""
+    held = f"array<struct<id: {dict(docs.dtypes)['id']}, tf: long, dl: long>>"
+    return docs.select("id", "dl", "terms").mapInArrow(_cut(BLOCK), f"term string, cut long, held {held}, most_tf long, least_dl long, n int")
+
+
+def _cut(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def blocks(some: pa.Table, number: int) -> pa.RecordBatch:
+        ids, length, terms = (pa.concat_arrays(some[c].chunks) for c in ("id", "dl", "terms"))
+        doc = np.repeat(np.arange(len(ids)), pc.list_value_length(terms).fill_null(0).to_numpy())
+        pairs = terms.flatten()
+        word, tf, dl = pairs.field("term").dictionary_encode(), pairs.field("tf").to_numpy(), length.fill_null(0).to_numpy()[doc]
+        code = word.indices.to_numpy()
+        order = np.lexsort((-L.impact(tf, dl, dl.mean()), code))
+        code, doc, tf, dl = code[order], doc[order], tf[order], dl[order]
+        count = np.bincount(code)
+        place = np.arange(len(code)) - (np.cumsum(count) - count)[code]  # of a posting among its term's
+        start = np.flatnonzero(place % most == 0)
+        edges = pa.array(np.append(start, len(code)), pa.int32())
+        held = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf), pa.array(dl)], ["id", "tf", "dl"])
+        columns = [word.dictionary.take(pa.array(code[start])), pa.array(number + np.arange(len(start))), pa.ListArray.from_arrays(edges, held)]
+        bounds = [pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(dl, start)), pc.list_value_length(columns[2])]
+        return pa.RecordBatch.from_arrays([*columns, *bounds], ["term", "cut", "held", "most_tf", "least_dl", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, waiting, size = TaskContext.get().partitionId() << 40, [], 0
+        for batch in chain((x.slice(at, L._DOCS) for x in batches for at in range(0, x.num_rows, L._DOCS)), [None]):
+            if batch is not None:
+                waiting.append(batch)
+                size += pc.sum(pc.list_value_length(batch.column("terms"))).as_py() or 0
+            if size and (batch is None or size >= CHUNK):
+                out = blocks(pa.Table.from_batches(waiting), number)
+                yield out
+                number, waiting, size = number + out.num_rows, [], 0
+
+    return run
 
 
 class PostingStore:
@@ -69,7 +103,7 @@ class PostingStore:
 
     def _write(self, version: int, base: bool, **tables: DataFrame) -> None:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/v={version}/{name}")
         self.spark.createDataFrame([(version, base)], _PUBLISHED).write.mode("append").parquet(f"{self.path}/published")
 
     def apply(self, batch: DataFrame, version: int, deleted: str | None = None) -> None:
@@ -95,7 +129,7 @@ class PostingStore:
         size = lambda df, sign: df.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("length"))
         stats = size(docs, 1).unionByName(size(gone, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         extra = {name: make(kept) for name, make in self.extras.items()}
-        self._write(version, False, blocks=to_blocks(some), gone=gone.select("id", "old"), terms=terms, stats=stats, **extra)
+        self._write(version, False, blocks=to_blocks(docs), gone=gone.select("id", "old"), terms=terms, stats=stats, **extra)
 
     def live(self, versions: list[int] | None = None) -> DataFrame | None:
         """(id, version, dl, terms) of the documents that no later version replaces."""
@@ -127,7 +161,7 @@ class PostingStore:
         summed = self._read("stats", versions).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         none = live.select("id", F.col("version").alias("old")).limit(0)
         extra = {name: self.table(name) for name in self.extras}
-        self._write(new, True, blocks=to_blocks(index.postings), docs=live.select("id", "dl", "terms"), gone=none, terms=index.terms.select("term", "df"), stats=summed, **extra)
+        self._write(new, True, blocks=to_blocks(live), docs=live.select("id", "dl", "terms"), gone=none, terms=index.terms.select("term", "df"), stats=summed, **extra)
         return new
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -146,27 +180,27 @@ class PostingStore:
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
         asked = stored(asked.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")), "asked")
         blocks = self._read("blocks", versions)
-        name = ["term", "version", "tf_key", "dl_key", "cut"]
+        name = ["term", "version", "cut"]
         zero = F.lit(0.0)
-        promise = F.greatest(F.col("w") * _impact(F.col("most_tf"), F.col("least_dl"), F.col("avgdl")), zero)
+        promise = F.greatest(F.col("w") * L.impact(F.col("most_tf"), F.col("least_dl"), F.col("avgdl")), zero)
         met = asked.join(blocks.select(*name, "n", "most_tf", "least_dl"), "term").crossJoin(F.broadcast(stats)).select("query_id", *name, "n", promise.alias("bound"))
         met = stored(met, "met")
         per_term = met.groupBy("query_id", "term").agg(F.max("bound").alias("most"))
 
-        def postings(chosen: DataFrame) -> DataFrame:
-            rows = chosen.join(blocks.select(*name, "held"), name).select("query_id", "term", "version", F.explode("held").alias("h"))
-            return self._alive(rows.select("query_id", "term", "version", "h.id", "h.tf", "h.dl"), versions)
+        avgdl = stats.first()["avgdl"] or 1.0  # one row
 
-        def full(some: DataFrame) -> DataFrame:
-            """All of a question's terms in each of its candidate documents (query_id, id)."""
-            words = some.join(live, "id").select("query_id", "id", "dl", F.explode("terms").alias("x")).select("query_id", "id", "dl", "x.term", "x.tf")
-            each = words.join(asked, ["query_id", "term"]).crossJoin(F.broadcast(stats))
-            return each.groupBy("query_id", "id").agg(F.sum(F.col("w") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+        def full(chosen: DataFrame) -> DataFrame:
+            """The best scores over all of a question's terms among the documents of some blocks; every document is read once."""
+            some = stored(chosen.select("version", "cut").distinct(), "chosen")
+            some = F.broadcast(some) if some.count() <= LISTED else some
+            ids = stored(blocks.join(some, ["version", "cut"], "left_semi").select(F.explode("held.id").alias("id")).distinct(), "ids")
+            docs = live.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= LISTED else live
+            return L.candidates(docs, asked, k, lambda tf, dl: L.impact(tf, dl, avgdl))
 
         # round 1: a question's most promising blocks, until they hold FIRST * k postings
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), *name)
         before = met.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        first = full(postings(before.filter(F.coalesce("before", F.lit(0)) < FIRST * k)).select("query_id", "id").distinct())
+        first = full(before.filter(F.coalesce("before", F.lit(0)) < FIRST * k))
         ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("r") == k)
         least = stored(ranked.select("query_id", (F.col("score") - 1e-5).alias("least")), "least")
 
@@ -176,8 +210,4 @@ class PostingStore:
         needed = terms.filter(F.col("least").isNull() | (F.col("upto") >= F.col("least")))
         read = met.join(needed, ["query_id", "term"]).filter(F.col("least").isNull() | (F.col("bound") + F.col("all") - F.col("most") >= F.col("least")))
         read = stored(read.select("query_id", *name, "most", "all", "least"), "read")
-        hit = postings(read.select("query_id", *name)).join(asked, ["query_id", "term"]).join(per_term, ["query_id", "term"]).crossJoin(F.broadcast(stats))
-        sums = hit.groupBy("query_id", "id").agg(F.sum(F.col("w") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl")) - F.col("most")).alias("short"))
-        limits = terms.groupBy("query_id").agg(F.first("all").alias("all"), F.first("least").alias("least"))
-        open_ = sums.join(limits, "query_id").filter(F.col("least").isNull() | (F.col("all") + F.col("short") >= F.col("least")))
-        return {"asked": asked, "met": met, "read": read, "best": L.top(full(open_.select("query_id", "id")), k)}
+        return {"asked": asked, "met": met, "read": read, "best": L.top(full(read), k)}
