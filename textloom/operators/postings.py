@@ -112,19 +112,25 @@ class PostingStore:
         Of rows with one id the first by a hash of the text stays. Applied again, a version is the same.
         """
         own = batch.select(F.col(self.id_col).alias("id"), "*").filter(F.col("id").isNotNull()) if self.id_col != "id" else batch.filter(F.col("id").isNotNull())
-        once = own.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(self.text)))).filter("_r = 1").drop("_r")
-        once = stored(once, "batch", f"{self.path}/v={version}/batch")
+        # only rows whose id comes twice are dealt by id with their texts
+        twice = stored(own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice", f"{self.path}/v={version}/twice")
+        first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(self.text)))
+        once = own.join(twice, "id", "left_anti").unionByName(own.join(twice, "id", "left_semi").withColumn("_r", first).filter("_r = 1").drop("_r"))
+        once = stored(once, "batch", f"{self.path}/v={version}/batch") if self.extras or deleted else once
         kept = once.filter(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else once
-        # a document's terms are counted where its text is; only blocks are dealt by term
+        # a document's terms are counted where its text is
         docs = stored(L.counted(kept, self.tokens(F.col(self.text)), "id"), "docs", f"{self.path}/v={version}/docs")
-        some = docs.select("id", "dl", F.explode("terms").alias("x")).select("x.term", "id", "x.tf", "dl")
-        live = self.live(self.versions(before=version))
-        if live is None:
-            gone = docs.select("id", F.lit(0).cast("long").alias("old"), "dl", "terms").limit(0)
+        earlier = self.versions(before=version)
+        if not earlier:
+            gone, lost = docs.select("id", F.lit(0).cast("long").alias("old"), "dl").limit(0), docs.limit(0)
         else:
-            gone = live.join(once.select("id"), "id", "left_semi").select("id", F.col("version").alias("old"), "dl", "terms")
+            ids = own.select("id") if deleted else docs.select("id")
+            gone = self.live(earlier).select("id", F.col("version").alias("old"), "dl").join(ids, "id", "left_semi")
         gone = stored(gone, "gone", f"{self.path}/v={version}/replaced")
-        lost = gone.select(F.explode("terms").alias("x")).groupBy("x.term").agg((-F.count(F.lit(1))).alias("df"))
+        if earlier:
+            lost = self._read("docs", earlier).join(gone.select("id", F.col("old").alias("version")), ["id", "version"], "left_semi")
+        some = docs.select(F.explode("terms.term").alias("term"))
+        lost = lost.select(F.explode("terms.term").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("df"))
         terms = some.groupBy("term").agg(F.count(F.lit(1)).alias("df")).unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         size = lambda df, sign: df.agg((F.count(F.lit(1)) * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("length"))
         stats = size(docs, 1).unionByName(size(gone, -1)).agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
